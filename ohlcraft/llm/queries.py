@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+import public_tokenizers
+
+from . import bpe, packing, quality, simhash
+from .common import shared_folder, stage, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,69 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = f"{shared_folder(spark)}/ids"
+    packing.write_blocks(table(spark, sf_dir, "documents"), TOKENIZER, files, END_ID)
+    return packing.read_documents(spark, files)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # the measures of all documents are written once and serve the cut-offs and the verdicts
+    m = quality.measured(docs).select("doc_id", F.col("lang").alias("stratum"), "q")
+    m = stage(m, shared_folder(spark), "measures")
+    out = quality.verdicts(m, quality.limits(m, table(spark, sf_dir, "labels")))
+    counts = [f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *counts, "base_failed", "kept")
+
+
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op7_packed_ids": op7_packed_ids,
+    "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+#: Cut-offs as in quality.GRID, tail and correction as in quality.cutoffs.
+_GRID_ROWS = ", ".join(f"('{name}', {c}::DOUBLE)" for name, cs in quality.GRID.items() for c in cs)
+_POINTS = sum(map(len, quality.GRID.values()))
+
+ORACLES: dict[str, str] = {
+    "op8_quality": rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS x FROM documents),
+w AS (SELECT r, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT r, i, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS j FROM d, (SELECT unnest(range(0, 5)) AS k)) GROUP BY r),
+q AS (SELECT t.r, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls) AS n_lines,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM t JOIN w USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM q),
+s AS (SELECT r, lang, 'symbol_share' AS score, n_symbols::DOUBLE / nullif(n_words, 0) AS v FROM b
+      UNION ALL SELECT r, lang, 'dup_line_share', n_dup_lines::DOUBLE / nullif(n_lines, 0) FROM b
+      UNION ALL SELECT r, lang, 'repeat_share', n_repeat_words::DOUBLE / nullif(n_words, 0) FROM b
+      UNION ALL SELECT r, lang, 'long_words', word_chars::DOUBLE / nullif(n_words, 0) FROM b
+      UNION ALL SELECT r, lang, 'short_words', -word_chars::DOUBLE / nullif(n_words, 0) FROM b),
+grid(score, cutoff) AS (VALUES {_GRID_ROWS}),
+good AS (SELECT s.* FROM s JOIN b USING (r) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tests AS (SELECT lang, score, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k FROM good JOIN grid USING (score) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * {quality.RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+        exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK})))) END AS p,
+        (SELECT count(DISTINCT coalesce('s' || lang, '')) FROM tests) AS strata FROM tests),
+cut AS (SELECT lang, score, min(cutoff) AS cutoff FROM p WHERE p * strata * {_POINTS} <= {quality.ALPHA} GROUP BY lang, score),
+bad AS (SELECT DISTINCT r FROM s JOIN cut ON s.score = cut.score AND s.lang IS NOT DISTINCT FROM cut.lang WHERE v > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM b
+""",
+}
