@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, packing, quality, simhash
+from . import bpe, mixing, packing, pii, quality, simhash
 from .common import shared_folder, stage, table
 
 
@@ -25,6 +25,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # words are counted once and written; the totals and the positions both read them
+    sizes = stage(mixing.sized(docs).select("doc_id", "source", "size"), shared_folder(spark), "sizes")
+    out = mixing.mix(sizes).withColumn("position", F.try_element_at("turns", F.lit(1))["position"])
+    return mixing.by_position(out.select("doc_id", "size", "source_size", "target", "taken", "position"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = f"{shared_folder(spark)}/ids"
     packing.write_blocks(table(spark, sf_dir, "documents"), TOKENIZER, files, END_ID)
@@ -43,6 +55,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_packed_ids": op7_packed_ids,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
