@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, mixing, packing, pii, quality, simhash
-from .common import shared_folder, stage, table
+from . import bpe, media, mixing, packing, pii, quality, rollup, secrets, simhash, wrapper
+from .common import WORD, shared_folder, stage, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,52 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+VERSION = "byte_bpe_50k"
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text hash) -> adds copy: whether an earlier document has the same text; the hash is of 128 bits."""
+    same = docs.groupBy("__t").agg(F.min("doc_id").alias("__first"))
+    return docs.join(same, "__t").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("__first"), F.lit(False))).drop("__t", "__first")
+
+
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("__t", F.md5(F.coalesce("text", F.lit(""))))
+    folder = shared_folder(spark)
+    counts = bpe.count_tokens(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "source", "lang", "__t"))
+    counts = stage(_copies(stage(counts, folder, "counts")).withColumn("version", F.lit(VERSION)), folder, "marked")
+    ledger = rollup.Ledger(spark, f"{folder}/ledger")
+    rollup.history(ledger, counts)
+    return ledger.totals()
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of op1 with two tokenizer versions that SQL can count: words and UTF-8 bytes."""
+    t = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.md5(t).alias("__t"), F.regexp_count(t, F.lit(WORD)).alias("words"), F.octet_length(t).alias("bytes")
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("version"), F.col(c).cast("long").alias("n_tokens")) for c in ("words", "bytes")]))
+    folder = shared_folder(spark)
+    counts = _copies(stage(docs, folder, "counts")).select("doc_id", "source", "lang", "copy", each.alias("v"))
+    counts = counts.select("doc_id", "source", "lang", "copy", "v.version", "v.n_tokens")
+    ledger = rollup.Ledger(spark, f"{folder}/ledger")
+    rollup.history(ledger, counts)
+    return ledger.totals()
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # words are counted once and written; the totals and the positions both read them
@@ -43,6 +85,10 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_documents(spark, files)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     # the measures of all documents are written once and serve the cut-offs and the verdicts
@@ -54,12 +100,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_rollup": op1_token_rollup,
+    "op2_media": op2_media,
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_packed_ids": op7_packed_ids,
     "op8_quality": op8_quality,
+    "op9_main_text": op9_main_text,
     "op10_simhash": op10_simhash,
+    "token_rollup_words": token_rollup_words,
 }
 
 #: Cut-offs as in quality.GRID, tail and correction as in quality.cutoffs.
@@ -67,6 +118,13 @@ _GRID_ROWS = ", ".join(f"('{name}', {c}::DOUBLE)" for name, cs in quality.GRID.i
 _POINTS = sum(map(len, quality.GRID.values()))
 
 ORACLES: dict[str, str] = {
+    "token_rollup_words": r"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS x FROM documents),
+kept AS (SELECT *, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+v AS (SELECT source, lang, 'words' AS version, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) + 1 AS n FROM kept WHERE doc_id = first
+      UNION ALL SELECT source, lang, 'bytes', strlen(x) + 1 FROM kept WHERE doc_id = first)
+SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM v GROUP BY ALL
+""",
     "op8_quality": rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS x FROM documents),
 w AS (SELECT r, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws,
