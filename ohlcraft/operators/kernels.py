@@ -53,8 +53,13 @@ def rolling(x: np.ndarray, n: int, how: str) -> np.ndarray:
     return getattr(pd.Series(x).rolling(n, min_periods=1), how)().to_numpy()
 
 
+def cents(x: np.ndarray) -> np.ndarray:
+    """Two places, halves up."""
+    return np.floor((x + 1e-5) * 100 + 0.5) / 100
+
+
 def kdj(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hh, ll = np.round(rolling(h, n, "max"), 2), np.round(rolling(low, n, "min"), 2)
+    hh, ll = cents(rolling(h, n, "max")), cents(rolling(low, n, "min"))
     span = hh - ll
     rsv = np.where(span == 0, 0.0, (c - ll) / np.where(span == 0, 1.0, span) * 100)
     k, d = rsv.copy(), rsv.copy()
