@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import blocks, text_of
 
 #: Entries of a worker's word cache; two generations are kept.
-CACHE = 250_000
+CACHE = 350_000
 
 #: A blank before further white space: there the next blank-free piece depends on what precedes it.
 _TANGLED = re.compile("[ ](?=[\t-\r \x85\xa0  -     　])")

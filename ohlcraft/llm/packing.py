@@ -26,6 +26,8 @@ from .common import blocks, text_of
 
 #: Ids of a block at which it is closed.
 BLOCK_IDS = 1 << 18
+#: Pieces that are encoded as one text.
+JOINT = 400
 
 
 def width_for(vocabulary: int) -> int:
@@ -64,15 +66,33 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = PieceCache()
+        first = np.zeros(self.vocabulary, bool)  # tokens that begin with a blank, which byte-level vocabularies write as U+0120
+        for token, at in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            first[at] = token.startswith("\u0120")
+        self.blank_first = first
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, lack: list[str]) -> None:
+        """Pieces are encoded many to a text: each begins with the only blank it has, so the ids part again at the tokens
+        that begin with a blank. Pieces that are empty or begin with white space would run into the one before."""
+        alone = [k for k in lack if not k or k[0].isspace()]
+        joint = [k for k in lack if k and not k[0].isspace()]
+        groups = [joint[i : i + JOINT] for i in range(0, len(joint), JOINT)]
+        for group, ids in zip(groups, self._call(["".join([" " + k for k in g]) for g in groups])):
+            starts = np.flatnonzero(self.blank_first[np.frombuffer(ids, "<u4")])
+            if len(starts) != len(group) or starts[0]:
+                alone += group
+                continue
+            at = (starts * 4).tolist()
+            self.pieces.update(zip(group, [ids[i:j] for i, j in zip(at, [*at[1:], len(ids)])]))
+        self.pieces.update(zip(alone, self._call([" " + k for k in alone])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = [None if _TANGLED.search(t) else t.split(" ") for t in texts]
         heads = self._call([t if c is None else c[0] for t, c in zip(texts, cut)])
-        lack = self.pieces.missing(set().union(*(c[1:] for c in cut if c is not None)))
-        self.pieces.update(zip(lack, self._call([" " + k for k in lack])))
+        self._learn(self.pieces.missing(set().union(*(c[1:] for c in cut if c is not None))))
         get = self.pieces.__getitem__
         return [h + b"".join(map(get, c[1:])) if c else h for h, c in zip(heads, cut)]
 
