@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_indicators, q_relational, q_window
+from . import q_indicators, q_models, q_relational, q_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (q_window, q_relational, q_indicators):
+for part in (q_window, q_relational, q_indicators, q_models):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
