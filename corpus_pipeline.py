@@ -15,11 +15,7 @@ from ohlcraft.llm.common import shared_folder, stage, table
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a certified cut-off rejects go."""
-    folder = shared_folder(spark)
-    measured = quality.measured(docs).withColumnRenamed("lang", "stratum")
-    narrow = stage(measured.select("doc_id", "stratum", "q"), folder, "measures")
-    limits = stage(quality.limits(narrow, table(spark, sf_dir, "labels")), folder, "limits")
-    return quality.verdicts(measured, limits).where("kept").withColumnRenamed("stratum", "lang").select(*docs.columns)
+    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, shared_folder, stage, text_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -163,6 +163,11 @@ def verdicts(measures: DataFrame, limit: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs(doc_id, text, stratum, ...) -> the columns of docs, q, base_failed and kept."""
-    m = measured(docs).withColumn("stratum", F.col(stratum))
-    return verdicts(m, limits(m.select("doc_id", "stratum", "q"), labels)).drop("stratum")
+    """docs(doc_id, text, stratum, ...) -> the columns of docs, q, base_failed and kept.
+
+    The measured rows are written once: a filter on kept would else be pushed below the measures and repeat them.
+    """
+    folder = shared_folder(docs.sparkSession)
+    m = stage(measured(docs).withColumn("stratum", F.col(stratum)), folder, "measures")
+    limit = stage(limits(m.select("doc_id", "stratum", "q"), labels), folder, "limits")
+    return verdicts(m, limit).drop("stratum")
