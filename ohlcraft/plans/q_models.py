@@ -202,3 +202,48 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH l AS (SELECT event_type AS symbol, max(ts) AS dt FROM events GROUP BY 1) SELECT symbol, dt, (epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(dt)))::BIGINT AS age FROM l WHERE epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(dt) > 180")
 def stale_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.stale(B.ticks(spark, sf_dir), "2024-02-01 00:00:00", 60).select("symbol", "dt", F.col("age").cast("bigint").alias("age"))
+
+
+@query()
+def regression_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import regression_cross as cross
+
+    floats = {c: 4 for c in ("channel", "slope", "slope_ub", "drawdown_3", "drawdown_4", "score_21", "score_84")}
+    df = cross(day_bars(spark, sf_dir)).withColumnRenamed("cross", "cross_")
+    return pick(df, floats, ("cross_", "jx_before", "sx_before", "band_jx_before", "band_sx_before", "boost_run"))
+
+
+@query(with_bars(f", a AS (SELECT *, {sma('close', 5)} AS ma5, {sma('close', 20)} AS ma20 FROM b), f AS (SELECT *, coalesce(ma5 < ma20, false) AS f FROM a), g AS (SELECT *, f AND NOT coalesce(lag(f) {OW}, false) AS n FROM f) SELECT symbol, sum(n::INT)::BIGINT AS crossings FROM g GROUP BY symbol"))
+def crossings_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import crossings_down as down
+
+    return down(numbered(spark, sf_dir).withColumns({"ma5": W.sma("close", 5), "ma20": W.sma("close", 20)}), "ma5", "ma20")
+
+
+@query(with_bars(f", p AS (SELECT symbol, max(rn) // 2 AS rn FROM b GROUP BY symbol) SELECT symbol, rn::BIGINT AS rn, dt, {R('close')} AS close FROM p JOIN b USING (symbol, rn)"))
+def gather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import at_rows
+
+    b = day_bars(spark, sf_dir)
+    places = b.groupBy("symbol").agg(F.floor(F.count("*") / 2).cast("bigint").alias("rn"))
+    return at_rows(b, places, ["dt", "close"]).select("symbol", "rn", "dt", r(F.col("close")).alias("close"))
+
+
+@query(with_bars(f", a AS (SELECT *, {sma('close', 5)} AS ma5, {sma('close', 20)} AS ma20, close > open AS up FROM b), s1 AS (SELECT *, CASE WHEN coalesce(close > ma20, false) THEN 1 ELSE 0 END AS s FROM a), s2 AS (SELECT * EXCLUDE s, CASE WHEN coalesce(close < ma20 AND coalesce(lag(s) {OW}, 0) <= 0, false) THEN -1 ELSE s END AS s FROM s1), s3 AS (SELECT * EXCLUDE s, CASE WHEN coalesce(ma5 > ma20 AND up AND coalesce(lag(s) {OW}, 0) >= 0, false) THEN 2 ELSE s END AS s FROM s2) SELECT symbol, dt, (CASE WHEN s > 0 AND coalesce(volume > 90, false) THEN 0 ELSE s END)::BIGINT AS signal FROM s3"))
+def band_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import band_signal as cascade
+
+    df = numbered(spark, sf_dir).withColumns({"ma5": W.sma("close", 5), "ma20": W.sma("close", 20)})
+    rules = [(1, "close > ma20"), (-1, "close < ma20 and prev <= 0"), (2, "ma5 > ma20 and close > open and prev >= 0")]
+    return cascade(df, rules, "volume > 90").select("symbol", "dt", F.col("signal").cast("bigint").alias("signal"))
+
+
+@query(with_bars(f", f AS (SELECT symbol, dt, (close > open)::INT AS buy, (close < open * 0.9::DOUBLE)::INT AS sell, rn FROM b), s AS (SELECT *, rn - coalesce(last_value(CASE WHEN buy = 1 THEN rn END IGNORE NULLS) {UPTO}, 0) AS bs, rn - coalesce(last_value(CASE WHEN sell = 1 THEN rn END IGNORE NULLS) {UPTO}, 0) AS ss FROM f) SELECT symbol, dt, (bs < ss)::BIGINT AS held FROM s"))
+def onhold_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = numbered(spark, sf_dir).withColumns({"buy": F.col("close") > F.col("open"), "sell": F.col("close") < F.col("open") * 0.9})
+    return backtest.onhold_position(df, "buy", "sell", "held").select("symbol", "dt", "held")
+
+
+@query(with_bars(RET + f""", l AS (SELECT *, ln(1 + coalesce(ret, 0)) AS l FROM r), c AS (SELECT *, sum(l) {UPTO} AS c FROM l), p AS (SELECT *, greatest(max(c) {UPTO}, 0) AS p FROM c) SELECT symbol, {R('min(exp(c - p) - 1)')} AS max_drawdown FROM p GROUP BY symbol"""))
+def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.max_drawdown(returns(spark, sf_dir), "ret").select("symbol", r(F.col("max_drawdown")).alias("max_drawdown"))

@@ -148,3 +148,36 @@ def stream_peaks(ticks: DataFrame, lag: int = 10, threshold: float = 3.0, influe
     return ticks.groupBy("symbol").applyInPandasWithState(
         peak_updates(lag, threshold, influence), PEAK_ROWS, PEAK_STATE, "append", "NoTimeout"
     )
+
+
+STRUCTURE_STATE = "dt array<timestamp>, high array<double>, low array<double>"
+STRUCTURE_ROWS = "symbol string, dt timestamp, strokes int, mark string, price double"
+
+
+def structure_updates(keep: int = 2000) -> Callable:
+    """For applyInPandasWithState: strokes of each symbol after each micro batch. A bar that comes again replaces the one of
+    its time; state is the symbol's last `keep` bars, from which the structure is made anew."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        from ..operators.structure import fractals, merge_bars, strokes
+
+        held: dict = {}
+        if state.exists:
+            held = {t: (h, x) for t, h, x in zip(*state.get)}
+        for rows in frames:
+            held |= {r.dt: (float(r.high), float(r.low)) for r in rows.itertuples()}
+        times = sorted(held)[-keep:]
+        high, low = [held[t][0] for t in times], [held[t][1] for t in times]
+        state.update((times, high, low))
+        import numpy as np
+
+        bars = merge_bars(np.array(high), np.array(low))
+        points = strokes(bars, fractals(bars))
+        last = points[-1] if points else (None, None, None)
+        yield pd.DataFrame({"symbol": [key[0]], "dt": [times[-1]], "strokes": [len(points)], "mark": [last[1]], "price": [last[2]]})
+
+    return update
+
+
+def stream_structure(bars: DataFrame, keep: int = 2000) -> DataFrame:
+    return bars.groupBy("symbol").applyInPandasWithState(structure_updates(keep), STRUCTURE_ROWS, STRUCTURE_STATE, "update", "NoTimeout")
