@@ -16,7 +16,7 @@ that share a doc_id are each judged by their own text; an empty table gives an e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, shared_folder, stage, text_of
@@ -131,13 +131,14 @@ def cutoffs(judged: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.count_if("g.out").alias("k"))
     )
     points = sum(map(len, GRID.values()))
-    made = tests.select(F.count_distinct(F.coalesce(F.concat(F.lit("s"), "stratum"), F.lit(""))).alias("strata"))
+    # windows over all rows: one for each stratum and grid point
+    tests = tests.withColumn("__rank", F.dense_rank().over(Window.orderBy("stratum")))
+    tested = tests.withColumn("strata", F.max("__rank").over(Window.partitionBy()))
     # a tail is over 0.3 where k reaches n * RISK: such a cut-off is out without summing
     p = F.when(F.col("k") >= F.col("n") * RISK, 1.0).otherwise(binomial_tail(F.col("n"), F.col("k"), RISK))
-    # one row: the number of strata
-    tested = tests.crossJoin(F.broadcast(made)).withColumn("p", p)
     return (
-        tested.where(F.col("p") * F.col("strata") * points <= ALPHA)
+        tested.withColumn("p", p)
+        .where(F.col("p") * F.col("strata") * points <= ALPHA)
         .groupBy("stratum", "score")
         .agg(F.min("cutoff").alias("cutoff"))
     )
