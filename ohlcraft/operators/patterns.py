@@ -40,7 +40,7 @@ class _Bar:
 
 def rules() -> dict[str, Column]:
     """Pattern -> score of the current bar."""
-    a, b, c = _Bar(0), _Bar(1), _Bar(2)
+    a, b, c, d, e = (_Bar(k) for k in range(5))
 
     def sign(bull: Column | None = None, bear: Column | None = None) -> Column:
         out = F.when(F.coalesce(bull, F.lit(False)), 100) if bull is not None else None
@@ -55,6 +55,12 @@ def rules() -> dict[str, Column]:
     three_up = a.white & b.white & c.white & (a.c > b.c) & (b.c > c.c)
     three_dn = a.black & b.black & c.black & (a.c < b.c) & (b.c < c.c)
     in_body = lambda x, y: (x.o <= y.top + y.near) & (x.o >= y.bottom - y.near)
+    closer = lambda x, y: (x.c > y.c) & (x.o > y.bottom - y.near) & (x.o < y.top + y.near)
+    lower = lambda x, y: (x.h < y.h) & (x.l < y.l)
+    naked = lambda x: x.long & x.no_up & x.no_down
+    whites, blacks = b.white & c.white & d.white, b.black & c.black & d.black
+    kick_up, kick_dn = naked(b) & naked(a) & b.black & a.white & (a.l > b.h), naked(b) & naked(a) & b.white & a.black & (a.h < b.l)
+    small = b.short & c.short & d.short
     b_in_c = (b.top < c.top) & (b.bottom > c.bottom)
     return {
         "doji": sign(a.doji),
@@ -125,6 +131,38 @@ def rules() -> dict[str, Column]:
             (b.bottom > c.top) & (a.bottom > c.top) & b.white & a.white & (F.abs(a.o - b.o) <= b.equal) & (F.abs(a.body - b.body) <= b.near),
             (b.top < c.bottom) & (a.top < c.bottom) & b.white & a.white & (F.abs(a.o - b.o) <= b.equal) & (F.abs(a.body - b.body) <= b.near),
         ),
+        # of four and five bars
+        "linestrike3": sign(
+            whites & closer(c, d) & closer(b, c) & a.black & (a.o > b.c) & (a.c < d.o),
+            blacks & (c.c < d.c) & (b.c < c.c) & a.white & (a.o < b.c) & (a.c > d.o),
+        ),
+        "abandonedbaby": sign(
+            c.long & c.black & b.doji & a.white & (b.h < c.l) & (a.l > b.h) & (a.c > c.c + 0.3 * c.body),
+            c.long & c.white & b.doji & a.black & (b.l > c.h) & (a.h < b.l) & (a.c < c.c - 0.3 * c.body),
+        ),
+        "breakaway": sign(
+            e.long & e.black & d.black & (d.top < e.bottom) & lower(c, d) & lower(b, c) & b.black & a.white & (a.c > d.o) & (a.c < e.c),
+            e.long & e.white & d.white & (d.bottom > e.top) & lower(d, c) & lower(c, b) & b.white & a.black & (a.c < d.o) & (a.c > e.c),
+        ),
+        "concealbabyswall": sign(
+            blacks & a.black & d.no_up & d.no_down & c.no_up & c.no_down & (b.top < c.bottom) & ~b.no_up & (b.h > c.c) & (a.h > b.h) & (a.l < b.l)
+        ),
+        "hikkakemod": sign(
+            (c.h < d.h) & (c.l > d.l) & (b.h < c.h) & (b.l > c.l) & (c.c <= c.l + c.near) & lower(a, b),
+            (c.h < d.h) & (c.l > d.l) & (b.h < c.h) & (b.l > c.l) & (c.c >= c.h - c.near) & lower(b, a),
+        ),
+        "kickingbylength": sign(
+            (kick_up | kick_dn) & F.when(a.body > b.body, a.white).otherwise(b.white), (kick_up | kick_dn) & F.when(a.body > b.body, a.black).otherwise(b.black)
+        ),
+        "ladderbottom": sign(e.black & d.black & c.black & b.black & (e.o > d.o) & (d.o > c.o) & (e.c > d.c) & (d.c > c.c) & ~b.no_up & a.white & (a.o > b.o) & (a.c > b.h)),
+        "mathold": sign(
+            e.long & e.white & small & d.black & a.white & (d.bottom > e.c) & (c.bottom < e.c) & (b.bottom < e.c) & (c.bottom > e.c - 0.5 * e.body)
+            & (b.bottom > e.c - 0.5 * e.body) & (c.top < d.o) & (b.top < c.top) & (a.o > b.c) & (a.c > F.greatest(d.h, c.h, b.h))
+        ),
+        "risefall3methods": sign(
+            e.long & e.white & small & blacks & (F.greatest(d.top, c.top, b.top) < e.h) & (F.least(d.bottom, c.bottom, b.bottom) > e.l) & (c.c < d.c) & (b.c < c.c) & a.long & a.white & (a.o > b.c) & (a.c > e.c),
+            e.long & e.black & small & whites & (F.greatest(d.top, c.top, b.top) < e.h) & (F.least(d.bottom, c.bottom, b.bottom) > e.l) & (c.c > d.c) & (b.c > c.c) & a.long & a.black & (a.o < b.c) & (a.c < e.c),
+        ),
         "hikkake": sign((b.h < c.h) & (b.l > c.l) & (a.h < b.h) & (a.l < b.l), (b.h < c.h) & (b.l > c.l) & (a.h > b.h) & (a.l > b.l)),
     }
 

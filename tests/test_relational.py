@@ -131,7 +131,7 @@ def test_patterns_on_drawn_candles(spark):
     df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(rows)], "symbol long, dt long, open double, high double, low double, close double")
     last = patterns.patterns(df).orderBy(F.desc("dt")).first()
     assert last.p_engulfing == 100 and last.p_doji == 0 and last.p_longline == 100
-    assert len(patterns.rules()) >= 50
+    assert len(patterns.rules()) == 61
 
 
 def test_circle(spark):
