@@ -15,7 +15,7 @@ from ohlcraft.llm.common import shared_folder, stage, table
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a certified cut-off rejects go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,16 +68,18 @@ def _position(words_before: Column, words: Column, total: Column) -> Column:
     return 2.0 * u / (F.col("__a") + F.sqrt(F.col("__a") * F.col("__a") + 2.0 * (F.col("__b") - F.col("__a")) * u))
 
 
-def mix(docs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """docs(doc_id, source, text or size, ...) -> all columns, size, source_size, target, taken and
-    turns array<struct<turn int, words long, position double>>, one for each time a document is taken.
+OWN = ("source_size", "target", "taken", "turns")
 
-    sizes(doc_id, source, size): the same rows, already counted, if there is such a table."""
-    rows = docs if "size" in docs.columns else sized(docs)
+
+def mix(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """docs(doc_id, source, text, ...) -> all columns, size, source_size, target, taken and
+    turns array<struct<turn int, words long, position double>>, one for each time a document is taken; these replace
+    other columns of their names. counted: docs holds size (see sized) and needs no text."""
+    docs = docs.drop(*OWN) if counted else docs.drop("size", *OWN)
+    rows = docs if counted else sized(docs)
     h = F.xxhash64(F.col("doc_id"), F.lit(7))
     bucket = F.shiftrightunsigned(h, 64 - (BUCKETS.bit_length() - 1))
-    counted = (rows if sizes is None else sizes).select("source", "size", bucket.alias("__bucket"))
-    parts = counted.groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
+    parts = rows.select("source", "size", bucket.alias("__bucket")).groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
     goal = targets(parts.groupBy("source").agg(F.sum("__n").alias("source_size")))
     in_source = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("__first", F.coalesce(F.sum("__n").over(in_source), F.lit(0).cast("long")))
@@ -103,8 +105,7 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     ]
     df = df.withColumn("taken", sum((F.col(f"__w{k}") for k in range(1, MAX_REPEAT)), F.col("__w0")))
     df = df.withColumn("turns", F.filter(F.array(*turns), lambda t: t["words"] > 0))
-    extra = ["size"] if "size" not in docs.columns else []
-    return df.select(*docs.columns, *extra, "source_size", "target", "taken", "turns")
+    return df.select(*docs.columns, *([] if counted else ["size"]), *OWN)
 
 
 def by_position(df: DataFrame, position: str = "position") -> DataFrame:
@@ -116,6 +117,7 @@ def by_position(df: DataFrame, position: str = "position") -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The training order: a row of docs for each time a document is taken, whole documents only (a document taken in
     part counts as taken when that part is half of it or more), range-sorted by position."""
-    taken = mix(docs).select(*docs.columns, "size", F.explode("turns").alias("__t"))
+    rows = sized(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text")).drop("text")
+    taken = mix(rows, counted=True).select("__doc", "doc_id", "size", F.explode("turns").alias("__t"))
     taken = taken.where(2 * F.col("__t.words") >= F.col("size")).withColumn("__position", F.col("__t.position"))
-    return by_position(taken, "__position").select(*docs.columns)
+    return by_position(taken, "__position").select("__doc.*")

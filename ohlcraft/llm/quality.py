@@ -112,7 +112,7 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(judged: DataFrame, labels: DataFrame) -> DataFrame:
-    """judged(doc_id, stratum, q), labels(doc_id, quality) -> (stratum, score, cutoff): the certified ones.
+    """judged(doc_id, __stratum, q), labels(doc_id, quality) -> (stratum, score, cutoff): the certified ones.
 
     Only counts for each stratum, score and grid point meet; they come from all labelled documents.
     """
@@ -126,7 +126,7 @@ def cutoffs(judged: DataFrame, labels: DataFrame) -> DataFrame:
         ]
     )
     tests = (
-        held.select("stratum", F.explode(grid).alias("g"))
+        held.select(F.col("__stratum").alias("stratum"), F.explode(grid).alias("g"))
         .groupBy("stratum", "g.score", "g.cutoff")
         .agg(F.count("*").alias("n"), F.count_if("g.out").alias("k"))
     )
@@ -145,30 +145,44 @@ def cutoffs(judged: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def limits(judged: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each stratum with a certified cut-off: (stratum, one column for each score)."""
+    """One row for each stratum with a certified cut-off: (__of, one column for each score)."""
     certified = cutoffs(judged, labels)
-    return certified.groupBy(F.col("stratum").alias("__stratum")).agg(
+    return certified.groupBy(F.col("stratum").alias("__of")).agg(
         *[F.max(F.when(F.col("score") == name, F.col("cutoff"))).alias(f"__{name}") for name in GRID]
     )
 
 
 def verdicts(measures: DataFrame, limit: DataFrame) -> DataFrame:
-    """Adds base_failed and kept; measures has stratum and q. Strata are joined null-safely."""
+    """Adds base_failed and kept; measures has __stratum and q. Strata are joined null-safely."""
     over = [F.coalesce(s > F.col(f"__{name}"), F.lit(False)) for name, s in scores().items()]
     bad = over[0]
     for x in over[1:]:
         bad = bad | x
-    joined = measures.join(limit, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    joined = measures.join(limit, F.col("__stratum").eqNullSafe(F.col("__of")), "left")
     out = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
-    return out.drop("__stratum", *[f"__{name}" for name in GRID])
+    return out.drop("__stratum", "__of", *[f"__{name}" for name in GRID])
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs(doc_id, text, stratum, ...) -> the columns of docs, q, base_failed and kept.
+OWN = ("q", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """(__doc struct of all columns of docs, doc_id, q, base_failed, kept).
 
     The measured rows are written once: a filter on kept would else be pushed below the measures and repeat them.
     """
     folder = shared_folder(docs.sparkSession)
-    m = stage(measured(docs).withColumn("stratum", F.col(stratum)), folder, "measures")
-    limit = stage(limits(m.select("doc_id", "stratum", "q"), labels), folder, "limits")
-    return verdicts(m, limit).drop("stratum")
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", F.col(stratum).alias("__stratum"))
+    m = stage(measured(rows).drop("text"), folder, "measures")
+    limit = stage(limits(m.select("doc_id", "__stratum", "q"), labels), folder, "limits")
+    return verdicts(m, limit)
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """docs(doc_id, text, stratum, ...) -> the columns of docs, q, base_failed and kept; the last three replace others of their names."""
+    return _judged(docs, labels, stratum).select(*[f"__doc.`{c}`" for c in docs.columns if c not in OWN], *OWN)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    return _judged(docs, labels, stratum).where("kept").select("__doc.*")

@@ -71,7 +71,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # words are counted once and written; the totals and the positions both read them
     sizes = stage(mixing.sized(docs).select("doc_id", "source", "size"), shared_folder(spark), "sizes")
-    out = mixing.mix(sizes).withColumn("position", F.try_element_at("turns", F.lit(1))["position"])
+    out = mixing.mix(sizes, counted=True).withColumn("position", F.try_element_at("turns", F.lit(1))["position"])
     return mixing.by_position(out.select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
@@ -92,7 +92,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     # the measures of all documents are written once and serve the cut-offs and the verdicts
-    m = quality.measured(docs).select("doc_id", F.col("lang").alias("stratum"), "q")
+    m = quality.measured(docs).select("doc_id", F.col("lang").alias("__stratum"), "q")
     m = stage(m, shared_folder(spark), "measures")
     out = quality.verdicts(m, quality.limits(m, table(spark, sf_dir, "labels")))
     counts = [f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
