@@ -280,3 +280,65 @@ def wave_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = W.w().rowsBetween(-30, 29)
     lo, hi = F.min("low").over(f), F.max("high").over(f)
     return numbered(spark, sf_dir).select("symbol", "dt", F.col("rn").alias("i"), r(F.col("close")).alias("close"), r(lo).alias("low60"), r(hi).alias("high60"), (F.col("low") == lo).cast("bigint").alias("is_low"), (F.col("high") == hi).cast("bigint").alias("is_high"))
+
+
+ORACLES["kdj_cross"] = recursive(
+    _KDJ + f""", j AS (SELECT *, 3 * k - 2 * d AS j, lag(k) {OW} AS k1, lag(d) {OW} AS d1 FROM k),
+ s AS (SELECT *, (CASE WHEN j > d THEN 1 WHEN j < d THEN -1 ELSE 0 END)::BIGINT AS state FROM j)""",
+    f"""SELECT symbol, dt, {R('j', 2)} AS j, coalesce(k > d AND k1 <= d1 AND d <= 30, false)::BIGINT AS golden, coalesce(d > k AND d1 <= k1 AND d >= 70, false)::BIGINT AS dead,
+ state, {run('state > 0')} - ({run('state < 0')}) AS run FROM s""",
+)
+
+_UPS = f""", dd AS (SELECT *, close - lag(close) {OW} AS c1 FROM b), up_ AS (SELECT symbol, dt, rn, greatest(c1, 0) AS x FROM dd WHERE rn > 1), dn_ AS (SELECT symbol, dt, rn, greatest(-c1, 0) AS x FROM dd WHERE rn > 1)"""
+
+
+def _rsi_of(*lengths: int) -> str:
+    parts = "".join(wilder("up_", n, f"u{n}_", 2) + wilder("dn_", n, f"d{n}_", 2) for n in lengths)
+    joins = " ".join(f"LEFT JOIN u{n}_ ON u{n}_.symbol = b.symbol AND u{n}_.rn = b.rn LEFT JOIN d{n}_ ON d{n}_.symbol = b.symbol AND d{n}_.rn = b.rn" for n in lengths)
+    values = ", ".join(f"CASE WHEN u{n}_.e + d{n}_.e = 0 THEN 0 ELSE 100 * u{n}_.e / (u{n}_.e + d{n}_.e) END AS r{n}" for n in lengths)
+    return f"{_UPS}{parts}, rs AS (SELECT b.symbol, b.dt, b.rn, b.close, {values} FROM b {joins})"
+
+
+ORACLES["rsi_cross"] = recursive(
+    _rsi_of(6, 12, 24) + ", st AS (SELECT *, (CASE WHEN r6 > r12 AND r12 > r24 THEN 1 WHEN r6 < r12 AND r12 < r24 THEN -1 ELSE 0 END)::BIGINT AS state FROM rs)",
+    f"SELECT symbol, dt, {R('r6', 3)} AS rsi_6, state, {run('state > 0')} - ({run('state < 0')}) AS run FROM st",
+)
+
+
+@query(recursive(_atr(14) + f", g AS (SELECT b.*, {full(f'regr_intercept(close, b.rn) OVER w + regr_slope(close, b.rn) OVER w * b.rn', 20).replace('rn >=', 'b.rn >=')} AS line, wa.e AS a FROM b LEFT JOIN wa ON wa.symbol = b.symbol AND wa.rn = b.rn WINDOW w AS (PARTITION BY b.symbol ORDER BY b.dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))",
+                 f"SELECT symbol, dt, {R('line', 2)} AS lr_line, {R('line + a', 2)} AS lr_ub, {R('line - a', 2)} AS lr_lb, coalesce(sign(line - lag(line) {OW}), 0)::BIGINT AS lr_dir FROM g"))
+def linreg_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(h, low, c):
+        line, up, down, way = K.linreg_band(h, low, c)
+        return {"lr_line": line, "lr_ub": up, "lr_lb": down, "lr_dir": way}
+
+    found = I.with_kernel(day_bars(spark, sf_dir), ["high", "low", "close"], "lr_line double, lr_ub double, lr_lb double, lr_dir bigint", kernel, [])
+    return pick(found, {"lr_line": 2, "lr_ub": 2, "lr_lb": 2}, ("lr_dir",))
+
+
+@query(recursive(""", k AS (SELECT symbol, dt, rn, close AS level, 0::BIGINT AS bricks FROM b WHERE rn = 1 UNION ALL
+ SELECT b.symbol, b.dt, b.rn, CASE WHEN abs(b.close - k.level) >= 500 THEN k.level + trunc((b.close - k.level) / 500) * 500 ELSE k.level END, CASE WHEN abs(b.close - k.level) >= 500 THEN trunc((b.close - k.level) / 500) ELSE 0 END::BIGINT
+ FROM k JOIN b ON b.symbol = k.symbol AND b.rn = k.rn + 1)""", f"SELECT symbol, dt, {R('level')} AS level, bricks FROM k"))
+def renko_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.ml import renko
+
+    def kernel(c):
+        level, bricks, _, _ = renko(c, 500.0)
+        return {"level": level, "bricks": bricks}
+
+    return pick(I.with_kernel(day_bars(spark, sf_dir), ["close"], "level double, bricks bigint", kernel, []), {"level": 4}, ("bricks",))
+
+
+_CANDLE = f""", c0 AS (SELECT *, abs(close - open) AS body, high - low AS rng, high - greatest(open, close) AS up, least(open, close) - low AS dn, greatest(open, close) AS top, least(open, close) AS bot, CASE WHEN close >= open THEN 1 ELSE -1 END AS d FROM b),
+ c1 AS (SELECT *, avg(body) OVER w AS ab, avg(rng) OVER w AS ar FROM c0 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+ c2 AS (SELECT *, lag(open) {OW} AS o1, lag(close) {OW} AS c1, lag(top) {OW} AS t1, lag(bot) {OW} AS b1, lag(d) {OW} AS d1, lag(body) {OW} AS body1, lag(ab) {OW} AS ab1 FROM c1)"""
+
+
+@query(with_bars(_CANDLE + """ SELECT symbol, dt, (CASE WHEN body <= 0.1::DOUBLE * ar THEN 100 ELSE 0 END)::BIGINT AS doji,
+ (CASE WHEN d = 1 AND d1 = -1 AND close >= o1 AND open <= c1 AND (close > o1 OR open < c1) THEN 100 WHEN d = -1 AND d1 = 1 AND open >= c1 AND close <= o1 AND (open > c1 OR close < o1) THEN -100 ELSE 0 END)::BIGINT AS engulfing,
+ (CASE WHEN body > ab AND up < 0.1::DOUBLE * ar AND dn < 0.1::DOUBLE * ar THEN 100 * d ELSE 0 END)::BIGINT AS marubozu,
+ (CASE WHEN body1 > ab1 AND body < ab AND top < t1 AND bot > b1 THEN -100 * d1 ELSE 0 END)::BIGINT AS harami,
+ (CASE WHEN body < ab AND up > body AND dn > body THEN 100 * d ELSE 0 END)::BIGINT AS spinningtop FROM c2"""))
+def candle_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = patterns.patterns(day_bars(spark, sf_dir))
+    return df.select("symbol", "dt", *[F.col(f"p_{c}").cast("bigint").alias(c) for c in ("doji", "engulfing", "marubozu", "harami", "spinningtop")])

@@ -247,3 +247,14 @@ def onhold_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_bars(RET + f""", l AS (SELECT *, ln(1 + coalesce(ret, 0)) AS l FROM r), c AS (SELECT *, sum(l) {UPTO} AS c FROM l), p AS (SELECT *, greatest(max(c) {UPTO}, 0) AS p FROM c) SELECT symbol, {R('min(exp(c - p) - 1)')} AS max_drawdown FROM p GROUP BY symbol"""))
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.max_drawdown(returns(spark, sf_dir), "ret").select("symbol", r(F.col("max_drawdown")).alias("max_drawdown"))
+
+
+def _checked() -> str:
+    from .q_indicators import _rsi_of, recursive, wilder
+
+    tr = f", t_ AS (SELECT *, greatest(high - low, abs(high - lag(close) {OW}), abs(low - lag(close) {OW})) AS x0 FROM b), tr_ AS (SELECT symbol, dt, rn, x0 AS x FROM t_ WHERE rn > 1)" + wilder("tr_", 21, "w21_", 2)
+    parts = _rsi_of(7) + tr + f", v AS (SELECT rs.*, w21_.e AS atr FROM rs LEFT JOIN w21_ ON w21_.symbol = rs.symbol AND w21_.rn = rs.rn), m AS (SELECT *, {sma('r7', 14)} AS mean, {full(f'stddev_pop(r7) {over(14)}', 14)} AS sd, close - lag(close) {OW} AS jump FROM v)"
+    return recursive(parts, "SELECT symbol, dt, (CASE WHEN r7 > least(mean + 1.4::DOUBLE * sd, 70) OR jump < -3 * atr THEN -1 WHEN r7 < greatest(mean - 1.4::DOUBLE * sd, 30) THEN 1 ELSE 0 END)::BIGINT AS check FROM m")
+
+
+ORACLES["rsi_atr_check"] = _checked().replace(" AS check FROM m", " AS \"check\" FROM m")
