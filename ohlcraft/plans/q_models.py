@@ -258,3 +258,46 @@ def _checked() -> str:
 
 
 ORACLES["rsi_atr_check"] = _checked().replace(" AS check FROM m", " AS \"check\" FROM m")
+
+
+def _vote_sql() -> str:
+    """market_vote as SQL, over the same stand-ins."""
+    from .oracle import since
+
+    mas = ", ".join(f"{sma('close', n)} AS ma{n}" for n in (5, 10, 20, 60))
+    up = f"(ma5 > ma10 AND lag(ma5) {OW} <= lag(ma10) {OW})"
+    down = f"(ma10 > ma5 AND lag(ma10) {OW} <= lag(ma5) {OW})"
+    rows = f""", a AS (SELECT *, {mas}, coalesce(close / lag(close) {OW} - 1, 0) AS ret FROM b), c AS (SELECT *, coalesce({up}, false) AS u, coalesce({down}, false) AS d FROM a),
+ e AS (SELECT dt, volume, close > open AS white, sign(ret) AS up, sign(coalesce(close - ma20, 0)) AS ab, sign(coalesce(ma5 - ma60, 0)) AS st, CASE WHEN u THEN 1 WHEN d THEN -1 ELSE 0 END AS cr, {since('u')} AS jx, {since('d')} AS sx FROM c),
+ m AS (SELECT dt, count(*) AS total, sum((up > 0)::INT) AS flu, sum(ab) AS ml, sum((volume > 30)::INT * up) AS vol, sum(ab) AS atr1, sum(st) AS atr2, sum(cr) AS maxf, sum(up) AS dual, sum(white::INT) AS pat, sum(st) AS adx,
+   sum(ab) AS vhma, sum((jx = 0)::INT) AS boot, sum((sx = 0)::INT) AS dead, sum((ab > 0)::INT) AS master, sum((volume > 45)::INT) AS bonus FROM e GROUP BY dt),
+ r1 AS (SELECT *, flu / total AS fr, master / total AS mr FROM m)"""
+    lag = "OVER (ORDER BY dt)"
+    d = lambda c: f"({c} - lag({c}) {lag})"
+    rises = " + ".join(f"coalesce(sign({d(c)}), 0)" for c in ("fr", "mr", "vol", "bonus", "boot", "pat", "flu", "ml", "adx", "vhma"))
+    falls = " - ".join(f"coalesce(sign({d(c)}), 0)" for c in ("maxf", "dual", "dead"))
+    rows += f", r2 AS (SELECT *, coalesce({d('vol')} + {d('bonus')}, 0) AS vfb, coalesce({d('atr1')} + {d('atr2')}, 0) AS atr, {rises} - {falls} AS dif, coalesce({d('maxf')}, 0) AS dmax FROM r1)"
+    rows += f", r3 AS (SELECT *, coalesce(lag(dif) {lag}, 0) AS ldif, coalesce(lag(vfb) {lag}, 0) AS lvfb FROM r2)"
+    weak = "(maxf < 0 OR ldif < 0 OR dmax / total < -0.168::DOUBLE)"
+
+    def cascade(source: str, to: str, ratio: str, flu: str, ml: str, out: str) -> str:
+        q = lambda p: f"quantile_cont({ratio}, {p}) OVER ()"
+        four = "OVER (ORDER BY dt ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+        pct = lambda c: f"{c} / nullif(lag({c}) {lag}, 0)::DOUBLE - 1"
+        return f""", {to}0 AS (SELECT *, {q(0.382)} AS q382, {q(0.618)} AS q618, {q(0.809)} AS q809, median({ml}) OVER () AS med, avg({ratio}) {four} AS m4r, avg({ml}) {four} AS m4l,
+   lag({flu}) {lag} AS lflu, lag({ml}) {lag} AS lml, {pct(flu)} AS pflu, {pct(ml)} AS pml FROM {source}),
+ {to} AS (SELECT * EXCLUDE (q382, q618, q809, med, m4r, m4l, lflu, lml, pflu, pml), CASE WHEN {ratio} < greatest(0.382::DOUBLE, q382) AND atr < 0 THEN -1 WHEN vfb / total < -0.168::DOUBLE THEN -2 WHEN vfb < 0 AND vol < 0 AND {weak} THEN -3
+   WHEN vfb / total > 0.309::DOUBLE THEN 1 WHEN (vfb + lvfb) / total > 0.309::DOUBLE AND vfb / total > 0.168::DOUBLE THEN 2 WHEN (vol + bonus) / total > 0.0618::DOUBLE AND vol > 0 AND vfb > 0 THEN 3
+   WHEN {ratio} < greatest(0.512::DOUBLE, q618) AND m4r < greatest(0.512::DOUBLE, q618) AND m4l < 0 AND {ml} < med AND {weak} THEN -4 WHEN {ratio} < q382 AND {weak} THEN -5 WHEN {ratio} > q809 AND {ml} > med THEN 4
+   WHEN {flu} <= lflu AND {ml} < lml AND {weak} THEN -6 WHEN pflu < 0 AND pml < 0 THEN -7 WHEN pflu > 0 AND dif > 0 AND vol > 0 THEN 5 WHEN pml > 0 AND dif > 0 AND vol > 0 THEN 6 WHEN vol < 0 THEN -8
+   WHEN dif > 0 THEN 9 WHEN dif < 0 AND {weak} THEN -9 WHEN dmax < 0 AND (ldif < 0 OR dif < 0) THEN -11 ELSE 0 END AS {out} FROM {to}0)"""
+
+    rows += cascade("r3", "r4", "fr", "flu", "ml", "mt") + cascade("r4", "r5", "mr", "master", "mt", "ms")
+    rows += f""", r6 AS (SELECT *, CASE WHEN mt > 0 AND ms > 0 THEN mt WHEN mt > 0 AND ms < 0 THEN CASE WHEN dif > 0 THEN 10 ELSE -10 END WHEN mt < 0 AND ms > 0 THEN CASE WHEN dif > 0 THEN 12 ELSE 0 END ELSE mt END AS s FROM r5),
+ r7 AS (SELECT *, lag(s) {lag} AS before FROM r6)
+ SELECT dt, total::BIGINT AS total, dif::BIGINT AS missive_dif, mt::BIGINT AS massive_trend, ms::BIGINT AS master_stream,
+   (CASE WHEN before > 0 AND s = 0 AND vfb > 0 THEN 11 WHEN before < 0 AND s > 0 AND vfb < 0 THEN -99 WHEN s = -4 AND dif > 2 THEN 13 ELSE s END)::BIGINT AS massive_flu FROM r7"""
+    return with_bars(rows)
+
+
+ORACLES["market_vote"] = _vote_sql()
