@@ -79,17 +79,17 @@ def mix(docs: DataFrame, counted: bool = False) -> DataFrame:
     rows = docs if counted else sized(docs)
     h = F.xxhash64(F.col("doc_id"), F.lit(7))
     bucket = F.shiftrightunsigned(h, 64 - (BUCKETS.bit_length() - 1))
-    parts = rows.select("source", "size", bucket.alias("__bucket")).groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
-    goal = targets(parts.groupBy("source").agg(F.sum("__n").alias("source_size")))
-    in_source = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # null-free keys: the join and the window then share one exchange of the documents
+    key, at = ["__s", "__none"], {"__s": F.coalesce("source", F.lit("")), "__none": F.col("source").isNull()}
+    rows = rows.withColumns(at | {"__h": h, "__bucket": bucket})
+    parts = rows.groupBy(*key, "__bucket").agg(F.sum("size").alias("__n"))
+    source = F.when(~F.col("__none"), F.col("__s")).alias("source")
+    goal = targets(parts.groupBy(*key).agg(F.sum("__n").alias("source_size")).select(source, "source_size")).withColumns(at)
+    in_source = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("__first", F.coalesce(F.sum("__n").over(in_source), F.lit(0).cast("long")))
-    placed = placed.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("p.source").alias("__source"), F.col("__bucket").alias("__in"), "__first",
-        "source_size", "target", F.col("a").alias("__a"), F.col("b").alias("__b"),
-    )
-    rows = rows.withColumn("__h", h).withColumn("__bucket", bucket)
-    joined = rows.join(placed, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__in")))
-    inside = Window.partitionBy("source", "__bucket").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(goal.withColumnsRenamed({"a": "__a", "b": "__b"}).drop("source"), key).drop("__n")
+    joined = rows.join(placed, [*key, "__bucket"])
+    inside = Window.partitionBy(*key, "__bucket").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = joined.withColumn("__at", F.col("__first") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     goal_words = F.round("target").cast("long")
     for k in range(MAX_REPEAT):
