@@ -271,12 +271,10 @@ def _outer(root: Node, tags: frozenset[str]) -> list[Node]:
 
 def slots(root: Node, path: list[str] | None) -> list[Node]:
     """The page's nodes at the slot's path; without one its article or main elements, else the whole page."""
-    level = [root]
+    level = [root] if path is not None else []
     for tag in path or []:
         level = [x for node in level for x in node.children if x.tag == tag]
-    if path and path[-1] in ("article", "main") and level:
-        return level
-    return _outer(root, frozenset({"article", "main"})) or (level if path else []) or [root]
+    return level or _outer(root, frozenset({"article", "main"})) or [root]
 
 
 def text_of_nodes(nodes: list[Node]) -> str:

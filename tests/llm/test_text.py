@@ -317,6 +317,11 @@ def test_wrapper_without_article():
     assert wrapper.extract(["", "<p>x", "plain"]) == ["", "x", "plain"]
 
 
+def test_induced_slot_goes_before_the_article_element():
+    pages = [f"<body><article><p>Read our guide</article><div><h1>T{i}</h1><p>text {i}</div></body>" for i in range(5)]
+    assert wrapper.extract(pages)[3] == "T3\ntext 3" and wrapper.extract(pages[:1]) == ["Read our guide"]
+
+
 def test_pages_table(spark):
     rows = [(1, "http://h.x/1", None), (2, None, "<article><p>a<p>b</article>"), (2, None, "<article><p>a<p>b</article>"), (None, "bad url", "<div>" * 3000 + "deep")]
     got = wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")))
