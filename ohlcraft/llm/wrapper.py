@@ -4,9 +4,10 @@ Pages are range-partitioned by host and page hash and sorted, so that pages of a
 is dealt over many; a task holds GROUP pages at a time. Within a group the first page's tree is the wrapper, and every
 page is aligned with it by simple tree matching (children in order, equal tags). Nodes whose text is equal in all pages
 are template; nodes whose text differs and places where pages have additional nodes are varying. The content slot is the
-smallest container that holds everything varying; a page's main text is what stands in its slot. Where there is no
-evidence (one page of a host in the group, or equal pages only) the slot is the page's article or main element, else its
-body. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, known by element, role or
+smallest container that holds everything varying; a page's main text is what stands in the node that is matched with
+it. Inside the slot, nodes equal in all pages are left out where they stand before or after all that varies, and
+containers also between; equal lines between varying ones are text. Where there is no evidence (one page of a host in
+the group, or equal pages only) the slot is the page's article or main element, else its body. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, known by element, role or
 class name, are cut before the alignment.
 
 Defined results: null or empty html has empty text; unknown or null hosts form one group; repeated rows and null ids
@@ -63,7 +64,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "items", "children", "text", "key", "vary", "parent")
+    __slots__ = ("tag", "items", "children", "text", "key", "vary", "gaps", "template", "parent")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -71,7 +72,9 @@ class Node:
         self.children: list[Node] = []
         self.text = ""
         self.key = 0
-        self.vary = False
+        self.vary = False  # own text or children differ between pages
+        self.gaps: set[int] = set()  # places among the children where pages have additional nodes
+        self.template = False  # equal on all pages and outside of what varies
 
 
 def _boilerplate(tag: str, attrs: str) -> bool:
@@ -152,13 +155,26 @@ def _finish(root: Node) -> None:
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [x for x in node.items if isinstance(x, Node)]
+        node.children = [x for x in node.items if isinstance(x, Node) and x.tag != "hr"]  # rules stand for what was cut, too
         node.text = " ".join("".join(x for x in node.items if isinstance(x, str)).split())
         stack += node.children
     for node in reversed(order):
         node.key = hash((node.tag, node.text, tuple(x.key for x in node.children)))
 
 
+def _pairs(w: Node, p: Node) -> tuple[list[tuple[Node, Node]], list[tuple[Node, Node]]]:
+    """Children matched as equal subtrees at either end, and children matched between those."""
+    a, b = w.children, p.children
+    low = 0
+    while low < len(a) and low < len(b) and a[low].key == b[low].key:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high].key == b[-1 - high].key:
+        high += 1
+    ends = list(zip(a[:low], b[:low])) + (list(zip(a[-high:], b[-high:])) if high else [])
+    return ends, _matched(a[low : len(a) - high], b[low : len(b) - high])
+
+
 def align(wrapper: Node, page: Node) -> None:
     """Simple tree matching of page with wrapper, top down; marks the wrapper's nodes that vary."""
     stack = [(wrapper, page)]
@@ -168,19 +184,23 @@ def align(wrapper: Node, page: Node) -> None:
             continue
         if w.text != p.text:
             w.vary = True
-        a, b = w.children, p.children
-        if not a and not b:
+        if not w.children and not p.children:
             continue
-        low = 0
-        while low < len(a) and low < len(b) and a[low].key == b[low].key:
-            low += 1
-        high = 0
-        while high < min(len(a), len(b)) - low and a[-1 - high].key == b[-1 - high].key:
-            high += 1
-        a, b = a[low : len(a) - high], b[low : len(b) - high]
-        pairs = _matched(a, b)
-        if len(pairs) < max(len(a), len(b)):
+        ends, pairs = _pairs(w, p)
+        if len(ends) + len(pairs) < max(len(w.children), len(p.children)):
             w.vary = True
+            of = {id(y): x for x, y in ends + pairs}
+            met = {id(x) for x in of.values()}
+            for x in w.children:
+                if id(x) not in met:
+                    x.vary = True
+            place = {id(x): i for i, x in enumerate(w.children)}
+            at = 0
+            for y in p.children:
+                if id(y) in of:
+                    at = place[id(of[id(y)])] + 1
+                else:
+                    w.gaps.add(at)
         stack += pairs
 
 
@@ -228,8 +248,8 @@ def _matched(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
     return out
 
 
-def slot_path(wrapper: Node) -> list[str] | None:
-    """Tags from the root to the smallest container of all that varies; None without evidence."""
+def find_slot(wrapper: Node) -> Node | None:
+    """Smallest container of all that varies, with its template nodes marked; None without evidence."""
     order, stack = [], [wrapper]
     while stack:
         node = stack.pop()
@@ -251,11 +271,53 @@ def slot_path(wrapper: Node) -> list[str] | None:
         if up.tag in ("article", "main"):
             node = up
         up = up.parent
-    path = []
-    while node.parent is not None:
-        path.append(node.tag)
-        node = node.parent
-    return path[::-1]
+    _mark(node, varied)
+    return node
+
+
+def _mark(slot: Node, varied: dict[int, int]) -> None:
+    """Template nodes of a slot: what is equal on all pages before and after all that varies, and equal containers between.
+
+    Equal lines between varying ones belong to the text that they stand in.
+    """
+    stack = [slot]
+    while stack:
+        node = stack.pop()
+        moves = [x.vary or id(x) in varied for x in node.children]
+        places = [i for i, m in enumerate(moves) if m]
+        first = min(places + [g for g in node.gaps], default=0)
+        last = max(places + [g - 1 for g in node.gaps], default=len(moves) - 1)
+        for i, (x, m) in enumerate(zip(node.children, moves)):
+            if m:
+                if x.tag in _BOX and x.tag != "td":  # a table's cells stand together
+                    stack.append(x)
+            elif (not first <= i <= last and x.tag in _BLOCK) or x.tag in _BOX:
+                x.template = True
+
+
+def locate(wrapper: Node, slot: Node, page: Node) -> tuple[Node | None, set[int]]:
+    """The page's node that is matched with the slot, and the ids of its nodes that equal template nodes."""
+    way = [slot]
+    while way[-1] is not wrapper:
+        way.append(way[-1].parent)
+    here = page
+    for w, below in zip(reversed(way), list(reversed(way))[1:]):
+        ends, pairs = _pairs(w, here)
+        here = next((y for x, y in ends + pairs if x is below), None)
+        if here is None:
+            return None, set()
+    drop: set[int] = set()
+    stack = [(slot, here)]
+    while stack:
+        w, p = stack.pop()
+        ends, pairs = _pairs(w, p)
+        for x, y in ends + pairs:
+            if x.template:
+                if x.key == y.key:
+                    drop.add(id(y))
+            elif x.tag in _BOX:
+                stack.append((x, y))
+    return here, drop
 
 
 def _outer(root: Node, tags: frozenset[str]) -> list[Node]:
@@ -269,16 +331,17 @@ def _outer(root: Node, tags: frozenset[str]) -> list[Node]:
     return out
 
 
-def slots(root: Node, path: list[str] | None) -> list[Node]:
-    """The page's nodes at the slot's path; without one its article or main elements, else the whole page."""
-    level = [root] if path is not None else []
-    for tag in path or []:
-        level = [x for node in level for x in node.children if x.tag == tag]
-    return level or _outer(root, frozenset({"article", "main"})) or [root]
+def slots(wrapper: Node, slot: Node | None, page: Node) -> tuple[list[Node], set[int]]:
+    """The page's node in the slot and what to leave out of it; without one its article or main elements, else the whole page."""
+    if slot is not None:
+        here, drop = locate(wrapper, slot, page)
+        if here is not None:
+            return [here], drop
+    return _outer(page, frozenset({"article", "main"})) or [page], set()
 
 
-def text_of_nodes(nodes: list[Node]) -> str:
-    """Blocks in page order, white space inside a block as one space."""
+def text_of_nodes(nodes: list[Node], drop: set[int]) -> str:
+    """Blocks in page order but those of drop, white space inside a block as one space."""
     out: list[str] = []
     held: list[str] = []
 
@@ -295,6 +358,8 @@ def text_of_nodes(nodes: list[Node]) -> str:
                 held.append(x)
             elif x is None:
                 close()
+            elif id(x) in drop:
+                close()
             elif x.tag == "br":
                 held.append(" ")
             else:
@@ -313,8 +378,8 @@ def extract(pages: list[str]) -> list[str]:
         _finish(t)
     for t in trees[1:]:
         align(trees[0], t)
-    path = slot_path(trees[0])
-    return [text_of_nodes(slots(t, path)) for t in trees]
+    slot = find_slot(trees[0])
+    return [text_of_nodes(*slots(trees[0], slot, t)) for t in trees]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

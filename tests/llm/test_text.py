@@ -322,6 +322,13 @@ def test_induced_slot_goes_before_the_article_element():
     assert wrapper.extract(pages)[3] == "T3\ntext 3" and wrapper.extract(pages[:1]) == ["Read our guide"]
 
 
+def test_template_nodes_are_left_out():
+    pages = [f"<body><div>Site name</div><div><h1>T{i}</h1><p>text {i}</div><div>Imprint</div></body>" for i in range(5)]
+    assert wrapper.extract(pages)[2] == "T2\ntext 2"
+    pages = [f"<body><p>Site name</p><h1>T{i}</h1><div>Contact</div><div><p>By staff</p><p>text {i}<p>equal<p>end {i}</div><p>Imprint</body>" for i in range(5)]
+    assert wrapper.extract(pages)[2] == "T2\ntext 2\nequal\nend 2"
+
+
 def test_pages_table(spark):
     rows = [(1, "http://h.x/1", None), (2, None, "<article><p>a<p>b</article>"), (2, None, "<article><p>a<p>b</article>"), (None, "bad url", "<div>" * 3000 + "deep")]
     got = wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")))
