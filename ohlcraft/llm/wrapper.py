@@ -1,14 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-Pages are range-partitioned by host and page hash and sorted, so that pages of a host meet in one task while a hot host
-is dealt over many; a task holds GROUP pages at a time. Within a group the first page's tree is the wrapper, and every
-page is aligned with it by simple tree matching (children in order, equal tags). Nodes whose text is equal in all pages
-are template; nodes whose text differs and places where pages have additional nodes are varying. The content slot is the
-smallest container that holds everything varying; a page's main text is what stands in the node that is matched with
-it. Inside the slot, nodes equal in all pages are left out where they stand before or after all that varies, and
-containers also between; equal lines between varying ones are text. Where there is no evidence (one page of a host in
-the group, or equal pages only) the slot is the page's article or main element, else its body. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, known by element, role or
-class name, are cut before the alignment.
+Each host has one wrapper, induced from the GROUP distinct pages of least hash and applied to all its pages, so that a
+page's text depends neither on partitions nor on its place among them. Pages are range-partitioned by host and sorted
+by hash; the first ones of a host are its sample. A hot host is dealt over many tasks, and its sample is taken before.
+The first page's tree of the sample is the wrapper, and every page is aligned with it by simple tree matching
+(children in order, equal tags). Nodes whose text is equal in all pages are template; nodes whose text differs and
+places where pages have additional nodes are varying. The content slot is the smallest container that holds everything
+varying; a page's main text is what stands in the node that is matched with it. Inside the slot, nodes equal in all
+pages are left out where they stand before or after all that varies, and containers also between; equal lines between
+varying ones are text. Where there is no evidence (one page of a host, or equal pages only) the slot is the page's
+article or main element, else its body. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and comments, known by element, role or class name, are cut before the alignment.
 
 Defined results: null or empty html has empty text; unknown or null hosts form one group; repeated rows and null ids
 keep their rows; other columns are ignored; an empty table gives an empty table.
@@ -21,13 +23,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Pages aligned with one wrapper.
+#: Distinct pages of a host, those of least hash, that induce its wrapper.
 GROUP = 64
+#: Pages from which a host is dealt over several tasks, and the most hosts that are, whose samples every task gets.
+HOT, MAX_HOT = 10_000, 50
 
 _PART = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S
@@ -371,45 +375,107 @@ def text_of_nodes(nodes: list[Node], drop: set[int]) -> str:
     return "\n".join(out)
 
 
+class Wrapper:
+    """Tree and slot of a host's sample of pages; the pages must differ for a slot."""
+
+    def __init__(self, pages: list[str]) -> None:
+        self.tree, *rest = map(tree, pages)
+        for t in rest:
+            align(self.tree, t)
+        self.slot = find_slot(self.tree)
+
+    def text(self, page: str) -> str:
+        return text_of_nodes(*slots(self.tree, self.slot, tree(page)))
+
+
+def tree(page: str) -> Node:
+    root = parse(page)
+    _finish(root)
+    return root
+
+
 def extract(pages: list[str]) -> list[str]:
-    """Main texts of pages of one host, aligned with each other."""
-    trees = [parse(p) for p in pages]
-    for t in trees:
-        _finish(t)
-    for t in trees[1:]:
-        align(trees[0], t)
-    slot = find_slot(trees[0])
-    return [text_of_nodes(*slots(trees[0], slot, t)) for t in trees]
+    """Main texts of pages of one host; the first GROUP of them induce the wrapper."""
+    wrapper = Wrapper(pages[:GROUP])
+    return [wrapper.text(p) for p in pages]
+
+
+def _samples(rows: DataFrame, hot: DataFrame) -> dict[str, list[str]]:
+    """The GROUP distinct pages of least hash of each hot host, in that order."""
+    of = rows.join(F.broadcast(hot.select("host")), "host")
+    order = Window.partitionBy("host").orderBy("__h")
+    keys = of.select("host", "__h").distinct().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= GROUP)
+    cut = keys.groupBy("host").agg(F.max("__h").alias("__to"))
+    picked = of.join(F.broadcast(cut), "host").where(F.col("__h") <= F.col("__to")).groupBy("host", "__h").agg(F.first("html").alias("html"))
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in picked.toLocalIterator():
+        out.setdefault(r.host, []).append((r["__h"], r.html))
+    return {k: [x for _, x in sorted(v, key=lambda y: y[0])] for k, v in out.items()}
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars; one row for each input row."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    rows = rows.withColumn("__h", F.xxhash64("page_id", "url", "html"))
+
+    spark = pages.sparkSession
+    most = max(HOT, pages.count() // MAX_HOT)
+    found = pages.select(host.alias("host")).groupBy("host").count().where(F.col("count") > most).collect()  # MAX_HOT rows at most
+    hot = spark.createDataFrame([(r["host"], r["count"] // most + 1) for r in found], "host string, parts long")
+    samples = _samples(rows, hot) if found else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, list] = {}  # hash -> page, its id and url and how often it came, until the host's sample is whole
+        host, wrapper = None, None
 
-        def out() -> pa.RecordBatch:
-            texts = extract([x[2] for x in held])
-            ids, urls = [x[0] for x in held], [x[1] for x in held]
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            texts = [wrapper.text(x[2]) for x in found]
+            ids, urls = [x[0] for x in found], [x[1] for x in found]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-        host = None
-        for b in blocks(batches, "html"):
-            for r in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "html", "host")]):
-                if held and (r[3] != host or len(held) >= GROUP):
-                    yield out()
-                    held = []
-                host = r[3]
-                held.append(r)
-        if held:
-            yield out()
+        def release() -> Iterator[pa.RecordBatch]:
+            nonlocal wrapper
+            if held:
+                wrapper = Wrapper([x[2] for x in held.values()])
+                for page_id, url, page, n in held.values():
+                    one = out([(page_id, url, page)])
+                    for at in range(0, n, 1000):
+                        yield pa.RecordBatch.from_arrays([c.take(pa.array([0] * min(1000, n - at))) for c in one.columns], names=one.schema.names)
+                held.clear()
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("host", host).withColumn("__h", F.xxhash64("page_id", "url"))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "host", "__h").sortWithinPartitions("host", "__h")
-    return ordered.select("page_id", "url", "html", "host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+        for b in blocks(batches, "html"):
+            ready: list[tuple] = []
+            for r in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "__h")]):
+                if r[3] != host:
+                    if ready:
+                        yield out(ready)
+                        ready = []
+                    yield from release()
+                    host = r[3]
+                    wrapper = Wrapper(samples[host]) if host in samples else None
+                if wrapper is None and r[4] in held:
+                    held[r[4]][3] += 1
+                    continue
+                if wrapper is None and len(held) < GROUP:
+                    held[r[4]] = [*r[:3], 1]
+                    continue
+                if wrapper is None:
+                    yield from release()
+                ready.append(r)
+            if ready:
+                yield out(ready)
+        yield from release()
+
+    if found:
+        rows = rows.join(F.broadcast(hot), "host", "left")
+        rows = rows.withColumn("__part", F.pmod("__h", F.coalesce("parts", F.lit(1)))).drop("parts")
+    else:
+        rows = rows.withColumn("__part", F.lit(0))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a host that isn't hot has one part, and so meets in one task
+    ordered = rows.repartitionByRange(n, "host", "__part").sortWithinPartitions("host", "__h")
+    return ordered.select("page_id", "url", "html", "host", "__h").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -329,6 +329,17 @@ def test_template_nodes_are_left_out():
     assert wrapper.extract(pages)[2] == "T2\ntext 2\nequal\nend 2"
 
 
+def test_a_host_has_one_wrapper(spark, monkeypatch):
+    html = "<body><div>Site name</div><div><h1>T{0}</h1><p>text {0}</div><div>Imprint</div></body>"
+    rows = [(i, f"http://big.x/{i}", html.format(i)) for i in range(150)] + [(i, f"http://h{i % 9}.x/{i}", html.format(i)) for i in range(200, 265)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hot in (wrapper.HOT, 40):
+        monkeypatch.setattr(wrapper, "HOT", hot)
+        got = sorted((x.page_id, x.text) for x in wrapper.main_texts(df).collect())
+        assert got == sorted((i, f"T{i}\ntext {i}") for i, _, _ in rows)
+
+
 def test_pages_table(spark):
     rows = [(1, "http://h.x/1", None), (2, None, "<article><p>a<p>b</article>"), (2, None, "<article><p>a<p>b</article>"), (None, "bad url", "<div>" * 3000 + "deep")]
     got = wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")))
