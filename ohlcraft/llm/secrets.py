@@ -1,7 +1,7 @@
 """Secret scan with dictionary-primed zstandard novelty.
 
-Fixed patterns give the base spans. Further candidates are long tokens of mixed characters that stand shortly after a
-sensitive word. A candidate is measured by the bytes it adds to a zstandard frame whose dictionary holds common code
+Fixed patterns give the base spans. Further candidates are all long tokens that stand shortly after a sensitive word,
+whatever characters they are made of; a long word that is rare in code is reported with them. A candidate is measured by the bytes it adds to a zstandard frame whose dictionary holds common code
 identifiers and the text around the candidate: names, paths and repeated values cost little there, random key material
 costs about a byte for each character and is reported. Tasks are map-only; each text is scanned whole.
 
@@ -68,13 +68,6 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(frame.compress(candidate.encode())) - len(frame.compress(b""))
 
 
-def _mixed(token: str) -> bool:
-    """Letters and digits both, enough of either to be key material."""
-    digits = sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    return digits >= 3 and letters >= 3 and len(set(token)) >= 8
-
-
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base matches."""
     out = []
@@ -99,7 +92,7 @@ def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]]) -> list[
             while k < len(taken) and taken[k][0] < m.end():
                 reach = max(reach, taken[k][2])
                 k += 1
-            if reach > m.start() or not _mixed(m[0]):
+            if reach > m.start():
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
             if marginal_bytes(m[0], around) >= NOVELTY * len(m[0]):

@@ -193,6 +193,16 @@ def test_secrets(spark, odd, empty):
     assert got[0].base_sha256 == sha(b"")
 
 
+def test_secrets_need_no_digits():
+    rng = random.Random(5)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"):
+        for n in (16, 20, 24):
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            found = [(i, j) for i, k, j in secrets.scan(f"the private_key is {key} here")[1] if k == 3]
+            assert found == [(19, 19 + n)] or alphabet == "0123456789"  # a run of digits is a base span
+    assert not secrets.scan("token password_token_session_name and token ------------------------")[1]
+
+
 # 5: mixing
 
 
