@@ -2,8 +2,9 @@
 
 Fixed patterns give the base spans. Further candidates are all long tokens that stand shortly after a sensitive word,
 whatever characters they are made of; a long word that is rare in code is reported with them. A candidate is measured by the bytes it adds to a zstandard frame whose dictionary holds common code
-identifiers and the text around the candidate: names, paths and repeated values cost little there, random key material
-costs about a byte for each character and is reported. Tasks are map-only; each text is scanned whole.
+identifiers and the text around the candidate without further copies of it: names, paths and repeated parts cost little
+there, random key material costs about a byte for each character and is reported. A candidate is coded in short pieces,
+each primed with those before, so that its length and the size of its alphabet do not lower its cost. Tasks are map-only; each text is scanned whole.
 
 Defined results: null or empty text has no spans; repeated rows and null doc_ids keep their rows; other columns are
 ignored; an empty table gives an empty table.
@@ -39,10 +40,13 @@ _SENSITIVE = re.compile(
 )
 _HINTS = ("pass", "pwd", "secret", "token", "api", "private", "credential", "authorization", "bearer", "signature", "session")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+_CUT_HEAD, _CUT_TAIL = re.compile(r"\A[A-Za-z0-9+/_=.~-]+"), re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=.~-]+\Z")
 #: Characters after a sensitive word in which a candidate starts; text on either side that primes the dictionary.
 REACH, AROUND = 48, 1024
 #: Added bytes for each character from which a candidate is new material.
 NOVELTY = 0.9
+#: Characters coded at a time: zstandard stores so few literals as they are, so that length and alphabet do not matter.
+PIECE = 60
 
 #: Identifier dictionary: common words of code and configuration.
 IDENTIFIERS = (
@@ -68,6 +72,21 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(frame.compress(candidate.encode())) - len(frame.compress(b""))
 
 
+def novel(text: str, start: int, stop: int) -> bool:
+    """Whether a candidate adds NOVELTY bytes a character, beside its surroundings without further copies of it."""
+    token = text[start:stop]
+    before, after = text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
+    if start > AROUND:  # a token that the window cuts may be a copy
+        before = _CUT_HEAD.sub("", before)
+    if stop + AROUND < len(text):
+        after = _CUT_TAIL.sub("", after)
+    around = f"{before} {after}".replace(token, " ")
+    added = 0
+    for at in range(0, len(token), PIECE):
+        added += marginal_bytes(token[at : at + PIECE], f"{around} {token[max(0, at - AROUND) : at]}")
+    return added >= NOVELTY * len(token)
+
+
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base matches."""
     out = []
@@ -94,8 +113,7 @@ def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]]) -> list[
                 k += 1
             if reach > m.start():
                 continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if marginal_bytes(m[0], around) >= NOVELTY * len(m[0]):
+            if novel(text, m.start(), m.end()):
                 out.append((m.start(), 3, m.end()))
     return out
 

@@ -203,6 +203,21 @@ def test_secrets_need_no_digits():
     assert not secrets.scan("token password_token_session_name and token ------------------------")[1]
 
 
+def test_secrets_of_any_length_alphabet_and_number():
+    rng = random.Random(6)
+    base32, alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, n in (("0123456789ABCDEF", 64), ("0123456789ABCDEF", 128), (base32, 100), (base32, 344), (alnum, 344), (alnum + "+/", 1000)):
+        for _ in range(5):
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            found = [(i, j) for i, k, j in secrets.scan(f"the private_key is {key} here")[1] if k == 3]
+            assert found == [(19, 19 + n)]
+    key = "zX81kd92LQm4Pq77rTtV0a"
+    for gap in ("", "word " * 200):
+        text = f"private_key is {key} and {gap}" * 3
+        assert [text[i:j] for i, k, j in secrets.scan(text)[1]] == [key] * 3
+    assert not secrets.scan("session id " + "/usr/lib/account/manager/config" * 8)[1]
+
+
 # 5: mixing
 
 
