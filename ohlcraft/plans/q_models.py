@@ -98,7 +98,7 @@ def strategy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markowitz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ret = returns(spark, sf_dir).where("symbol <= 8 and ret is not null").select("dt", "symbol", F.least("ret", F.lit(1.0)).alias("ret"))
+    ret = returns(spark, sf_dir).where("ret is not null").select("dt", "symbol", F.least("ret", F.lit(1.0)).alias("ret"))
     names, mean, cov = allocation.moments(ret)
     low, best = allocation.min_variance(cov), allocation.max_sharpe(mean, cov)
     rows = [(int(s), round(float(a), 4), round(float(b), 4)) for s, a, b in zip(names, low, best)]

@@ -153,6 +153,13 @@ def cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R_.covariance(u).select("a", "b", r(F.col("cov"), 3).alias("cov"), "n")
 
 
+@query(ORACLES["cov_matrix"].replace("symbol <= 12 AND ", ""))
+def cov_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cov_matrix of every symbol."""
+    u = returns(spark, sf_dir).where("ret is not null").select("symbol", "dt", "ret")
+    return R_.covariance(u).select("a", "b", r(F.col("cov"), 3).alias("cov"), "n")
+
+
 @query(with_bars(f", wk AS (SELECT symbol, date_trunc('week', dt) AS wk, arg_max(close, dt) AS close_major FROM b GROUP BY 1, 2) SELECT b.symbol, b.dt, {R('close')} AS close, {R('close_major')} AS close_major FROM b ASOF LEFT JOIN wk ON b.symbol = wk.symbol AND b.dt > wk.wk"))
 def asof_major_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.day_bars(spark, sf_dir).select("symbol", "dt", "close")
@@ -209,6 +216,13 @@ def densify_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R_.densified(u, ["close"]).select("symbol", "dt", r(F.col("close")).alias("close"))
 
 
+@query(ORACLES["densify_fill"].replace(" WHERE symbol <= 8", ""))
+def densify_fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """densify_fill of every symbol."""
+    u = B.day_bars(spark, sf_dir).select("symbol", "dt", "close")
+    return R_.densified(u, ["close"]).select("symbol", "dt", r(F.col("close")).alias("close"))
+
+
 @query(with_bars(f", f AS (SELECT *, close / lag(close) {OW} - 1 AS ret, {sma('close', 20)} AS ma FROM b) SELECT symbol, dt, CASE WHEN ret < -0.5 AND close < ma THEN 'weakshort,' WHEN ret > 2 AND close > ma THEN 'buylong,' END AS tags FROM f WHERE (ret < -0.5 AND close < ma) OR (ret > 2 AND close > ma)"))
 def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = returns(spark, sf_dir).withColumn("ma", W.sma("close", 20))
@@ -312,6 +326,13 @@ def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", "dt", S.display(F.col("close") + 1e-6, F.col("close") / F.col("open") - 1 + 1e-8).alias("text"))
 
 
+@query(ORACLES["display_text"].replace(" WHERE symbol = 5", ""))
+def display_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """display_text of every symbol."""
+    b = B.day_bars(spark, sf_dir)
+    return b.select("symbol", "dt", S.display(F.col("close") + 1e-6, F.col("close") / F.col("open") - 1 + 1e-8).alias("text"))
+
+
 @query(with_bars(f" SELECT symbol, strftime(dt, '%Y-%m-%d') AS date, epoch(dt)::BIGINT AS date_stamp, 'day' AS type, rn::BIGINT AS rn FROM b WHERE rn > 150"))
 def store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the feature store: warm-up cut, date text and epoch seconds."""
@@ -334,3 +355,13 @@ def range_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.day_bars(spark, sf_dir).where("symbol <= 5")
     marks = b.select("symbol", F.col("dt").alias("t1"), F.lead("dt", 20).over(Window.partitionBy("symbol").orderBy("dt")).alias("t2")).where("t2 is not null")
     return sums_between(marks, b, "volume").select("symbol", "t1", "t2", r(F.col("volume")).alias("volume"), "n")
+
+
+@query(ORACLES["range_between"].replace(" WHERE symbol <= 5", ""))
+def range_between_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """range_between of every symbol."""
+    from ..operators.structure import sums_between
+
+    b = B.day_bars(spark, sf_dir)
+    marks = b.select("symbol", F.col("dt").alias("t1"), F.lead("dt", 20).over(Window.partitionBy("symbol").orderBy("dt")).alias("t2")).where("t2 is not null")
+    return sums_between(marks, b, "volume").select("symbol", "t1", "t2", r(F.col("volume")).alias("volume"), "n")

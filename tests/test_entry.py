@@ -1,6 +1,7 @@
 """The driver contract: entry, queries and their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry_module
@@ -37,3 +38,25 @@ def test_sql_agrees(spark, db, name):
         return sorted(tuple("" if x is None or x != x else str(x) for x in row) for row in df[keys].itertuples(index=False))
 
     assert text(got) == text(sql)
+
+
+@pytest.mark.parametrize("name", ["cov_matrix_all", "densify_fill_all", "display_text_all", "range_between_all"])
+def test_every_symbol(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
+    got, sql = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()
+    keys = ["a", "b"] if name == "cov_matrix_all" else [c for c in ("symbol", "dt", "t1", "t2") if c in got]
+    assert got[keys[0]].nunique() == 100 and len(got) == len(sql)
+    got, sql = (df[sorted(df.columns)].sort_values(keys).reset_index(drop=True) for df in (got, sql))
+    for c in got:
+        if got[c].dtype.kind == "f":
+            assert np.allclose(got[c], sql[c].astype(float), atol=2e-3, equal_nan=True)
+        else:
+            assert (got[c].astype(str) == sql[c].astype(str)).all()
+
+
+def test_markowitz_takes_every_symbol(spark):
+    got = QUERIES["markowitz"](spark, SF).collect()
+    assert sorted(x.symbol for x in got) == [x[0] for x in duckdb.sql(f"select distinct l_suppkey from '{SF}/lineitem.parquet' order by 1").fetchall()]
+    assert abs(sum(x.min_variance for x in got) - 1) < 0.01
