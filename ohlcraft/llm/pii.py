@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
 Seeds are the e-mail addresses, IP addresses, payment cards and phone numbers that fixed patterns find. The two words
-before a seed are its lexical pattern; the same patterns stand before other tokens that carry digits. Patterns and
-instances form a bipartite graph that is scored in rounds: a pattern by the mean score of its instances (one pseudo
-instance of score 0 added), an unlabelled instance by 1 - prod(1 - score) over its patterns. A token after a pattern
-of MIN_SEEDS distinct seeds or more and of score MIN_SCORE or more is reported as an unseen identifier.
+before a seed are its lexical pattern; the same patterns stand before other runs of tokens that carry digits (however
+many; a candidate without any digit is not looked for). Patterns and instances form a bipartite graph that is scored in rounds: a pattern by the mean score of its instances (one pseudo
+instance of score 0 added), an unlabelled instance by 1 - prod(1 - score) over its patterns. From MIN_SCORE an instance
+counts as a seed in the next round, so that it brings further patterns. A run after a pattern of MIN_SEEDS distinct seeds
+or more and of score MIN_SCORE or more is reported as an unseen identifier.
 
 Positions come from the text between matches: `split` and `regexp_extract_all` with the same pattern give gaps and
 matches, and a running sum over the matches of a text gives code-point offsets. Patterns are written so that Java's
@@ -39,8 +40,6 @@ GUARDS = {
     "phone": r"\+[0-9]",
     "token": r"[0-9]",
 }
-#: Digits of a token that may be an unseen identifier.
-MIN_DIGITS = 6
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
 ROUNDS = 3
@@ -48,15 +47,20 @@ CONTEXT = "context"
 
 
 def _hits(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<kind, i, gap, m, before>>: matches with the length and the last two words of the text before."""
-    def row(piece: Column, m: Column) -> Column:
-        tail = F.substring(piece, -80, 80)
+    """array<struct<kind, gap, m, before, glued, i>>: matches with the length of the text since the match before, the last
+    two words before and whether only blanks stand since the match before."""
+    pieces, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def row(piece: Column, m: Column, i: Column) -> Column:
+        # the words before may reach over the match before
+        last = F.concat(F.coalesce(F.get(pieces, i - 1), F.lit("")), F.coalesce(F.get(found, i - 1), F.lit("")), piece)
+        tail = F.substring(last, -200, 200)
         words = F.regexp_extract(tail, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-        return F.struct(F.lit(kind).alias("kind"), F.length(piece).alias("gap"), m.alias("m"), F.lower(words).alias("before"))
+        return F.struct(F.lit(kind).alias("kind"), F.length(piece).alias("gap"), m.alias("m"), F.lower(words).alias("before"),
+                        piece.rlike(r"^[\x20\x09]+$").alias("glued"), i.alias("i"))
 
-    pairs = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), row)
-    kept = F.filter(F.transform(pairs, lambda x, i: x.withField("i", i)), lambda x: x["m"].isNotNull())
-    empty = F.array().cast("array<struct<kind:string,gap:int,m:string,before:string,i:int>>")
+    kept = F.transform(found, lambda m, i: row(F.get(pieces, i), m, i))
+    empty = F.array().cast("array<struct<kind:string,gap:int,m:string,before:string,glued:boolean,i:int>>")
     return F.when(text.rlike(GUARDS[kind]), kept).otherwise(empty)
 
 
@@ -82,7 +86,7 @@ def _valid() -> Column:
         .when(F.col("kind") == "ip", F.col("m").rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$"))
         .when(F.col("kind") == "card", F.when(n.between(12, 19), _luhn(d)).otherwise(False))
         .when(F.col("kind") == "phone", n.between(9, 15))
-        .otherwise(n >= MIN_DIGITS)
+        .otherwise(True)
     )
 
 
@@ -97,7 +101,7 @@ def matches(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     run = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("m")).over(run)
     placed = flat.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("m"))
-    spans = placed.where(_valid()).select("rid", "kind", "m", "before", "start", "stop")
+    spans = placed.where(_valid()).select("rid", "kind", "m", "before", "start", "stop", "glued", "i")
     # a token that meets a seed's span is that seed
     order = Window.partitionBy("rid").orderBy("start", "stop", "kind")
     seed = F.col("kind") != "token"
@@ -105,6 +109,16 @@ def matches(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     spans = spans.withColumn("__next", F.min(F.when(seed, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing)))
     free = (F.coalesce(F.col("__to"), F.lit(0)) <= F.col("start")) & (F.col("__next").isNull() | (F.col("__next") >= F.col("stop")))
     spans = spans.where(seed | free).drop("__to", "__next")
+    # tokens with blanks only between them are one candidate
+    tokens = Window.partitionBy("rid").orderBy("i")
+    fresh = ~(F.col("glued") & (F.coalesce(F.lag("i").over(tokens), F.lit(-2)) == F.col("i") - 1))
+    runs = spans.where(~seed).withColumn("__fresh", fresh.cast("int"))
+    runs = runs.withColumn("__run", F.sum("__fresh").over(tokens.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "__run").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]), " ").alias("m"),
+        F.min_by("before", "i").alias("before"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+    )
+    columns = ("rid", "kind", "m", "before", "start", "stop")
+    spans = spans.where(seed).select(*columns).unionByName(runs.withColumn("kind", F.lit("token")).select(*columns))
     return raw.select("rid", "doc_id"), stage(spans, folder, "spans")
 
 
@@ -115,18 +129,18 @@ def patterns(spans: DataFrame, folder: str) -> DataFrame:
         .groupBy("before", F.lower("m").alias("x"))
         .agg(F.max(F.when(F.col("kind") == "token", 0).otherwise(1)).alias("seed"))
     )
-    enough = edges.groupBy("before").agg(F.sum("seed").alias("n")).where(F.col("n") >= MIN_SEEDS).select("before")
-    edges = stage(edges.join(enough, "before", "left_semi").withColumn("s", F.col("seed").cast("double")), folder, "edges")
+    edges = stage(edges.withColumn("s", F.col("seed").cast("double")), folder, "edges")
     for k in range(ROUNDS):
-        scored = edges.groupBy("before").agg((F.sum("s") / (F.count("*") + 1)).alias("p"))
+        # instances accepted in the round before count as seeds do
+        known = F.sum((F.col("s") >= MIN_SCORE).cast("int"))
+        scored = edges.groupBy("before").agg((F.sum("s") / (F.count("*") + 1)).alias("p"), known.alias("n"))
+        scored = scored.where(F.col("n") >= MIN_SEEDS).drop("n")
         if k == ROUNDS - 1:
             return scored.where(F.col("p") >= MIN_SCORE).select("before")
         # an instance's score: noisy-or over its patterns; p < 1 because of the pseudo instance
-        noisy = edges.join(scored, "before").groupBy("x").agg(
-            F.max("seed").alias("known"), (1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("q")
-        )
-        new = noisy.select("x", F.when(F.col("known") == 1, 1.0).otherwise(F.col("q")).alias("s"))
-        edges = stage(edges.drop("s").join(new, "x"), folder, f"edges-{k}")
+        noisy = edges.join(scored, "before").groupBy("x").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("q"))
+        score = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("q", F.lit(0.0)))
+        edges = stage(edges.drop("s").join(noisy, "x", "left").withColumn("s", score).drop("q"), folder, f"edges-{k}")
     raise ValueError("ROUNDS must be positive")
 
 

@@ -281,6 +281,15 @@ def test_pii_context_finds_unseen(spark):
     assert got[50].spans == "context:12:24" and got[50].n_context == 1 and got[51].spans == "" and got[3].n_phone == 1
 
 
+def test_pii_context_runs_and_rounds(spark):
+    texts = [f"w{i} my phone +1 (555) 123-{4000 + i} ok" for i in range(80)]
+    texts += [f"so my phone AB-{i} now" for i in range(20)] + [f"so their badge AB-{i} now" for i in range(20)]
+    new = ["so my phone 555 123 4567 now", "so my phone (555) 123-4567 now", "on 7 my phone 12 now", "so their badge ZZ-9 now", "lot number 77-123456 is"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(1000 + i, t, "en", "s", 0) for i, t in enumerate(new)]
+    got = {x.doc_id: x.spans for x in pii.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[1000 + i] for i in range(5)] == ["context:12:24", "context:12:26", "context:14:16", "context:15:19", ""]
+
+
 def test_redaction(spark, odd):
     got = pii.redacted(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
