@@ -1,39 +1,50 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The words a block of texts needs are gathered first. An inverted index leads from the rank of a
-token pair to the word positions where the pair stands; ranks are taken in ascending order from a
-heap, each merge is applied at all its positions at once, and only the two neighbours of a merged
-position enter the index again. A word is replayed once for a worker while it stays in the bounded
-cache, whatever its number of occurrences. Tasks are map-only: no shuffle, no driver state.
+An inverted index leads from the rank of a token pair to the word positions where the pair stands; ranks are taken in
+ascending order from a heap, each merge is applied at all its positions at once, and only the two neighbours of a merged
+position enter the index again. The corpus's most frequent words (VOCABULARY at most, counted by Spark over all texts)
+are replayed together, once, and their ids are broadcast; rarer words are replayed where they stand, once for a worker
+while they stay in its bounded cache. Neither bound changes a result. Texts meet no shuffle.
 
 Defined results: null or empty text has no ids; lone or repeated rows are encoded row by row; texts of
-any length are encoded whole; rows keep their doc_id, null included; an empty table gives an empty table.
+any length are encoded whole; rows keep their doc_id, null included; an empty table gives an empty table; a column of keep named as one of the result's
+own columns gives way to it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_of
+from .common import blocks, stage, text_of
 
-#: Entries of a worker's word cache; two generations are kept.
-CACHE = 350_000
+#: Entries of a worker's caches of pieces and of words; the latter has two generations.
+CACHE, WORDS = 1_500_000, 150_000
+
+#: Most words whose ids are broadcast, and the longest of them in bytes: some 10 MB.
+VOCABULARY, LONGEST = 200_000, 48
+#: Longest word in bytes that is swept; longer ones go by the index of lists, whose cost doesn't grow with the square of a word.
+SHORT, NO_MERGE = 40, np.int32(2**31 - 1)
+#: Bytes of text that are cut into pieces together.
+BLOCK = 8_000_000
 
 #: A blank before further white space: there the next blank-free piece depends on what precedes it.
-_TANGLED = re.compile("[ ](?=[\t-\r \x85\xa0  -     　])")
+_TANGLED = r" [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,25 +79,80 @@ class MergeReplay:
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.pairs = PairRanks(ranks, self.tokens)
 
-    def encode(self, words: Iterable[bytes]) -> list[list[int]]:
-        """Ids of each word; words must be distinct for the index to pay, not for the result."""
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of tokens that merges (left << 20 | right), ascending, and its rank."""
+        found, of = {}, self.ranks.get
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if (a := of(token[:i])) is not None and (b := of(token[i:])) is not None:
+                    found[a << 20 | b] = rank
+        keys = np.array(sorted(found), np.int64)
+        return np.append(keys, 1 << 62), np.append(np.array([found[k] for k in keys.tolist()], np.int32), NO_MERGE)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, ranks = self.table
+        want = (left.astype(np.int64) << 20) | right
+        at = np.searchsorted(keys, want)
+        return np.where(keys[at] == want, ranks[at], NO_MERGE)
+
+    def encode(self, words: Iterable[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian uint32; words must be distinct for the index to pay, not for the result."""
+        words = list(words)
+        out: list[bytes] = [b""] * len(words)
+        by_length: defaultdict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if (whole := self.ranks.get(w)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            else:
+                by_length[len(w) if len(w) <= SHORT else 0].append(i)
+        for n, places in by_length.items():
+            found = self.swept([words[i] for i in places], n) if n else self.indexed([words[i] for i in places])
+            for i, ids in zip(places, found):
+                out[i] = ids
+        return out
+
+    def swept(self, words: list[bytes], n: int) -> list[bytes]:
+        """Words of n bytes each: the index of their pairs is an array of ranks. In a sweep every word applies the merge of its
+        lowest rank, the leftmost of equal ones, and only the two neighbours of the merged position are ranked anew."""
+        out: list[bytes] = [b""] * len(words)
+        rows = np.arange(len(words))
+        tok = np.array(self.single, np.int32)[np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)]
+        rank = self._rank(tok[:, :-1], tok[:, 1:])
+        while len(rows):
+            cols = tok.shape[1]
+            at = rank.argmin(1) if cols > 1 else np.zeros(len(rows), int)
+            best = rank[np.arange(len(rows)), at] if cols > 1 else np.full(len(rows), NO_MERGE, np.int32)
+            if (done := best == NO_MERGE).any():
+                data = tok[done].astype("<u4").tobytes()
+                for k, i in enumerate(rows[done].tolist()):
+                    out[i] = data[4 * cols * k : 4 * cols * (k + 1)]
+                rows, tok, rank, at, best = rows[~done], tok[~done], rank[~done], at[~done], best[~done]
+                if not len(rows):
+                    break
+            every = np.arange(len(rows))
+            tok[every, at] = best
+            stay = np.ones(tok.shape, bool)
+            stay[every, at + 1] = False
+            tok = tok[stay].reshape(len(rows), cols - 1)
+            rank = rank[stay[:, 1:]].reshape(len(rows), cols - 2)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < cols - 2)
+            rank[left, at[left] - 1] = self._rank(tok[left, at[left] - 1], best[left])
+            rank[right, at[right]] = self._rank(best[right], tok[right, at[right] + 1])
+        return out
+
+    def indexed(self, words: list[bytes]) -> list[bytes]:
+        """Words of any length: the index leads from a rank to the positions of its pair in all words."""
         tok: list[int] = []
         prv: list[int] = []
         nxt: list[int] = []
         heads: list[int] = []
         index: defaultdict[int, list[int]] = defaultdict(list)
-        heap: list[int] = []
-        pairs, single, whole_of = self.pairs, self.single, self.ranks.get
+        pairs, single = self.pairs, self.single
         pairs.trim()
         for word in words:
             at = len(tok)
             heads.append(at)
-            whole = whole_of(word)
-            if whole is not None or not word:
-                tok.append(-1 if whole is None else whole)
-                prv.append(-1)
-                nxt.append(-1)
-                continue
             ids = [single[x] for x in word]
             last = at + len(ids) - 1
             tok += ids
@@ -136,12 +202,12 @@ class MergeReplay:
                 if tok[i] >= 0:
                     ids.append(tok[i])
                 i = nxt[i]
-            out.append(ids)
+            out.append(np.array(ids, "<u4").tobytes())
         return out
 
 
-class PieceCache(dict):
-    """Ids of blank-led pieces as little-endian uint32, two generations of bounded size."""
+class WordCache(dict):
+    """Ids of words as little-endian uint32, two generations of bounded size."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -149,7 +215,7 @@ class PieceCache(dict):
 
     def missing(self, keys: set) -> list:
         """Keys without an entry; entries of the older generation are brought forward."""
-        if len(self) > CACHE:
+        if len(self) > WORDS:
             self.old = dict(self)
             self.clear()
         lack = []
@@ -161,35 +227,130 @@ class PieceCache(dict):
         return lack
 
 
+class PieceTable:
+    """Blank-led pieces and their ids as Arrow columns. Beyond CACHE entries those go that no block has used since the last
+    time; the first `fixed` ones stay."""
+
+    def __init__(self, names: pa.Array | None = None, ids: pa.Array | None = None) -> None:
+        self.names = pa.array([], pa.large_string()) if names is None else names
+        self.ids = pa.array([], pa.large_binary()) if ids is None else ids
+        self.fixed = len(self.names)
+        self.used = np.zeros(self.fixed, bool)
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """Row of each name, -1 where it has none."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        self.used[at[at >= 0]] = True
+        return at
+
+    def add(self, names: pa.Array, ids: pa.Array) -> None:
+        self.names, self.ids = pa.concat_arrays([self.names, names]), pa.concat_arrays([self.ids, ids])
+        self.used = np.concatenate([self.used, np.ones(len(names), bool)])
+        if len(self.names) - self.fixed > CACHE:
+            self.used[: self.fixed] = True
+            stay = pa.array(np.flatnonzero(self.used))
+            self.names, self.ids = self.names.take(stay), self.ids.take(stay)
+            self.used = np.zeros(len(stay), bool)
+
+
+class Pieces:
+    """A block of texts, cut at blanks. A piece with its blank can be encoded by itself, which is exact unless a blank
+    stands before more white space; texts that have such a place, and what stands before a text's first blank, are heads
+    and encoded as they are."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = texts.cast(pa.large_string())
+        tangled = pc.match_substring_regex(texts, _TANGLED)
+        cut = pc.split_pattern(pc.if_else(tangled, "", texts), " ")
+        self.offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        self.names = coded.dictionary
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        starts = self.offsets[:-1]
+        first = self.names.take(pa.array(codes[starts], pa.int32()))
+        self.heads = pc.if_else(tangled, texts, first).to_pylist()
+        led = np.ones(len(codes), bool)
+        led[starts] = False
+        self.counts = np.bincount(codes[led], minlength=len(self.names))
+        self.used = np.flatnonzero(self.counts)
+        place = np.zeros(len(self.names), np.int32)
+        place[self.used] = np.arange(len(self.used), dtype=np.int32)
+        self.order = place[codes]  # of pieces in use, then of heads
+        self.order[starts] = len(self.used) + np.arange(len(starts), dtype=np.int32)
+
+    def encoded(self, table: PieceTable, learn: Callable[[pa.Array], pa.Array], heads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the places where texts begin and end. learn: names to ids."""
+        names = self.names.take(pa.array(self.used))
+        at = table.places(names).copy()
+        lack = at < 0
+        at[lack] = len(table.names) + np.arange(np.count_nonzero(lack), dtype=at.dtype)
+        new = names.filter(pa.array(lack))
+        learned = learn(new)
+        whole = pa.concat_arrays([table.ids, learned, pa.array(heads, pa.large_binary())])
+        at = np.concatenate([at, len(table.ids) + len(learned) + np.arange(len(heads), dtype=at.dtype)])
+        every = whole.take(pa.array(at[self.order]))
+        table.add(new, learned)
+        _, offsets, data = every.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(every) + 1)
+        ids = np.frombuffer(data, "<u4", int(ends[-1]) // 4) if len(every) and ends[-1] else np.zeros(0, "<u4")
+        return ids, ends[self.offsets] // 4
+
+
+class Vocabulary(NamedTuple):
+    """Pieces and their ids as an Arrow stream; workers keep what they have read by the key."""
+
+    key: str
+    rows: Broadcast
+
+
 class Encoder:
-    """Texts to ids. A text is cut at its blanks; a piece with its blank is encoded by itself, which is exact
-    unless a blank stands before more white space. Texts that have such a place are cut by the pattern as a whole."""
+    """Texts to ids by merge replay; what a cache lacks is cut by the pattern and replayed."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.replay = MergeReplay(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.words, self.pieces = PieceCache(), PieceCache()
-
-    def _learn(self, words: set[str]) -> None:
-        lack = self.words.missing(words)
+        self.words, self.pieces = WordCache(), PieceTable()
+        self.bytes_of = pa.array(self.replay.tokens, pa.large_binary())
+        self.adopted = ""
+
+    def adopt(self, known: Vocabulary | None) -> Encoder:
+        """Use a broadcast vocabulary."""
+        if known is not None and self.adopted != known.key:
+            with pa.ipc.open_stream(known.rows.value) as source:
+                t = source.read_all().combine_chunks()
+            self.pieces = PieceTable(*[t[c].cast(k).combine_chunks() for c, k in (("piece", pa.large_string()), ("ids", pa.large_binary()))])
+            self.adopted = known.key
+        return self
+
+    def parted(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, cut by the pattern; the words that the cache lacks are replayed together."""
+        parts = list(map(self.find, texts))
+        lack = self.words.missing(set().union(*parts))
         for w, ids in zip(lack, self.replay.encode(w.encode() for w in lack)):
-            self.words[w] = np.array(ids, "<u4").tobytes()
+            self.words[w] = ids
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the places where texts begin and end."""
+        cut = Pieces(texts)
+        learn = lambda names: pa.array(self.parted([" " + x for x in names.to_pylist()]), pa.large_binary())
+        return cut.encoded(self.pieces, learn, self.parted(cut.heads))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        cut: list[list[str] | None] = [None if _TANGLED.search(t) else t.split(" ") for t in texts]
-        whole = {i: self.find(texts[i] if c is None else c[0]) for i, c in enumerate(cut)}
-        lack = self.pieces.missing(set().union(*(c[1:] for c in cut if c is not None)))
-        parts = [self.find(" " + k) for k in lack]
-        self._learn(set().union(*whole.values(), *parts))
-        get = self.words.__getitem__
-        for k, p in zip(lack, parts):
-            self.pieces[k] = b"".join(map(get, p))
-        piece = self.pieces.__getitem__
-        return [b"".join(map(get, whole[i])) + (b"".join(map(piece, c[1:])) if c else b"") for i, c in enumerate(cut)]
+        ids, ends = self.encode_block(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+
+    def decode_block(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+        """Bytes of all texts and the places where texts begin and end."""
+        every = self.bytes_of.take(pa.array(ids))
+        _, offsets, data = every.buffers()
+        return memoryview(data or b""), np.frombuffer(offsets, np.int64, len(every) + 1)[ends].tolist()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.replay.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        data, (start, end) = self.decode_block(np.frombuffer(ids, "<u4"), np.array([0, len(ids) // 4]))
+        return bytes(data[start:end])
 
 
 @lru_cache(maxsize=2)
@@ -198,48 +359,97 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(text, ...) -> the columns of keep and ids array<int>."""
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", ids array<int>"
+def frequent_pieces(docs: DataFrame, folder: str) -> DataFrame:
+    """(piece): the blank-led pieces that stand most often in all texts, VOCABULARY at most.
+
+    A block hands on the pieces that it has twice. Pieces that tie at the lowest count that doesn't fit stay out together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        for b in blocks(batches, "__text", 2_000_000):
-            found = enc.encode(b.column("__text").to_pylist())
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [ids], names=[*keep, "ids"])
+        for b in blocks(batches, "text", BLOCK):
+            cut = Pieces(b.column("text"))
+            many = np.flatnonzero(cut.counts > 1)
+            names = cut.names.take(pa.array(many)).cast(pa.string())
+            short = pc.less_equal(pc.binary_length(names), LONGEST)
+            out = pa.RecordBatch.from_arrays([names, pa.array(cut.counts[many], pa.int64())], names=["piece", "n"])
+            yield out.filter(short)
+
+    found = docs.select(text_of().alias("text")).mapInArrow(run, "piece string, n long")
+    counted = stage(found.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 2"), folder, "pieces")
+    # one row for each power of 1.02 that counts reach: bounded by the range of a long
+    level = F.floor(F.log("n") / F.log(F.lit(1.02)))
+    least, total = None, 0
+    for r in counted.groupBy(level.alias("l")).agg(F.count("*").alias("c")).orderBy(F.desc("l")).collect():
+        total += r["c"]
+        if total > VOCABULARY:
+            break
+        least = r["l"]
+    return counted.where(level >= least).select("piece") if least is not None else counted.limit(0).select("piece")
+
+
+def vocabulary(docs: DataFrame, path: str, pattern: str, folder: str) -> Vocabulary:
+    """Ids of the frequent pieces, replayed together, as a broadcast of VOCABULARY rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [x for b in batches for x in b.column(0).to_pylist()]  # at most VOCABULARY
+        ids = encoder(path, pattern).parted([" " + x for x in pieces])
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(ids, pa.binary())], names=["piece", "ids"])
+
+    known = frequent_pieces(docs, folder).mapInArrow(run, "piece string, ids binary").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as out:
+        out.write_table(known)
+    return Vocabulary(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+
+
+def _kept(df: DataFrame, keep: tuple[str, ...], own: str) -> tuple[list[str], str]:
+    """Columns of keep that stay, and their schema with that of the operator's own column."""
+    name = own.split()[0]
+    stay = [c for c in keep if c.lower() != name]
+    return stay, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*stay).schema] + [own])
 
-    return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, schema)
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), known: Vocabulary | None = None) -> DataFrame:
+    """docs(text, ...) -> the columns of keep and ids array<int>. known: see vocabulary."""
+    stay, schema = _kept(docs, keep, "ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern).adopt(known)
+        for b in blocks(batches, "__text", BLOCK):
+            ids, ends = enc.encode_block(b.column("__text"))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in stay] + [listed], names=[*stay, "ids"])
+
+    return docs.select(*stay, text_of().alias("__text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """encoded(ids, ...) -> the columns of keep and text; bytes that aren't UTF-8 become U+FFFD."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema) + ", text string"
+    stay, schema = _kept(encoded, keep, "text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for b in batches:
             texts = [enc.decode(np.array(x or [], "<u4").tobytes()).decode(errors="replace") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in stay] + [pa.array(texts, pa.string())], names=[*stay, "text"])
 
-    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+    return encoded.select(*stay, "ids").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, known: Vocabulary | None = None) -> DataFrame:
     """Encode, then decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        for b in blocks(batches, "text", 2_000_000):
-            found = enc.encode(b.column("text").to_pylist())
+        enc = encoder(path, pattern).adopt(known)
+        for b in blocks(batches, "text", BLOCK):
+            ids, ends = enc.encode_block(b.column("text"))
+            data, places = enc.decode_block(ids, ends)
+            raw = memoryview(ids.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
-                    pa.array([len(x) // 4 for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in found]),
-                    pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in found]),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array([hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(ends, ends[1:])]),
+                    pa.array([hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(places, places[1:])]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
@@ -249,14 +459,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     )
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], known: Vocabulary | None = None) -> DataFrame:
     """docs(text, ...) -> the columns of keep and n_tokens long."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens long"
+    stay, schema = _kept(docs, keep, "n_tokens long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        for b in blocks(batches, "__text", 2_000_000):
-            n = [len(x) // 4 for x in enc.encode(b.column("__text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
+        enc = encoder(path, pattern).adopt(known)
+        for b in blocks(batches, "__text", BLOCK):
+            _, ends = enc.encode_block(b.column("__text"))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in stay] + [pa.array(np.diff(ends), pa.int64())], names=[*stay, "n_tokens"])
 
-    return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*stay, text_of().alias("__text")).mapInArrow(run, schema)

@@ -11,17 +11,19 @@ doc_id follow each other by text; an empty table gives no blocks and an empty re
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _TANGLED, PieceCache
+from .bpe import BLOCK, PieceTable, Pieces
 from .common import blocks, text_of
 
 #: Ids of a block at which it is closed.
@@ -63,9 +65,10 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = PieceCache()
+        self.pieces = PieceTable()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = r"^(?:$|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}])" + "".join("|" + re.escape(x) for x in added)
         first = np.zeros(self.vocabulary, bool)  # tokens that begin with a blank, which byte-level vocabularies write as U+0120
         for token, at in self.tokenizer.get_vocab(with_added_tokens=False).items():
             first[at] = token.startswith("\u0120")
@@ -74,27 +77,40 @@ class LibraryEncoder:
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, lack: list[str]) -> None:
+    def _learn(self, names: pa.Array) -> pa.Array:
         """Pieces are encoded many to a text: each begins with the only blank it has, so the ids part again at the tokens
-        that begin with a blank. Pieces that are empty or begin with white space would run into the one before."""
-        alone = [k for k in lack if not k or k[0].isspace()]
-        joint = [k for k in lack if k and not k[0].isspace()]
-        groups = [joint[i : i + JOINT] for i in range(0, len(joint), JOINT)]
-        for group, ids in zip(groups, self._call(["".join([" " + k for k in g]) for g in groups])):
+        that begin with a blank. Pieces that are empty, begin with white space or hold an added token are encoded alone."""
+        odd = pc.match_substring_regex(names, self.odd)
+        places = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        some = names.take(pa.array(places)).to_pylist()
+        texts = [" " + " ".join(some[i : i + JOINT]) for i in range(0, len(some), JOINT)]
+        flat, ends, order = [], [], []
+        for k, ids in enumerate(self._call(texts)):
+            own = places[k * JOINT : (k + 1) * JOINT]
             starts = np.flatnonzero(self.blank_first[np.frombuffer(ids, "<u4")])
-            if len(starts) != len(group) or starts[0]:
-                alone += group
+            if len(starts) != len(own) or starts[0]:
+                alone += own.tolist()
                 continue
-            at = (starts * 4).tolist()
-            self.pieces.update(zip(group, [ids[i:j] for i, j in zip(at, [*at[1:], len(ids)])]))
-        self.pieces.update(zip(alone, self._call([" " + k for k in alone])))
+            flat.append(ids)
+            ends.append(np.diff(np.append(starts, len(ids) // 4)))
+            order.append(own)
+        single = self._call([" " + x for x in names.take(pa.array(alone, pa.int64())).to_pylist()])
+        flat += single
+        ends.append(np.array([len(x) // 4 for x in single], np.int64))
+        order.append(np.array(alone, np.int64))
+        offsets = np.concatenate([[0], np.cumsum(4 * np.concatenate(ends))]).astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(flat))])
+        return found.take(pa.array(np.argsort(np.concatenate(order))))
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the places where texts begin and end."""
+        cut = Pieces(texts)
+        return cut.encoded(self.pieces, self._learn, self._call(cut.heads))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = [None if _TANGLED.search(t) else t.split(" ") for t in texts]
-        heads = self._call([t if c is None else c[0] for t, c in zip(texts, cut)])
-        self._learn(self.pieces.missing(set().union(*(c[1:] for c in cut if c is not None))))
-        get = self.pieces.__getitem__
-        return [h + b"".join(map(get, c[1:])) if c else h for h, c in zip(heads, cut)]
+        ids, ends = self.encode_block(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -108,12 +124,13 @@ def write_blocks(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(tokenizer)
         width = width_for(max(enc.vocabulary, end_id + 1))
-        part, block, first, held, held_ids, docs_held = TaskContext.get().partitionId(), 0, 0, [], 0, []
-        end = np.array([end_id], "<u4").tobytes()
+        part, block, first = TaskContext.get().partitionId(), 0, 0
+        held: list[np.ndarray] = []  # ids of whole documents with their end ids
+        docs_held: list = []
+        ends_held: list[int] = []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(x) // 4 for x in held])
+            ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int32()),
@@ -122,19 +139,27 @@ def write_blocks(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> N
                     "n_ids": pa.array([len(ids)], pa.int64()),
                     "width": pa.array([width], pa.int32()),
                     "doc_ids": pa.array([docs_held], pa.list_(pa.int64())),
-                    "ends": pa.array([ends], pa.list_(pa.int64())),
+                    "ends": pa.array([ends_held], pa.list_(pa.int64())),
                     "packed": pa.array([pack(ids, width)], pa.binary()),
                 }
             )
 
-        for b in blocks(batches, "text", 2_000_000):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
-                held.append(ids + end)
-                docs_held.append(doc)
-                held_ids += len(ids) // 4 + 1
-                if held_ids >= BLOCK_IDS:
+        for b in blocks(batches, "text", BLOCK):
+            ids, ends = enc.encode_block(b.column("text"))
+            ids = np.insert(ids, ends[1:], end_id)  # after each document
+            ends = ends + np.arange(len(ends))
+            names, i = b.column("doc_id").to_pylist(), 0
+            while i < len(names):
+                base = ends_held[-1] if ends_held else 0
+                j = min(len(names), int(np.searchsorted(ends, ends[i] + BLOCK_IDS - base)))  # the document that fills the block is its last
+                j = max(j, i + 1)
+                held.append(ids[ends[i] : ends[j]])
+                docs_held += names[i:j]
+                ends_held += (ends[i + 1 : j + 1] - ends[i] + base).tolist()
+                i = j
+                if ends_held[-1] >= BLOCK_IDS:
                     yield close()
-                    block, first, held, held_ids, docs_held = block + 1, first + held_ids, [], 0, []
+                    block, first, held, docs_held, ends_held = block + 1, first + ends_held[-1], [], [], []
         if held:
             yield close()
 

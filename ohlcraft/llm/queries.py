@@ -60,7 +60,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = bpe.vocabulary(docs, RANKS, public_tokenizers.PATTERN, shared_folder(spark))
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, known)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def test_cuts_follow_content():
 
 def test_bpe_equals_library(spark, texts):
     rng = random.Random(2)
-    letters = list("ab eE's'll \n\t  \r\x0b  é1²９漢😀\x1c\x85_-.!K") + ["  ", "\n ", " \n", "'re", "the", " and", "<|endoftext|>"]
+    letters = list("ab eE's\u3000\u2003'll \n\t  \r\x0b  é1²９漢😀\x1c\x85_-.!K") + ["  ", "\n ", " \n", "'re", "the", " and", "<|endoftext|>", " <|endoftext|>"]
     some = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + ["a" * 20000, " " * 3000, *texts.values()]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -134,7 +134,6 @@ def test_bpe_equals_library(spark, texts):
     assert [own.decode(x) for x in got] == [t.encode() for t in some]
     lib = packing.LibraryEncoder(queries.TOKENIZER)
     t = Tokenizer.from_file(queries.TOKENIZER)
-    t.encode_special_tokens = True
     assert lib.encode(some) == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(some, add_special_tokens=False)]
 
 
@@ -144,7 +143,30 @@ def test_merge_order_with_odd_ranks():
     enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
     rng = random.Random(3)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
-    assert own.encode(w.encode() for w in words) == [enc.encode_ordinary(w) for w in words]
+    words += ["".join(rng.choice("abc") for _ in range(rng.randint(30, 300))) for _ in range(200)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(w.encode() for w in words)] == [enc.encode_ordinary(w) for w in words]
+    some = [w.encode() for w in words if w.encode() not in ranks]
+    assert own.indexed(some) == own.encode(some)
+
+
+def test_caches_change_nothing(monkeypatch, texts):
+    some = sorted(texts.values())[:60]
+    expected = [bpe.Encoder(queries.RANKS, P.PATTERN).encode(some), packing.LibraryEncoder(queries.TOKENIZER).encode(some)]
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    for e, x in zip((bpe.Encoder(queries.RANKS, P.PATTERN), packing.LibraryEncoder(queries.TOKENIZER)), expected):
+        assert [y for i in range(0, len(some), 7) for y in e.encode(some[i : i + 7])] == x
+
+
+def test_vocabulary_changes_nothing(spark, texts, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    expected = sorted(bpe.round_trip(docs, queries.RANKS, P.PATTERN).collect(), key=str)
+    for most in (300, bpe.VOCABULARY):
+        monkeypatch.setattr(bpe, "VOCABULARY", most)
+        known = bpe.vocabulary(docs, queries.RANKS, P.PATTERN, shared_folder(spark))
+        n = bpe.Encoder(queries.RANKS, P.PATTERN).adopt(known).pieces.fixed
+        assert 0 < n <= most
+        assert sorted(bpe.round_trip(docs, queries.RANKS, P.PATTERN, known).collect(), key=str) == expected
 
 
 def test_bpe_edges(spark, odd, empty):
@@ -166,9 +188,9 @@ def test_packing(width):
 def test_packed_files(spark, odd, empty, texts):
     assert packing.width_for(50257) == 16 and packing.width_for(2) == 1
     got = {x.doc_id: x for x in queries.op7_packed_ids(spark, SF).collect()}
-    lib, start = packing.LibraryEncoder(queries.TOKENIZER), 0
+    lib, start = Tokenizer.from_file(queries.TOKENIZER), 0
     for d in sorted(texts):
-        ids = lib.encode([texts[d]])[0] + np.array([2], "<u4").tobytes()
+        ids = np.array([*lib.encode(texts[d], add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
     for df, n in ((odd, len(ODD)), (empty, 0)):
