@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
@@ -34,14 +35,14 @@ from pyspark.sql import functions as F
 from .common import blocks, stage, text_of
 
 #: Entries of a worker's caches of pieces and of words; the latter has two generations.
-CACHE, WORDS = 1_500_000, 150_000
+CACHE, WORDS = 600_000, 60_000
 
 #: Most words whose ids are broadcast, and the longest of them in bytes: some 10 MB.
 VOCABULARY, LONGEST = 200_000, 48
 #: Longest word in bytes that is swept; longer ones go by the index of lists, whose cost doesn't grow with the square of a word.
 SHORT, NO_MERGE = 40, np.int32(2**31 - 1)
 #: Bytes of text that are cut into pieces together.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 
 #: A blank before further white space: there the next blank-free piece depends on what precedes it.
 _TANGLED = r" [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -64,7 +65,7 @@ class PairRanks(dict):
         return rank
 
     def trim(self) -> None:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
 
 
@@ -82,13 +83,14 @@ class MergeReplay:
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Every pair of tokens that merges (left << 20 | right), ascending, and its rank."""
-        found, of = {}, self.ranks.get
+        keys, ranks, of = array("q"), array("i"), self.ranks.get
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 if (a := of(token[:i])) is not None and (b := of(token[i:])) is not None:
-                    found[a << 20 | b] = rank
-        keys = np.array(sorted(found), np.int64)
-        return np.append(keys, 1 << 62), np.append(np.array([found[k] for k in keys.tolist()], np.int32), NO_MERGE)
+                    keys.append(a << 20 | b)
+                    ranks.append(rank)
+        order = np.argsort(np.frombuffer(keys, np.int64), kind="stable")
+        return np.append(np.frombuffer(keys, np.int64)[order], 1 << 62), np.append(np.frombuffer(ranks, np.int32)[order], NO_MERGE)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys, ranks = self.table
@@ -293,6 +295,7 @@ class Pieces:
         _, offsets, data = every.buffers()
         ends = np.frombuffer(offsets, np.int64, len(every) + 1)
         ids = np.frombuffer(data, "<u4", int(ends[-1]) // 4) if len(every) and ends[-1] else np.zeros(0, "<u4")
+        pa.default_memory_pool().release_unused()
         return ids, ends[self.offsets] // 4
 
 
@@ -346,7 +349,7 @@ class Encoder:
         """Bytes of all texts and the places where texts begin and end."""
         every = self.bytes_of.take(pa.array(ids))
         _, offsets, data = every.buffers()
-        return memoryview(data or b""), np.frombuffer(offsets, np.int64, len(every) + 1)[ends].tolist()
+        return memoryview(data or b"").cast("B"), np.frombuffer(offsets, np.int64, len(every) + 1)[ends].tolist()
 
     def decode(self, ids: bytes) -> bytes:
         data, (start, end) = self.decode_block(np.frombuffer(ids, "<u4"), np.array([0, len(ids) // 4]))
@@ -470,3 +473,26 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in stay] + [pa.array(np.diff(ends), pa.int64())], names=[*stay, "n_tokens"])
 
     return docs.select(*stay, text_of().alias("__text")).mapInArrow(run, schema)
+
+
+def encode_verified(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), known: Vocabulary | None = None) -> DataFrame:
+    """docs(text, ...) -> the columns of keep, ids array<int>, n_tokens long, decoded_sha256 string. The ids are decoded, and
+    bytes that differ from the text's raise an error."""
+    stay = [c for c in keep if c.lower() not in ("ids", "n_tokens", "decoded_sha256")]
+    _, schema = _kept(docs, tuple(stay), "ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern).adopt(known)
+        for b in blocks(batches, "__text", BLOCK):
+            texts = b.column("__text")
+            ids, ends = enc.encode_block(texts)
+            data, places = enc.decode_block(ids, ends)
+            own = texts.cast(pa.large_binary()).to_pylist()
+            if any(data[i:j] != t for i, j, t in zip(places, places[1:], own)):
+                raise ValueError("ids don't decode to their text")
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+            shas = pa.array([hashlib.sha256(t).hexdigest() for t in own], pa.string())
+            cols = [listed, pa.array(np.diff(ends), pa.int64()), shas]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in stay] + cols, names=[*stay, "ids", "n_tokens", "decoded_sha256"])
+
+    return docs.select(*stay, text_of().alias("__text")).mapInArrow(run, schema + ", n_tokens long, decoded_sha256 string")
