@@ -76,3 +76,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
                 start, used = i, 0
             used += n or 0
         yield batch.slice(start)
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
+    """Inner join on null-free keys that are unique in `one` and may be as frequent as a third of all rows in `many`: rows of
+    `many` are dealt by keys and spread over `salts` parts, and each row of `one` goes to all of them."""
+    dealt = many.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")

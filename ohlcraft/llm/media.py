@@ -1,18 +1,18 @@
 """Media payloads in a content-addressed chunk store.
 
 A payload is cut where a rolling gear hash has its low bits zero, between MIN_CHUNK and MAX_CHUNK bytes, so equal
-stretches give equal chunks wherever they stand. Chunks are known by digest; Spark aggregates and joins digests to find
-those that occur in more than one payload. A payload whose chunks are all its own goes to `solo` as one compressed frame
-with its chunk list; chunks that payloads share, and the rest of those payloads, go to `chunks`, one row for each digest.
-Only payloads with shared chunks meet a shuffle. Which they are is told by a bitmap of fixed size (BITMAP_BITS) over
-text hashes: a false hit only takes the shuffled way, which is as exact.
-
-Reading back joins chunk lists with chunks, puts them in order, and checks digests and the payload's SHA-256.
-The stored form of a payload is its manifest (magic, number of chunks, length and digest of each) followed by its
-chunks' bytes as 8-bit samples.
-
-Defined results: null text is an empty payload and is padded to one unit; equal texts are stored once and have equal
-values; repeated rows and null doc_ids keep their rows; other columns are ignored; an empty table gives an empty table.
+stretches give equal chunks wherever they stand. Chunks are known by digest; Spark counts digests and so finds those that
+stand in more than one document. Every payload is stored alike: `payloads` has a row for each document with its manifest
+(magic, number of chunks, length and digest of each), the chunks that are its own as 8-bit samples, and the ordered digests
+of the others; `chunks` has one row for each digest that documents share. So only shared chunks meet a shuffle. Workers know
+a shared digest by a bitmap whose size follows the number of shared digests up to MOST_BITS: a false hit only puts a chunk
+into `chunks` that could have stayed with its payload.
+
+Reading back joins the ordered digests with the chunks, puts both kinds in the manifest's order, and checks every digest
+and the payload's SHA-256. The stored form of a payload is its manifest as read, followed by its samples as read.
+
+Defined results: null text is an empty payload and is padded to one unit; equal texts have equal values and share all their
+chunks; repeated rows and null doc_ids keep their rows; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, shared_folder, stage, utf8_of
@@ -34,8 +33,8 @@ MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: Low bits of the gear hash that are zero at a cut: one in 2048 positions.
 CUT_MASK = np.uint32(0x7FF)
 WINDOW = 32
-#: Bits of the bitmap of payloads with shared chunks; 4 MB broadcast, whatever the input.
-BITMAP_BITS = 1 << 25
+#: Least and most bits of the bitmap of shared digests, and bits for each of them: 32 MB are broadcast at most.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 _BUCKET = 32768  # bits of a row of bitmap_construct_agg
 MAGIC = b"CDC1"
 
@@ -85,20 +84,27 @@ def manifest(lengths: list[int], digests: list[bytes]) -> bytes:
     return b"".join([MAGIC, len(lengths).to_bytes(4, "little"), *[n.to_bytes(4, "little") + d for n, d in zip(lengths, digests)]])
 
 
-def _listed(payload: bytes, ends: list[int]) -> tuple[list[int], list[bytes], list[bytes]]:
-    parts = [payload[i:j] for i, j in zip([0, *ends], ends)]
-    return [len(p) for p in parts], [digest_of(p) for p in parts], parts
+def read_manifest(head: bytes) -> tuple[list[int], list[bytes]]:
+    """Lengths and digests of a manifest."""
+    if head[:4] != MAGIC or len(head) != 8 + 20 * int.from_bytes(head[4:8], "little"):
+        raise ValueError("not a manifest")
+    rows = [head[i : i + 20] for i in range(8, len(head), 20)]
+    return [int.from_bytes(x[:4], "little") for x in rows], [x[4:] for x in rows]
+
+
+def chunked(payloads: list[bytes]) -> list[list[bytes]]:
+    return [[p[i:j] for i, j in zip([0, *e], e)] for p, e in zip(payloads, cuts(payloads))]
 
 
 RESULT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _result(sha: str, lengths: list[int], digests: list[bytes], parts: list[bytes]) -> tuple:
+def _result(sha: str, head: bytes, parts: list[bytes]) -> tuple:
     """Verified values of one payload that was read back."""
+    lengths, digests = read_manifest(head)
     payload = b"".join(parts)
     if hashlib.sha256(payload).hexdigest() != sha or [digest_of(p) for p in parts] != digests or [*map(len, parts)] != lengths:
         raise ValueError(f"stored media of payload {sha} is damaged")
-    head = manifest(lengths, digests)
     samples = np.frombuffer(payload, np.uint8)
     feature = f"chunks={len(parts)};mean={samples.mean():.4f};rms={np.sqrt(np.square(samples, dtype=np.float64).mean()):.4f}"
     feature += f";turns={int(np.count_nonzero(np.diff(samples >= 128)))}"
@@ -107,142 +113,126 @@ def _result(sha: str, lengths: list[int], digests: list[bytes], parts: list[byte
     return len(payload), sha, zlib.crc32(payload[-32:]), len(head) + len(payload), both.hexdigest(), feature
 
 
-def chunk_lists(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, hash (of the text), n_bytes, sha (of the payload), lengths, digests."""
+def _results(out: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
+
+
+_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
-            texts = b.column("text").to_pylist()
-            payloads = [payload_of(t) for t in texts]
-            listed = [_listed(p, e)[:2] for p, e in zip(payloads, cuts(payloads))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    b.column("hash"),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    pa.array([x[0] for x in listed], pa.list_(pa.int32())),
-                    pa.array([x[1] for x in listed], pa.list_(pa.binary())),
-                ],
-                names=["doc_id", "hash", "n_bytes", "sha", "lengths", "digests"],
-            )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(utf8_of()).alias("hash"), utf8_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, hash long, n_bytes long, sha string, lengths array<int>, digests array<binary>")
+def _spot(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:7], "big") % bits
 
 
-def _bit() -> Column:
-    return F.pmod(F.col("hash"), F.lit(BITMAP_BITS).cast("long"))
+def shared_digests(rows: DataFrame, folder: str) -> DataFrame:
+    """rows(text binary) -> (digest, refs): chunks of more than one document, with the number of those documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            found = [d for parts in chunked([payload_of(t) for t in b.column("text").to_pylist()]) for d in {digest_of(p) for p in parts}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
 
-def bitmap_of(hashes: DataFrame) -> DataFrame:
-    """(bucket, bits): BITMAP_BITS / 32768 rows at most, of 4 KB each."""
-    spots = hashes.select(_bit().alias("bit")).distinct()
-    return spots.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    )
+    counted = rows.select("text").mapInArrow(run, "digest binary").groupBy("digest").agg(F.count("*").alias("refs"))
+    return stage(counted.where("refs > 1"), folder, "shared")
 
 
-def marked(df: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Adds `hit`: whether the row's hash is in the bitmap."""
-    spot = F.bitmap_bit_position(_bit())
-    joined = df.withColumn("__b", F.bitmap_bucket_number(_bit())).join(F.broadcast(bitmap), F.col("__b") == F.col("bucket"), "left")
-    byte = F.conv(F.hex(F.substring("bits", (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("bitmap_bit_position(pmod(hash, cast(%d as bigint))) %% 8" % BITMAP_BITS).cast("int")
-    return joined.withColumn("hit", F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(1) == 1, F.lit(False))).drop("__b", "bucket", "bits")
+def bitmap_of(shared: DataFrame) -> tuple[int, bytes]:
+    """(bits, bitmap) of the shared digests: at most MOST_BITS / 32768 rows of 4 KB come to the driver."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_EACH * shared.count()):
+        bits *= 2
+    spot = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), F.lit(bits).cast("long"))
+    each = shared.select((spot + 1).alias("bit")).distinct()  # buckets of whole numbers above 0 count from 1
+    rows = each.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("x"))
+    out = bytearray(-(-bits // 8) + _BUCKET // 8)
+    for r in rows.collect():
+        at = (r["k"] - 1) * (_BUCKET // 8)
+        out[at : at + _BUCKET // 8] = bytes(r["x"])
+    return bits, bytes(out)
 
 
 def store(docs: DataFrame, folder: str) -> None:
-    """Write `lists`, `bitmap`, `solo` and `chunks` of docs(doc_id, text) below folder."""
-    lists = stage(chunk_lists(docs), folder, "lists")
-    each = lists.groupBy("sha").agg(F.min("hash").alias("hash"), F.first("digests").alias("digests"), F.count("*").alias("n"))
-    uses = each.select("sha", "hash", "n", F.explode(F.array_distinct("digests")).alias("digest"))
-    ledger = uses.groupBy("digest").agg(F.sum("n").alias("refs"))
-    ledger = stage(ledger.where("refs > 1"), folder, "shared")  # digests of more than one payload
-    linked = uses.join(ledger, "digest", "left_semi").select("hash").distinct()
-    bitmap = stage(bitmap_of(linked), folder, "bitmap")
-    rows = docs.select(F.xxhash64(utf8_of()).alias("hash"), utf8_of().alias("text"))
-    rows = marked(rows, bitmap)
-
-    def solo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = zstandard.ZstdCompressor(level=3)
+    """Write `payloads` and `chunks` of docs(doc_id, text) below folder."""
+    rows = docs.select(F.col("doc_id").cast("long"), utf8_of().alias("text"))
+    bits, bitmap = bitmap_of(shared_digests(rows, folder))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def is_shared(digest: bytes) -> bool:
+        k = _spot(digest, bits)
+        return bool(known.value[k >> 3] >> (k & 7) & 1)
+
+    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            payloads = [payload_of(t) for t in b.column("text").to_pylist()]
-            listed = [_listed(p, e)[:2] for p, e in zip(payloads, cuts(payloads))]
+            texts = b.column("text").to_pylist()
+            whole = [payload_of(t) for t in texts]
+            cols: list[list] = [[], [], [], []]
+            for p, parts in zip(whole, chunked(whole)):
+                digests = [digest_of(x) for x in parts]
+                common = [is_shared(d) for d in digests]
+                cols[0].append(hashlib.sha256(p).hexdigest())
+                cols[1].append(manifest([*map(len, parts)], digests))
+                cols[2].append(b"".join([x for x, c in zip(parts, common) if not c]))
+                cols[3].append([(i, d) for i, (d, c) in enumerate(zip(digests, common)) if c])
+            refs = pa.array([[{"at": i, "digest": d} for i, d in x] for x in cols[3]], pa.list_(pa.struct([("at", pa.int32()), ("digest", pa.binary())])))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("hash"),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    pa.array([x[0] for x in listed], pa.list_(pa.int32())),
-                    pa.array([x[1] for x in listed], pa.list_(pa.binary())),
-                    pa.array([frame.compress(p) for p in payloads]),
-                ],
-                names=["hash", "sha", "lengths", "digests", "frame"],
+                [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), refs],
+                names=["doc_id", "n_bytes", "sha", "manifest", "own", "refs"],
             )
 
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = zstandard.ZstdCompressor(level=3)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            payloads = [payload_of(t) for t in b.column("text").to_pylist()]
-            parts: dict[bytes, bytes] = {}  # equal chunks of a block leave it once
-            for p, e in zip(payloads, cuts(payloads)):
-                for i, j in zip([0, *e], e):
-                    parts.setdefault(digest_of(p[i:j]), p[i:j])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(parts), pa.binary()), pa.array([frame.compress(p) for p in parts.values()], pa.binary())],
-                names=["digest", "frame"],
-            )
+            parts = {d: x for ps in chunked([payload_of(t) for t in b.column("text").to_pylist()]) for x in ps if is_shared(d := digest_of(x))}
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.binary()), pa.array(list(parts.values()), pa.binary())], names=["digest", "samples"])
 
-    alone = rows.where("not hit").select("hash", "text")
-    alone.mapInArrow(solo, "hash long, sha string, lengths array<int>, digests array<binary>, frame binary").write.option(
-        "compression", "uncompressed"
-    ).parquet(f"{folder}/solo")
-    found = rows.where("hit").select("text").mapInArrow(chunked, "digest binary, frame binary")
-    once = found.groupBy("digest").agg(F.first("frame").alias("frame"))
-    once.join(ledger, "digest", "left").select("digest", "frame", F.coalesce("refs", F.lit(1)).alias("refs")).write.option(
-        "compression", "uncompressed"
-    ).parquet(f"{folder}/chunks")
+    schema = "doc_id long, n_bytes long, sha string, manifest binary, own binary, refs array<struct<at:int,digest:binary>>"
+    rows.mapInArrow(payloads, schema).write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    once = rows.select("text").mapInArrow(chunks, "digest binary, samples binary").groupBy("digest").agg(F.first("samples").alias("samples"))
+    once.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
 
 def read(spark, folder: str) -> DataFrame:
     """The media of all documents of a store: doc_id, n_bytes and RESULT."""
-    lists = spark.read.parquet(f"{folder}/lists")
-    rows = marked(lists, spark.read.parquet(f"{folder}/bitmap"))
-
-    def from_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for b in batches:
-            out = []
-            for sha, lengths, digests, frame in zip(*[b.column(c).to_pylist() for c in ("sha", "lengths", "digests", "frame")]):
-                payload = open_.decompress(frame)
-                ends = np.cumsum(lengths).tolist()
-                out.append(_result(sha, lengths, digests, [payload[i:j] for i, j in zip([0, *ends], ends)]))
-            yield _batch(out)
-
-    def from_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
+    rows = spark.read.parquet(f"{folder}/payloads")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+
+    def placed(head: bytes, own: bytes, others: dict[int, bytes]) -> list[bytes]:
+        """The chunks in the manifest's order."""
+        out, at = [], 0
+        for i, n in enumerate(read_manifest(head)[0]):
+            if i in others:
+                out.append(others[i])
+            else:
+                out.append(own[at : at + n])
+                at += n
+        return out
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "own"):
+            found = [_result(sha, head, placed(head, own, {})) for sha, head, own in zip(*[b.column(c).to_pylist() for c in ("sha", "manifest", "own")])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *_results(found)], names=["doc_id", "n_bytes", *_NAMES])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for sha, lengths, digests, parts in zip(*[b.column(c).to_pylist() for c in ("sha", "lengths", "digests", "parts")]):
-                frames = [x["frame"] for x in sorted(parts, key=lambda x: x["at"])]
-                if len(frames) != len(digests):
-                    raise ValueError(f"{len(digests) - len(frames)} chunks of payload {sha} are missing")
-                out.append(_result(sha, lengths, digests, [open_.decompress(x) for x in frames]))
-            yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = [x.split()[0] for x in RESULT.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
-
-    solo = spark.read.parquet(f"{folder}/solo").mapInArrow(from_frames, RESULT)
-    each = rows.where("hit").groupBy("sha").agg(F.first("lengths").alias("lengths"), F.first("digests").alias("digests"))
-    refs = each.select("sha", F.posexplode("digests").alias("at", "digest"))
-    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "frame")
-    parts = refs.join(chunks, "digest").groupBy("sha").agg(F.collect_list(F.struct("at", "frame")).alias("parts"))
-    whole = each.join(parts, "sha").select("sha", "lengths", "digests", "parts").mapInArrow(from_chunks, RESULT)
-    media = solo.unionByName(whole)
-    return lists.select("doc_id", "n_bytes", "sha").join(media, lists.sha == media.payload_sha256).drop("sha")
+            found = []
+            for sha, head, own, n, parts in zip(*[b.column(c).to_pylist() for c in ("sha", "manifest", "own", "n", "parts")]):
+                others = {x["at"]: x["samples"] for x in parts}
+                if len(others) != n:
+                    raise ValueError(f"{n - len(others)} chunks of payload {sha} are missing")
+                found.append(_result(sha, head, placed(head, own, others)))
+            yield pa.RecordBatch.from_arrays(_results(found), names=_NAMES)
+
+    solo = rows.where(F.size("refs") == 0).select("doc_id", "n_bytes", "sha", "manifest", "own").mapInArrow(alone, f"doc_id long, n_bytes long, {RESULT}")
+    linked = rows.where(F.size("refs") > 0)
+    each = linked.groupBy("sha").agg(*[F.first(c).alias(c) for c in ("manifest", "own", "refs")])
+    refs = each.select("sha", F.inline("refs"))
+    parts = refs.join(chunks, "digest").groupBy("sha").agg(F.collect_list(F.struct("at", "samples")).alias("parts"))
+    # a chunk that the store lacks leaves its payload without it: found out by the number of parts
+    whole = each.select("sha", "manifest", "own", F.size("refs").alias("n")).join(parts, "sha", "left")
+    whole = whole.withColumn("parts", F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)))
+    media = whole.select("sha", "manifest", "own", "n", "parts").mapInArrow(together, RESULT)
+    joined = linked.select("doc_id", "n_bytes", F.col("sha").alias("payload_sha256")).join(media, "payload_sha256")
+    return solo.unionByName(joined.select("doc_id", "n_bytes", *_NAMES))
 
 
 def media(docs: DataFrame) -> DataFrame:
