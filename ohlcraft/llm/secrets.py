@@ -1,10 +1,12 @@
 """Secret scan with dictionary-primed zstandard novelty.
 
 Fixed patterns give the base spans. Further candidates are all long tokens that stand shortly after a sensitive word,
-whatever characters they are made of; a long word that is rare in code is reported with them. A candidate is measured by the bytes it adds to a zstandard frame whose dictionary holds common code
-identifiers and the text around the candidate without further copies of it: names, paths and repeated parts cost little
-there, random key material costs about a byte for each character and is reported. A candidate is coded in short pieces,
-each primed with those before, so that its length and the size of its alphabet do not lower its cost. Tasks are map-only; each text is scanned whole.
+whatever characters they are made of; a long word that is rare in code is reported with them. A candidate is measured by
+the bytes it adds to a zstandard frame whose dictionary holds the parts of identifiers that are most frequent in all texts,
+counted by Spark, beside some common words of code, and the text around the candidate without further copies of it: names,
+paths and repeated parts cost little there, random key material costs about a byte for each character and is reported. A
+candidate is coded in short pieces, each primed with those before, so that its length and the size of its alphabet do not
+lower its cost. Each text is scanned whole; texts meet no shuffle.
 
 Defined results: null or empty text has no spans; repeated rows and null doc_ids keep their rows; other columns are
 ignored; an empty table gives an empty table.
@@ -48,7 +50,11 @@ NOVELTY = 0.9
 #: Characters coded at a time: zstandard stores so few literals as they are, so that length and alphabet do not matter.
 PIECE = 60
 
-#: Identifier dictionary: common words of code and configuration.
+#: Compound identifiers (joined by signs, or camel case) and their parts; most parts that the dictionary takes: some 30 KB.
+COMPOUND = r"[A-Za-z][A-Za-z0-9]*+(?:[_.:/-][A-Za-z0-9]++)++|[A-Za-z][a-z]++(?:[A-Z][a-z]++)++"
+PART, MOST_PARTS = r"[A-Z]?[a-z]{2,13}", 4096
+
+#: Common words of code and configuration, which every dictionary begins with.
 IDENTIFIERS = (
     "access account address admin algorithm application argument array async auth authorization await base64 bearer bool buffer "
     "byte cache callback certificate char class client code column config connection const content context cookie count "
@@ -65,14 +71,24 @@ IDENTIFIERS = (
 ).encode()
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
+def identifiers(docs: DataFrame) -> bytes:
+    """The dictionary: common words, then the parts of compound identifiers most frequent in docs(text), the most frequent
+    last. A part is a short run of letters, so that random keys leave nothing of theirs in it, however often they are copied.
+    """
+    found = docs.select(F.explode(F.regexp_extract_all(text_of(), F.lit(COMPOUND), F.lit(0))).alias("x"))
+    parts = found.select(F.explode(F.regexp_extract_all("x", F.lit(PART), F.lit(0))).alias("x")).groupBy(F.lower("x").alias("x")).count()
+    top = parts.where("count > 1").orderBy(F.desc("count"), "x").limit(MOST_PARTS).collect()  # bounded: the dictionary's size
+    return b" ".join([IDENTIFIERS, *[r["x"].encode() for r in reversed(top)]])
+
+
+def marginal_bytes(candidate: str, around: str, words: bytes = IDENTIFIERS) -> int:
     """Bytes that candidate adds to an empty frame primed with the identifiers and the surrounding text."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(words + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     frame = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
     return len(frame.compress(candidate.encode())) - len(frame.compress(b""))
 
 
-def novel(text: str, start: int, stop: int) -> bool:
+def novel(text: str, start: int, stop: int, words: bytes = IDENTIFIERS) -> bool:
     """Whether a candidate adds NOVELTY bytes a character, beside its surroundings without further copies of it."""
     token = text[start:stop]
     before, after = text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
@@ -83,7 +99,7 @@ def novel(text: str, start: int, stop: int) -> bool:
     around = f"{before} {after}".replace(token, " ")
     added = 0
     for at in range(0, len(token), PIECE):
-        added += marginal_bytes(token[at : at + PIECE], f"{around} {token[max(0, at - AROUND) : at]}")
+        added += marginal_bytes(token[at : at + PIECE], f"{around} {token[max(0, at - AROUND) : at]}", words)
     return added >= NOVELTY * len(token)
 
 
@@ -97,7 +113,7 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
-def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]], words: bytes = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Incompressible tokens in sensitive context that meet no base span."""
     if not any(h in low for h in _HINTS):
         return []
@@ -113,16 +129,16 @@ def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]]) -> list[
                 k += 1
             if reach > m.start():
                 continue
-            if novel(text, m.start(), m.end()):
+            if novel(text, m.start(), m.end(), words):
                 out.append((m.start(), 3, m.end()))
     return out
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str, words: bytes = IDENTIFIERS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of one text, by start, then kind."""
     low = text.lower()
     base = sorted(base_spans(text, low))
-    return base, sorted(base + novel_spans(text, low, base))
+    return base, sorted(base + novel_spans(text, low, base, words))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -131,10 +147,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def digest(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, the count of each kind, base_sha256 and spans."""
+    words = identifiers(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            found = [scan(t) for t in b.column("text").to_pylist()]
+            found = [scan(t, words) for t in b.column("text").to_pylist()]
             counts = [pa.array([sum(x[1] == k for x in s) for _, s in found], pa.int64()) for k in range(len(KINDS))]
             base = pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x, _ in found])
             yield pa.RecordBatch.from_arrays(
