@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import html
 import re
+from math import isqrt
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +59,9 @@ _CLOSES = {
 }
 _IN_P = frozenset({"p"})
 _P_STOP = frozenset("article body div section td li main blockquote table".split())
+#: Elements that hold others; of those that hold a line of text only advert words as whole class names are taken.
+_HOLDERS = frozenset("div section ul ol dl table tbody tr td figure header footer center fieldset details iframe".split())
+_ADVERT = frozenset("ad ads advert adverts advertisement sponsored sponsor promo promoted cookie cookies consent newsletter".split())
 #: Roles and class or id words of what isn't the article.
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _WORDS = frozenset(
@@ -91,7 +96,7 @@ def _boilerplate(tag: str, attrs: str) -> bool:
         value = (a or b or c).lower()
         if (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id") and not _WORDS.isdisjoint(_SPLIT.split(value)):
+        if name in ("class", "id") and not (_WORDS.isdisjoint(_SPLIT.split(value)) if tag in _HOLDERS else _ADVERT.isdisjoint(value.split())):
             return True
     return False
 
@@ -218,38 +223,68 @@ def _weight(a: Node, b: Node) -> int:
 
 
 def _matched(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of the heaviest ordered matching of two child lists."""
+    """Pairs of the heaviest ordered matching of two child lists; of equal ones the pair of the earliest nodes goes first.
+
+    Rows of the table of best weights are made from the last to the first. Long lists keep each k-th row, k about the root of
+    their number, and make the rows between again on the way back, so that memory grows with the root of the table."""
     if len(a) == len(b) and all(x.tag == y.tag for x, y in zip(a, b)):
         return list(zip(a, b))
     n, m = len(a), len(b)
-    if n * m > 250_000:  # very long lists: greedy in order, linear in their length
-        out, j = [], 0
-        for x in a:
-            k = j
-            while k < m and b[k].tag != x.tag and k - j < 64:
-                k += 1
-            if k < m and b[k].tag == x.tag:
-                out.append((x, b[k]))
-                j = k + 1
-        return out
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    if not n or not m:
+        return []
+    row_of = _listed_row(b) if n * m <= 2000 else _array_row(b)
+    step = n if n * m <= 2000 else max(1, isqrt(n))
+    held = {}
+    row = [0] * (m + 1) if n * m <= 2000 else np.zeros(m + 1, np.int64)
     for i in range(n - 1, -1, -1):
-        row, below, x = best[i], best[i + 1], a[i]
-        for j in range(m - 1, -1, -1):
+        if (i + 1) % step == 0 or i == n - 1:
+            held[i + 1] = row
+        row = row_of(a[i], row)
+    out, j = [], 0
+    for start in range(0, n, step):
+        end = min(start + step, n)
+        rows = [held[end]]
+        for i in range(end - 1, start - 1, -1):
+            rows.append(row_of(a[i], rows[-1]))
+        rows.reverse()
+        for i in range(start, end):
+            here, below = rows[i - start], rows[i - start + 1]
+            while j < m and here[j] != below[j] or j < m and (w := _weight(a[i], b[j])) and here[j] == w + below[j + 1]:
+                w = _weight(a[i], b[j])
+                if w and here[j] == w + below[j + 1]:
+                    out.append((a[i], b[j]))
+                    j += 1
+                    break
+                j += 1
+    return out
+
+
+def _listed_row(b: list[Node]):
+    def row_of(x: Node, below: list[int]) -> list[int]:
+        row = [0] * len(below)
+        for j in range(len(b) - 1, -1, -1):
             w = _weight(x, b[j])
             top = below[j] if below[j] > row[j + 1] else row[j + 1]
             row[j] = w + below[j + 1] if w and w + below[j + 1] > top else top
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        w = _weight(a[i], b[j])
-        if w and best[i][j] == w + best[i + 1][j + 1]:
-            out.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
+        return row
+
+    return row_of
+
+
+def _array_row(b: list[Node]):
+    """The same with arrays: the best to the right is a running maximum."""
+    names: dict[str, int] = {}
+    tags = np.array([names.setdefault(y.tag, len(names)) for y in b])
+    keys = np.array([y.key for y in b], np.int64)
+    sizes = np.array([len(y.children) for y in b])
+
+    def row_of(x: Node, below: np.ndarray) -> np.ndarray:
+        n = len(x.children)
+        w = np.where(keys == x.key, 2 + n, 1 + np.minimum(sizes, n))
+        best = np.maximum(below[:-1], np.where(tags == names.get(x.tag, -1), w + below[1:], 0))
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+
+    return row_of
 
 
 def find_slot(wrapper: Node) -> Node | None:
