@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stage, text_of
+from .common import shared_folder, stage, text_of, utf8_of
 
 #: Kind -> pattern. A run is entered at its start, or where the match before ended inside it; the rest is possessive.
 PATTERNS = {
@@ -178,10 +178,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     Spans that overlap one already replaced are left out with it. Rows keep their number and columns.
     """
     folder = shared_folder(docs.sparkSession)
-    held = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    spans = find(held.withColumn("doc_id", F.col("__key")), folder).where(F.size("spans") > 0)
-    one = spans.groupBy(F.col("doc_id").alias("__of")).agg(F.first("spans").alias("__spans"))
-    df = held.join(one, F.col("__key") == F.col("__of"), "left")
+    # rows are known by the SHA-256 of their text: equal texts have equal spans, whatever else differs
+    key = F.sha2(utf8_of(), 256)
+    found = find(docs.select(key.alias("doc_id"), "text"), folder).where(F.size("spans") > 0)
+    one = found.groupBy(F.col("doc_id").alias("__pii_of")).agg(F.first("spans").alias("__pii_spans"))
+    df = docs.withColumn("__pii_key", key).join(one, F.col("__pii_key") == F.col("__pii_of"), "left")
     text = text_of()
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
 
@@ -190,8 +191,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         new = F.struct(s["stop"].cast("long").alias("at"), F.concat(acc["done"], piece, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("done"))
         return F.when(s["start"] >= acc["at"], new).otherwise(acc)
 
-    clean = F.aggregate("__spans", start, cut, lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    df = df.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
+    clean = F.aggregate("__pii_spans", start, cut, lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    df = df.withColumn("text", F.when(F.col("__pii_spans").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        df = df.withColumn("n_chars", F.when(F.col("__pii_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return df.select(*docs.columns)
