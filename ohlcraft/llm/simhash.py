@@ -8,8 +8,9 @@ Each fingerprint is therefore listed in the cells within 1 of its two half vecto
 one sort-based exchange, and the exact Hamming distance decides.
 
 Defined results: null or word-less text has fingerprint 0 and links like any other; rows with a
-null doc_id keep their row, their component is the smallest known doc_id or null; repeated rows stay
-repeated; an empty table gives an empty table; other columns are ignored.
+null doc_id keep their row, their component is the smallest known doc_id or null; rows of one doc_id
+with different texts are judged each by its own text; repeated rows stay repeated; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, shared_folder, stage, utf8_of
+from .common import blocks, join_hot, shared_folder, stage, utf8_of
 from .graph import connected_components
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: Cells with more fingerprints than this are searched breadth first instead of by shifted comparison.
+#: Cells with more fingerprints than this are searched breadth first instead of by shifted comparison: the same links, and
+#: memory linear in the cell. The search takes a comparison of each fingerprint reached with the rest.
 SMALL_CELL = 48
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -52,15 +54,22 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp long); one row for each input row."""
+def _digest() -> Column:
+    """128 bits that tell the texts of one doc_id apart."""
+    return F.md5(utf8_of())
+
+
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, fp long); one row for each input row. digest: with h, the digest of the text."""
+    stay = ["doc_id", "h"] if digest else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], pa.array(fps)], names=[*stay, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    cols = [F.col("doc_id").cast("long"), *([_digest().alias("h")] if digest else []), utf8_of().alias("text")]
+    return docs.select(*cols).mapInArrow(run, "doc_id long, " + "h string, " * digest + "fp long")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -158,16 +167,25 @@ def links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[rows])], names=["cell", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last cell, which the next batch may go on with
+
+        def both() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
         for b in batches:
-            key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False)])
-            if len(key) and key[0] == key[-1]:
+            if not b.num_rows:
                 continue
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            held.append((key, fp))
+            if held[0][0][0] == key[-1]:
+                continue
+            key, fp = both()
+            whole = int(np.searchsorted(key, key[-1]))
             yield out(links_of_cells(key[:whole], fp[:whole].view(np.uint64)))
-            key, fp = key[whole:], fp[whole:]
-        yield out(links_of_cells(key, fp.view(np.uint64)))
+            held = [(key[whole:], fp[whole:])]
+        if held:
+            key, fp = both()
+            yield out(links_of_cells(key, fp.view(np.uint64)))
 
     def out(pairs: np.ndarray) -> pa.RecordBatch:
         two = pairs.view(np.int64)
@@ -184,23 +202,38 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
+def _linked(own: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """own(doc_id, fp) -> each(fp, least), one row for each fingerprint, and rooted(fp, root) of those that have a link."""
+    each = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "each")
+    roots = connected_components(links(each), folder)
+    return each, stage(roots.select(F.col("node").alias("fp"), "root"), folder, "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id long, fp long, component_id long), one row for each input row."""
     folder = shared_folder(docs.sparkSession)
     own = stage(fingerprints(docs), folder, "fps")
-    each = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "each")
-    roots = connected_components(links(each), folder)
-    rooted = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    each, rooted = _linked(own, folder)
+    linked = stage(each.join(rooted, "fp"), folder, "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a component may hold most of the linked fingerprints
+    named = join_hot(linked.select("fp", "root"), least, ["root"], F.xxhash64("fp")).select("fp", "component_id")
+    every = each.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return own.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; all columns are kept.
-
-    Rows without a doc_id can't be named by a group and stay; of rows that repeat a doc_id one stays.
-    """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group stays, with all its columns: the one of the smallest doc_id, null last, and among the
+    texts of that doc_id the one of the smallest digest. Rows of one doc_id whose texts aren't near-duplicates stay each in
+    its own group; of rows that repeat a doc_id and text one stays."""
+    folder = shared_folder(docs.sparkSession)
+    own = stage(fingerprints(docs, digest=True), folder, "fps")
+    _, rooted = _linked(own, folder)
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
+    first = stage(own.groupBy("fp").agg(F.min(row).alias("row")), folder, "first")
+    # what has no link is its own group
+    kept = first.join(rooted, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias("__id"), F.col("row.h").alias("__kept"))
+    named = docs.withColumn("__h", _digest())
+    chosen = named.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
