@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, media, mixing, packing, pii, quality, rollup, secrets, simhash, wrapper
-from .common import WORD, shared_folder, stage, table
+from .common import WORD, join_hot, shared_folder, stage, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,14 @@ VERSION = "byte_bpe_50k"
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, text hash) -> adds copy: whether an earlier document has the same text; the hash is of 128 bits."""
-    same = docs.groupBy("__t").agg(F.min("doc_id").alias("__first"))
-    return docs.join(same, "__t").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("__first"), F.lit(False))).drop("__t", "__first")
+    """(doc_id, __t, ...) -> adds copy: whether an earlier document has the same text, whose digest of 128 bits is __t.
+
+    Null doc_ids are no copies; an empty table gives an empty table. Only texts that occur more than once meet the join,
+    and a frequent one is spread over its parts."""
+    same = docs.groupBy("__t").agg(F.min("doc_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    many = docs.select("doc_id", "__t").distinct().where("doc_id is not null")
+    later = join_hot(many, same, ["__t"], F.xxhash64("doc_id")).where(F.col("doc_id") > F.col("__first")).select("doc_id", "__t", F.lit(True).alias("copy"))
+    return docs.join(later, ["doc_id", "__t"], "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("__t")
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
