@@ -77,7 +77,7 @@ def mix(docs: DataFrame, counted: bool = False) -> DataFrame:
     other columns of their names. counted: docs holds size (see sized) and needs no text."""
     docs = docs.drop(*OWN) if counted else docs.drop("size", *OWN)
     rows = docs if counted else sized(docs)
-    h = F.xxhash64(F.col("doc_id"), F.lit(7))
+    h = F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(7))  # with the size, so that null ids aren't all of one bucket
     bucket = F.shiftrightunsigned(h, 64 - (BUCKETS.bit_length() - 1))
     # null-free keys: the join and the window then share one exchange of the documents
     key, at = ["__s", "__none"], {"__s": F.coalesce("source", F.lit("")), "__none": F.col("source").isNull()}

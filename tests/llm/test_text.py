@@ -86,6 +86,14 @@ def test_rollup_is_idempotent_and_signed(spark):
     assert now() == {("b", "en", "v1"): (1, 9), ("a", "en", "v1"): (1, 2), (None, None, "v1"): (1, 0), ("a", "en", "v2"): (1, 3)}
     assert batch("b3", [("insert", 1, "b", "en", "v1", 4), ("insert", 1, "b", "en", "v1", 4)]) and now()[("b", "en", "v1")] == (1, 4)
     assert batch("b4", []) and len(ledger.committed()) == 4
+    held = now()
+    for _ in range(2):
+        ledger.compact()
+        assert now() == held and len(ledger.committed()) == 4 and not batch("b1", first) and ledger._names("batches") == []
+    assert batch("b5", [("delete", 1, None, None, "v2", None), ("insert", 9, "z", "en", "v1", 6)])
+    assert now() == {k: v for k, v in held.items() if k[2] != "v2"} | {("z", "en", "v1"): (1, 6)}
+    ledger.compact()
+    assert len(ledger.committed()) == 5 and now()[("z", "en", "v1")] == (1, 6)
     assert ledger.counted().count() == sum(n for n, _ in now().values())
 
 
@@ -109,6 +117,41 @@ def test_media_round_trip(spark, odd, empty):
     assert media.media(empty).count() == 0
 
 
+def brute_media(t):
+    """The stored form and the feature of one text, byte by byte."""
+    p = media.payload_of((t or "").encode())
+    ends, at, h = [], 0, 0
+    for i, x in enumerate(p):
+        h = (2 * h + int(media.GEAR[x])) & 0xFFFFFFFF
+        own = sum(int(media.GEAR[p[i - k]]) << k for k in range(min(32, i + 1))) & 0xFFFFFFFF
+        assert h == own
+        n = i + 1 - at
+        if (n >= 512 and h & 0x7FF == 0) or n == 8192 or i + 1 == len(p):
+            ends.append(i + 1)
+            at = i + 1
+    parts = [p[i:j] for i, j in zip([0, *ends], ends)]
+    head = b"CDC1" + len(parts).to_bytes(4, "little") + b"".join(len(x).to_bytes(4, "little") + hashlib.blake2b(x, digest_size=16).digest() for x in parts)
+    turns = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:]))
+    rms = (sum(x * x for x in p) / len(p)) ** 0.5
+    return len(head) + len(p), sha(head + p), f"chunks={len(parts)};mean={sum(p) / len(p):.4f};rms={rms:.4f};turns={turns}"
+
+
+def test_media_equals_brute_force(spark, texts):
+    rng = random.Random(8)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(30000))
+    rows = [(1, common), (2, "x " + common), (3, common), (4, None), (5, ""), (None, common[:9000]), (6, "é" * 5000)] + sorted(texts.items())[:25]
+    folder = shared_folder(spark)
+    media.store(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    refs = {x.doc_id: len(x.refs) for x in spark.read.parquet(f"{folder}/payloads").collect()}
+    assert refs[1] > 3 and refs[2] >= refs[1] - 2 and spark.read.parquet(f"{folder}/chunks").groupBy("digest").count().where("count > 1").count() == 0
+    got = media.read(spark, folder).collect()
+    assert sorted((x.media_bytes, x.media_sha256, x.feature) for x in got) == sorted(brute_media(t) for _, t in rows)
+    spark.read.parquet(f"{folder}/chunks").limit(1).write.parquet(f"{folder}/less/chunks")
+    spark.read.parquet(f"{folder}/payloads").write.parquet(f"{folder}/less/payloads")
+    with pytest.raises(Exception, match="missing"):
+        media.read(spark, f"{folder}/less").collect()
+
+
 def test_cuts_follow_content():
     rng = random.Random(1)
     a, b = rng.randbytes(40000), rng.randbytes(3001)
@@ -225,6 +268,15 @@ def test_secrets_need_no_digits():
     assert not secrets.scan("token password_token_session_name and token ------------------------")[1]
 
 
+def test_dictionary_comes_from_the_texts(spark):
+    rows = [(i, f"ledgerReconciler quorum_shardling.replicator{i} zX81kd92LQm4Pq77rTtV0a") for i in range(30)]
+    words = secrets.identifiers(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {b"ledger", b"reconciler", b"quorum", b"shardling", b"replicator"} <= set(words.split()) and b"zX81" not in words
+    text = "the private_key QuorumShardlingReplicatorLedger stands"
+    assert len(secrets.scan(text)[1]) == 1 and not secrets.scan(text, words)[1]  # priming changes the verdict
+    assert secrets.identifiers(spark.createDataFrame([], "doc_id long, text string")) == secrets.IDENTIFIERS
+
+
 def test_secrets_of_any_length_alphabet_and_number():
     rng = random.Random(6)
     base32, alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -312,6 +364,13 @@ def test_pii_context_runs_and_rounds(spark):
     assert [got[1000 + i] for i in range(5)] == ["context:12:24", "context:12:26", "context:14:16", "context:15:19", ""]
 
 
+def test_redaction_of_equal_and_clashing_rows(spark):
+    rows = [(1, "at a@b.co", "k"), (1, "at a@b.co", "k"), (None, "at a@b.co", None), (1, "no one", "z"), (2, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string").withColumn("__of", F.lit(1))
+    got = sorted(((x.text, x["__key"]) for x in pii.redacted(df).collect()), key=str)
+    assert got == sorted([("at [EMAIL]", "k")] * 2 + [("at [EMAIL]", None), ("no one", "z"), (None, "z")], key=str)
+
+
 def test_redaction(spark, odd):
     got = pii.redacted(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
@@ -412,6 +471,35 @@ def test_pages_equal_the_marked_article(spark):
         assert x.text == "\n".join(y for y in lines if y) and x.n_chars == len(x.text)
 
 
+def test_matching_is_the_heaviest():
+    rng = random.Random(11)
+
+    def nodes(k):
+        return [wrapper.tree("".join(f"<{t}>{'<b>x</b>' * rng.randint(0, 2)}{rng.randint(0, 2)}</{t}>" for t in rng.choices(["i", "u", "s"], k=k))) for _ in "ab"]
+
+    def heaviest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                w = wrapper._weight(a[i], b[j])
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], w + best[i][j] if w else 0)
+        return best[-1][-1]
+
+    for k in [rng.randint(1, 12) for _ in range(60)] + [70, 130]:
+        x, y = nodes(k)
+        a, b = x.children, y.children[: rng.randint(0, k)]
+        got = wrapper._matched(a, b)
+        places = [(a.index(u), b.index(v)) for u, v in got]
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:]))
+        if not (len(a) == len(b) and all(u.tag == v.tag for u, v in zip(a, b))):
+            assert sum(wrapper._weight(u, v) for u, v in got) == heaviest(a, b)
+
+
+def test_class_words_leave_paragraphs_alone():
+    page = "<body><article><h1>T</h1><p class='share-price header related'>one</p><p class='ad'>buy</p><div class='related'>more</div></article></body>"
+    assert wrapper.extract([page]) == ["T\none"]
+
+
 # 10: near-duplicates
 
 
@@ -455,6 +543,20 @@ def test_near_duplicates(spark, odd, empty, texts):
     assert simhash.unique_documents(odd).columns == odd.columns
 
 
+def test_unique_documents_lose_no_text(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, b), (None, "quite another text that stands alone here"), (None, "quite another text that stands alone here")]
+    got = simhash.unique_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in spark.createDataFrame([(1, a), (1, b), rows[5]], "doc_id long, text string").collect()]))
+
+
+def test_copies(spark, empty):
+    rows = [(1, "x"), (2, "x"), (2, "x"), (None, "x"), (3, "y"), (None, "z"), (None, "z")]
+    got = queries._copies(spark.createDataFrame(rows, "doc_id long, __t string")).collect()
+    assert sorted((str(x.doc_id), x.copy) for x in got) == [("1", False), ("2", True), ("2", True), ("3", False), ("None", False), ("None", False), ("None", False)]
+    assert queries._copies(empty.withColumn("__t", F.lit("a"))).count() == 0
+
+
 def test_cells_lose_no_link():
     rng = np.random.default_rng(9)
     seeds = rng.integers(0, 2**63, 60, dtype=np.uint64)
