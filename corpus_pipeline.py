@@ -14,7 +14,8 @@ from ohlcraft.llm.common import shared_folder, stage, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a certified cut-off rejects go."""
+    """Documents that the base rule or a certified cut-off rejects go. Null and empty texts have no word and go; an empty
+    table stays empty."""
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,14 +30,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order. Documents without a word have no size and aren't taken;
+    null sources are one source; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text: doc_id, lang, source, ids."""
+    """Token ids of each text, and what they decode to: doc_id, lang, source, ids, n_tokens, decoded_sha256 (of the bytes).
+
+    A text whose ids don't decode to its own bytes stops the run. Null and empty texts have no ids; an empty table stays empty."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    known = bpe.vocabulary(docs, ranks, public_tokenizers.PATTERN, shared_folder(spark))
+    return bpe.encode_verified(docs, ranks, public_tokenizers.PATTERN, ("doc_id", "lang", "source"), known)
 
 
 STAGES = [
