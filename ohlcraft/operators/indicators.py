@@ -18,21 +18,10 @@ def _joined(bars: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_kernel(bars: DataFrame, columns: list[str], schema: str, kernel, keep: list[str] | None = None) -> DataFrame:
-    """Kernel columns next to the bar columns it read and those of keep; all cross to Python once, nothing is joined."""
+    """Kernel columns next to the columns of keep (all, if it isn't given). The columns of keep cross with those that the
+    kernel reads, in the same exchange, and come back as they are, whatever their type."""
     keep = keep if keep is not None else [c for c in bars.columns if c not in ("symbol", "dt")]
-    names = dict.fromkeys([*columns, *keep])
-    kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
-    full = ", ".join([schema, *[f"{c} {kinds[c]}" for c in keep]])
-
-    def run(*arrays: np.ndarray) -> dict[str, np.ndarray]:
-        have = dict(zip(names, arrays))
-        return kernel(*[have[c] for c in columns]) | {c: _typed(have[c], kinds[c]) for c in keep}
-
-    return K.by_symbol(bars, list(names), full, run)
-
-
-def _typed(x: np.ndarray, kind: str) -> np.ndarray:
-    return x if kind in ("double", "float") else x.astype(np.int64)
+    return K.by_symbol(bars, columns, schema, kernel, keep=keep)
 
 
 def macd_frame(bars: DataFrame) -> DataFrame:
@@ -152,7 +141,8 @@ def adxm(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def maxfactor_cross(bars: DataFrame) -> DataFrame:
     """MAXFACTOR = CCI + 4(RSI - 50) + 4(J - 50) against its EMA of 5: state, bars since the cross, signed run; and the
-    dual cross: CCI and J above the shifted RSI."""
+    dual cross: CCI beyond 4(RSI - 50) and J, or J moved on by its last change, beyond RSI on the same side; 0 between and
+    in the first 13 rows."""
 
     def kernel(h, low, c) -> dict:
         cci, rsi, (_, _, j) = np.nan_to_num(K.cci(h, low, c)), np.nan_to_num(K.rsi(c, 12)), K.kdj(h, low, c)
@@ -160,11 +150,12 @@ def maxfactor_cross(bars: DataFrame) -> DataFrame:
         return {"cci": cci, "rsi": rsi, "j": j, "maxfactor": factor, "maxfactor_ma": K.ema_first(factor, 5)}
 
     df = W.numbered(with_kernel(bars, ["high", "low", "close"], "cci double, rsi double, j double, maxfactor double, maxfactor_ma double", kernel))
-    line = 8 * (F.col("rsi") - 50)
-    votes = (F.col("cci") > line).cast("int") + (4 * (F.col("j") - 50) > line).cast("int") + (F.col("rsi") > 50).cast("int")
+    line, rsi, j = 4 * (F.col("rsi") - 50), F.col("rsi"), F.col("j")
+    on = j + W.delta("j")
+    up, down = (F.col("cci") > line) & ((j > rsi) | (on > rsi)), (F.col("cci") < line) & ((j < rsi) | (on < rsi))
     df = df.withColumns({
         "state": F.signum(F.col("maxfactor") - F.col("maxfactor_ma")).cast("bigint"),
-        "dual": F.when(F.col("rn") <= 13, 0).when(votes >= 2, 1).otherwise(-1).cast("bigint"),
+        "dual": F.when(F.col("rn") <= 13, 0).when(up, 1).when(down, -1).otherwise(0).cast("bigint"),
     })
     df = df.withColumns({"up_before": W.bars_since(W.crossed("maxfactor", "maxfactor_ma")), "down_before": W.bars_since(W.crossed("maxfactor_ma", "maxfactor"))})
     return df.withColumns({"run": W.signed_run(F.col("state")), "dual_run": W.signed_run(F.col("dual"))})
@@ -278,11 +269,13 @@ def cross_density(bars: DataFrame, up: str, down: str) -> DataFrame:
 
 
 def wave_corr(df: DataFrame, run: str, a: str, b: str, out: str) -> DataFrame:
-    """Correlation of two columns over the current run (its length is in run). A run's rows share rn - run."""
+    """Correlation of two columns over the current run (its length is in run), null where one doesn't vary. A run's rows
+    share rn - run."""
     from pyspark.sql import Window
 
     phase = Window.partitionBy("symbol", F.col("rn") - F.abs(run)).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.corr(a, b).over(phase))
+    spread = F.stddev_pop(a).over(phase) * F.stddev_pop(b).over(phase)
+    return df.withColumn(out, F.covar_pop(a, b).over(phase) / F.nullif(spread, F.lit(0.0)))
 
 
 def smart_leverage(df: DataFrame, delta: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -258,22 +260,24 @@ def poly_end(c: np.ndarray, window: int = 252, degree: int = 9) -> np.ndarray:
     return out
 
 
-def by_symbol(df: DataFrame, columns: Sequence[str], schema: str, kernel: Callable[..., dict[str, np.ndarray]], order: str = "dt") -> DataFrame:
+def by_symbol(
+    df: DataFrame, columns: Sequence[str], schema: str, kernel: Callable[..., dict[str, np.ndarray]], order: str = "dt", keep: Sequence[str] = ()
+) -> DataFrame:
     """Run a kernel once for each symbol on its ordered columns and append what it returns; one exchange on symbol.
 
-    Only the columns needed cross to Python. schema lists the new columns.
+    schema lists the new columns. Columns of keep stay Arrow columns all the way, so strings, nulls and long integers come
+    back as they went. A column of keep named as a new one gives way to it.
     """
     names = [x.strip().split()[0] for x in schema.split(",")]
+    stay = [c for c in dict.fromkeys(keep) if c not in ("symbol", order, *names)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        found = kernel(*[pdf[c].to_numpy(float) for c in columns])
-        out = {"symbol": pdf["symbol"], order: pdf[order]}
-        for n in names:
-            v = found[n]
-            out[n] = pd.Series(v, dtype="float64").where(~np.isnan(v), None) if v.dtype.kind == "f" else v
-        return pd.DataFrame(out)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(order, "ascending")]))
+        found = kernel(*[table[c].cast(pa.float64()).to_numpy() for c in columns])
+        new = [pa.array(found[n], from_pandas=True) for n in names]  # NaN becomes null
+        return pa.table([table[c] for c in ("symbol", order, *stay)] + new, names=["symbol", order, *stay, *names])
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    only = df.select("symbol", order, *[c for c in dict.fromkeys(columns) if c not in ("symbol", order)])
-    return only.groupBy("symbol").applyInPandas(run, f"symbol {kind['symbol']}, {order} {kind[order]}, {schema}")
+    only = df.select("symbol", order, *[c for c in dict.fromkeys([*columns, *stay]) if c not in ("symbol", order)])
+    kept = "".join(f"`{c}` {kind[c]}, " for c in ("symbol", order, *stay))
+    return only.groupBy("symbol").applyInArrow(run, kept + schema)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import window as W
 from .relational import last_match_wins
 
 UPRISING = (0.1236, 0.0927)
@@ -42,10 +44,19 @@ def attach_trend(features: DataFrame, trend: DataFrame) -> DataFrame:
     return features.join(trend, "dt", "left")
 
 
+def since_turn(df: DataFrame, trend: str = "trend") -> DataFrame:
+    """Bars since the trend became 1, the close there and the log return since. Needs rn."""
+    turn = (F.col(trend) == 1) & (F.coalesce(W.lag(trend), F.lit(0)) != 1)
+    df = df.withColumn("__turn", turn)
+    df = df.withColumns({"age": W.bars_since(F.col("__turn")), "checkout": W.last_at(F.col("__turn"), "close")})
+    return df.withColumn("since_log", F.ln(F.col("close") / F.col("checkout"))).drop("__turn")
+
+
 def market_vote(market: DataFrame) -> DataFrame:
     """market(dt, total and the breadth columns) -> adds missive_dif, massive_trend, master_stream, massive_flu.
 
-    All windows run over the dates in one order: a table of one row for each date, bounded by the calendar.
+    All windows run over the dates in one order: a table of one row for each date, bounded by the calendar. The quantiles
+    are over the whole history, so the result reads later dates: not for streams.
     """
     w = Window.orderBy("dt")
     every = Window.partitionBy()
@@ -64,7 +75,7 @@ def market_vote(market: DataFrame) -> DataFrame:
         "__atr": F.coalesce(d("ATR_Stopline") + d("ATR_SuperTrend"), zero),
         "missive_dif": sum((F.coalesce(F.signum(d(c)), zero) for c in ("flu_ratio", "master_ratio", *RISING)), zero)
         - sum((F.coalesce(F.signum(d(c)), zero) for c in FALLING), zero),
-        "__dmax": F.coalesce(d("MAXFACTOR_CROSS"), zero),
+        "__dmax": F.coalesce(d("MAXFACTOR_CROSS"), zero), "__dvfb": F.coalesce(d("VOLUME_FLOW_BOOST"), zero),
     })
     m = m.withColumns({"__ldif": F.coalesce(F.lag("missive_dif").over(w), zero), "__lvfb": F.coalesce(F.lag("__vfb").over(w), zero)})
 
@@ -82,7 +93,7 @@ def market_vote(market: DataFrame) -> DataFrame:
         trend = (
             F.when((r < F.greatest(F.lit(0.382), F.col("__q382"))) & (F.col("__atr") < 0), -1)
             .when(vfb / total < -0.168, -2)
-            .when((vfb < 0) & (vol < 0) & weak, -3)
+            .when((F.col("__dvfb") < 0) & (vol < 0) & weak, -3)
             .when(vfb / total > 0.309, 1)
             .when(((vfb + F.col("__lvfb")) / total > 0.309) & (vfb / total > 0.168), 2)
             .when(((vol + F.col("VOLUME_FLOW_BOOST_BONUS")) / total > 0.0618) & (vol > 0) & (vfb > 0), 3)
@@ -99,38 +110,51 @@ def market_vote(market: DataFrame) -> DataFrame:
             .when((F.col("__dmax") < 0) & ((F.col("__ldif") < 0) | (dif < 0)), -11)
             .otherwise(0)
         )
-        temp = [c for c in f.columns if c.startswith("__") and c not in ("__vfb", "__atr", "__dmax", "__ldif", "__lvfb")]
+        temp = [c for c in f.columns if c.startswith("__") and c not in ("__vfb", "__atr", "__dmax", "__ldif", "__lvfb", "__dvfb")]
         return f.withColumn(out, trend).drop(*temp)
 
     m = cascade("flu_ratio", "FLU_POSITIVE", "ML_FLU_TREND", m, "massive_trend")
     m = cascade("master_ratio", "FLU_POSITIVE_MASTER", "massive_trend", m, "master_stream")
-    a, b = F.col("massive_trend"), F.col("master_stream")
-    m = m.withColumn("__s", F.when((a > 0) & (b > 0), a).when((a > 0) & (b < 0), F.when(F.col("missive_dif") > 0, 10).otherwise(-10)).when((a < 0) & (b > 0), F.when(F.col("missive_dif") > 0, 12).otherwise(0)).otherwise(a))
-    before = F.lag("__s").over(w)
-    m = m.withColumn("massive_flu", last_match_wins([(13, (F.col("__s") == -4) & (F.col("missive_dif") > 2)), (-99, (before < 0) & (F.col("__s") > 0) & (F.col("__vfb") < 0)), (11, (before > 0) & (F.col("__s") == 0) & (F.col("__vfb") > 0))], F.col("__s")))
-    return m.drop("__vfb", "__atr", "__dmax", "__ldif", "__lvfb", "__s")
-
-
-# Screens over feature tables: label -> predicate.
-SCREENS: dict[str, str] = {
-    "fullstack": "ma5 > ma10 and ma10 > ma20 and ma20 > ma60",
-    "halfstack": "ma5 > ma10 and ma10 > ma20 and not (ma20 > ma60)",
-    "downrisk": "ma5 < ma10 and ma10 < ma20 and dea < 0",
-    "saltedfish": "abs(ret) < 0.01 and ma5 < ma60",
-    "groundzero": "low = low60",
-    "combo": "ma5 > ma60 and dea > 0 and ret > 0",
-    "long": "close > ma20 and dea > 0",
-    "buylong": "golden = 1 and close > ma60",
-    "sellshort": "golden = -1 and close < ma60",
-    "short": "close < ma20 and dea < 0",
-    "hyperpunch": "ret > 0.5 and volume > 2 * vol20",
-}
-
-
-def screened(features: DataFrame) -> DataFrame:
-    """All labels of a row in one pass; rows without one go."""
-    tags = F.concat_ws(",", *[F.when(F.expr(p), F.lit(k)) for k, p in SCREENS.items()])
-    return features.withColumn("tags", tags).where("tags <> ''")
+    m = corrected(m)
+    return m.drop("__vfb", "__atr", "__dmax", "__ldif", "__lvfb", "__dvfb")
+
+
+def corrected(m: DataFrame) -> DataFrame:
+    """Adds massive_flu: the two streams' common verdict, then seven corrections in their order, each of which looks back at
+    what the one before it has left. A null comparison doesn't hold."""
+    w = Window.orderBy("dt")  # one row for each date
+    lag: Callable[..., Column] = lambda c, k=1: F.lag(c, k).over(w)
+    every = lambda *xs: F.coalesce(reduce(Column.__and__, xs), F.lit(False))
+    one = lambda *xs: reduce(Column.__or__, [F.coalesce(x, F.lit(False)) for x in xs])
+    c = F.col
+    factor, dual, dif, total = c("MAXFACTOR_CROSS"), c("DUAL_CROSS"), c("missive_dif"), c("total")
+    trend, stream = c("massive_trend"), c("master_stream")
+    macd, delta, dea, crowd = c("MACD"), c("MACD_DELTA"), c("DEA"), c("CLUSTER_GROUP_TOWARDS")
+    day, minute = ("BOLL_RENKO", "BOOTSTRAP_GROUND_ZERO"), ("BOLL_RENKO_MINOR", "BOOTSTRAP_GROUND_ZERO_MINOR")
+    before = lag("MAXFACTOR_CROSS")
+    apart = F.when(trend == 0, stream < 0).otherwise(stream / F.nullif(trend, F.lit(0)) < 0.0002)
+    told = F.when(dif > 0, 10).when(dif < 0, F.when(every(factor > 0, before > 0), 12).otherwise(-10)).otherwise(0)
+    m = m.withColumn("massive_flu", F.when(every(apart), told).otherwise(trend))
+    fades = one(delta < 0, every(lag("MACD_DELTA") < 0, before < 0))
+    held = F.collect_list("PEAK_OPEN").over(w.rowsBetween(-20, 0))
+    m = m.withColumn("PEAK_OPEN_RANK", F.when(F.size(held) == 21, F.size(F.filter(held, lambda v: v <= c("PEAK_OPEN"))) / 21.0))
+
+    def v(k: int = 0) -> Column:
+        return lag("massive_flu", k) if k else c("massive_flu")
+
+    strong = lambda x: x / total > 0.809
+    steps: list[tuple[int, Callable[[], Column]]] = [
+        (13, lambda: every(v() == -4, factor > 0, before > 0, lag("massive_trend", 2) > 0, one(factor - before > 0, dif > 0))),
+        (-99, lambda: every(v(1) < 0, v(2) > 0, factor < 0, before < 0, lag("DUAL_CROSS") > dual)),
+        (11, lambda: every(v() <= 0, one(v(1) > 0, every(strong(factor), strong(before)), every(v(2) > 0, strong(factor))), dea > 0, delta > 0, factor > 0, one(factor / total > 0.618, c(minute[1]) > 0))),
+        (12, lambda: every(v() <= 0, one(v(1) > 0, macd > 0), v(2) > 0, lag("MACD_DELTA") > 0, lag("MACD_DELTA", 2) > 0, dea > 0, delta > 0, factor > 0, dual > 0, crowd < 0)),
+        (-98, lambda: every(v() >= 0, factor < 0, dual < 0, fades, macd < 0, one(every(*[c(x) < 0 for x in day]), every(*[c(x) < 0 for x in minute])))),
+        (-97, lambda: every(v() >= 0, factor < 0, fades, one(dual < 0, macd < 0), *[c(x) < 0 for x in (*day, *minute)])),
+        (13, lambda: every(v() <= 0, sum((lag("PEAK_OPEN", k) for k in (2, 3, 4)), lag("PEAK_OPEN")) > 0, c("PEAK_OPEN") < -0.0168, dea > 0, c("PEAK_OPEN_RANK") < 0.1236, crowd / total > 0.168)),
+    ]
+    for code, holds in steps:
+        m = m.withColumn("massive_flu", F.when(holds(), code).otherwise(c("massive_flu")))
+    return m
 
 
 def leverage_votes(signals: Sequence[tuple[str, float]], gate_up: Column, gate_down: Column, unit: float = 0.0309) -> Column:

@@ -116,11 +116,10 @@ def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], key: str = "
 
 
 def densified(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Every symbol on every date: values carried forward, then back. Dates are spread over the symbols by a join on
-    the symbols' own keys, so the result has symbols times dates rows by definition."""
-    dates = df.select("dt").distinct()
-    symbols = df.select("symbol").distinct()
-    grid = symbols.crossJoin(dates)
+    """Every symbol on every date: values carried forward, then back. The distinct dates are one array, bounded by the
+    calendar, that every symbol's row unfolds, so the result has symbols times dates rows by definition."""
+    dates = df.agg(F.sort_array(F.collect_set("dt")).alias("__dates"))  # one row: the calendar
+    grid = df.select("symbol").distinct().join(F.broadcast(dates)).select("symbol", F.explode("__dates").alias("dt"))
     full = grid.join(df, ["symbol", "dt"], "left")
     w = Window.partitionBy("symbol").orderBy("dt")
     fwd, back = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
@@ -164,3 +163,19 @@ def walk_back(calendar: DataFrame, days: DataFrame, most: int = 10) -> DataFrame
     c = calendar.select(F.col("dt").alias("__dt"))
     near = days.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("__dt", F.expr("day - make_interval(0, 0, 0, __k)"))
     return near.join(c, "__dt").groupBy("day").agg(F.max("__dt").alias("dt"))
+
+
+def _latest(df: DataFrame, bars: int) -> DataFrame:
+    newest = Window.partitionBy("symbol").orderBy(F.col("dt").desc())
+    return df.withColumn("__back", F.row_number().over(newest)).where(F.col("__back") <= bars).drop("__back")
+
+
+def last_correlation(df: DataFrame, a: str, b: str, bars: int) -> DataFrame:
+    """Per symbol the correlation of two columns over the last bars, null where one doesn't vary: symbol, corr."""
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return _latest(df, bars).groupBy("symbol").agg((F.covar_pop(a, b) / spread).alias("corr"))
+
+
+def mean_moves(returns: DataFrame, bars: int = 120) -> DataFrame:
+    """Per symbol the mean absolute return and the mean amount of the last bars: symbol, move, turnover."""
+    return _latest(returns, bars).groupBy("symbol").agg(F.avg(F.abs("ret")).alias("move"), F.avg("amount").alias("turnover"))

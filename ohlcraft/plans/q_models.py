@@ -16,7 +16,7 @@ from ..sources.bars import day_bars
 from ..streaming import bars as streaming
 from .oracle import UPTO, full, over, sma, with_bars
 from .oracle import W as OW
-from .q_indicators import MACD, pick
+from .q_indicators import pick
 from .q_relational import RET, returns
 from .q_window import R, numbered, r
 
@@ -98,7 +98,7 @@ def strategy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markowitz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ret = returns(spark, sf_dir).where("ret is not null").select("dt", "symbol", F.least("ret", F.lit(1.0)).alias("ret"))
+    ret = returns(spark, sf_dir).where("ret is not null").select("dt", "symbol", "ret")
     names, mean, cov = allocation.moments(ret)
     low, best = allocation.min_variance(cov), allocation.max_sharpe(mean, cov)
     rows = [(int(s), round(float(a), 4), round(float(b), 4)) for s, a, b in zip(names, low, best)]
@@ -110,7 +110,7 @@ def es_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.relational import expected_shortfall
 
     es = expected_shortfall(returns(spark, sf_dir)).select("symbol", "es", (F.col("symbol") % 5).alias("growth"), F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("last"))
-    return allocation.es_allocation(es)
+    return allocation.es_allocation(es).select("symbol", r(F.col("score")).alias("score"), r(F.col("ratio")).alias("ratio"))
 
 
 @query()
@@ -130,7 +130,9 @@ def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ATR_Stopline": above.cast("int"), "ATR_SuperTrend": strong.cast("int"), "MAXFACTOR_CROSS": F.col("cross_5_10").cast("int"), "DUAL_CROSS": up.cast("int"),
         "TALIB_PATTERNS": (F.col("close") - F.col("open") > 0).cast("int"), "ADXm_Trend": strong.cast("int"), "Volume_HMA5": above.cast("int"),
         "BOOTSTRAP_I": (F.col("jx_5_10") == 0).cast("int"), "DEADPOOL": (F.col("sx_5_10") == 0).cast("int"), "FLU_POSITIVE_MASTER": (above > 0).cast("int"),
-        "FLU_NEGATIVE_MASTER": (above < 0).cast("int"), "VOLUME_FLOW_BOOST_BONUS": (F.col("volume") > 45).cast("int"), "PEAK_OPEN": F.col("ret"),
+        "FLU_NEGATIVE_MASTER": (above < 0).cast("int"), "VOLUME_FLOW_BOOST_BONUS": (F.col("volume") > 45).cast("int"), "PEAK_OPEN": F.col("ret") / 100,
+        "DEA_NORM": F.col("ma5") / F.col("ma60") - 1, "MACD_NORM": F.col("ma5") / F.col("ma20") - 1, "MACD_DELTA_NORM": F.col("ma5") / F.col("ma10") - 1, "BOLL_RENKO": above,
+        "BOOTSTRAP_GROUND_ZERO": strong, "BOLL_RENKO_MINOR": up, "BOOTSTRAP_GROUND_ZERO_MINOR": F.signum(F.coalesce(F.col("ma5") - F.col("ma10"), F.lit(0.0))) - 0.5, "CLUSTER_GROUP_TOWARDS": up.cast("int"),
     }
     from ..operators.relational import breadth
 
@@ -152,17 +154,6 @@ def mass_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.mass_trend(f, ["ret", "power"], "ma20").select("dt", "n", r(F.col("above")).alias("above"), F.col("trend").cast("bigint").alias("trend"))
 
 
-_S = MACD + f", f2 AS (SELECT *, close / lag(close) {OW} - 1 AS ret, {', '.join(f'{sma("close", n)} AS ma{n}' for n in (5, 10, 20, 60))}, min(low) {over(60)} AS low60, {sma('volume', 20)} AS vol20 FROM m), g AS (SELECT *, CASE WHEN ma5 > ma10 AND lag(ma5) {OW} <= lag(ma10) {OW} THEN 1 WHEN ma10 > ma5 AND lag(ma10) {OW} <= lag(ma5) {OW} THEN -1 ELSE 0 END AS golden FROM f2)"
-_TAGS = ", ".join(f"CASE WHEN {p} THEN '{k}' END" for k, p in market.SCREENS.items())
-
-
-@query(with_bars(_S + f" SELECT symbol, dt, tags FROM (SELECT symbol, dt, concat_ws(',', {_TAGS}) AS tags FROM g) WHERE tags <> ''"))
-def feature_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = indicators.ma_system(indicators.macd_frame(day_bars(spark, sf_dir)))
-    df = df.withColumns({"ret": W.pct_change("close"), "low60": F.min("low").over(W.frame(60)), "vol20": W.sma("volume", 20), "golden": F.col("cross_5_10")})
-    return market.screened(df).select("symbol", "dt", "tags")
-
-
 @query(with_bars(f", f AS (SELECT *, close / lag(close, 63) {OW} - 1 AS rps, {sma('close', 20)} AS ma20, {sma('close', 60)} AS ma60 FROM b), t AS (SELECT *, CASE WHEN close > ma60 AND ma20 > ma60 THEN 2 WHEN rps > 0.5 AND close > ma20 THEN 1 ELSE 0 END AS buy, CASE WHEN close < ma60 AND ma20 < ma60 THEN -2 WHEN rps < -0.5 THEN -1 ELSE 0 END AS sell FROM f) SELECT symbol, dt, (CASE WHEN buy > 0 THEN buy WHEN sell < 0 AND volume > 80 THEN -666 ELSE sell END)::BIGINT AS trigger_ FROM t"))
 def rps_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = numbered(spark, sf_dir).withColumns({"rps": W.pct_change("close", 63), "ma20": W.sma("close", 20), "ma60": W.sma("close", 60)})
@@ -268,15 +259,16 @@ def _vote_sql() -> str:
     up = f"(ma5 > ma10 AND lag(ma5) {OW} <= lag(ma10) {OW})"
     down = f"(ma10 > ma5 AND lag(ma10) {OW} <= lag(ma5) {OW})"
     rows = f""", a AS (SELECT *, {mas}, coalesce(close / lag(close) {OW} - 1, 0) AS ret FROM b), c AS (SELECT *, coalesce({up}, false) AS u, coalesce({down}, false) AS d FROM a),
- e AS (SELECT dt, volume, close > open AS white, sign(ret) AS up, sign(coalesce(close - ma20, 0)) AS ab, sign(coalesce(ma5 - ma60, 0)) AS st, CASE WHEN u THEN 1 WHEN d THEN -1 ELSE 0 END AS cr, {since('u')} AS jx, {since('d')} AS sx FROM c),
+ e AS (SELECT dt, volume, close > open AS white, sign(ret) AS up, sign(coalesce(close - ma20, 0)) AS ab, sign(coalesce(ma5 - ma60, 0)) AS st, ret / 100 AS po, ma5 / ma60 - 1 AS n1, ma5 / ma20 - 1 AS n2, ma5 / ma10 - 1 AS n3, sign(coalesce(ma5 - ma10, 0)) AS c5, CASE WHEN u THEN 1 WHEN d THEN -1 ELSE 0 END AS cr, {since('u')} AS jx, {since('d')} AS sx FROM c),
  m AS (SELECT dt, count(*) AS total, sum((up > 0)::INT) AS flu, sum(ab) AS ml, sum((volume > 30)::INT * up) AS vol, sum(ab) AS atr1, sum(st) AS atr2, sum(cr) AS maxf, sum(up) AS dual, sum(white::INT) AS pat, sum(st) AS adx,
-   sum(ab) AS vhma, sum((jx = 0)::INT) AS boot, sum((sx = 0)::INT) AS dead, sum((ab > 0)::INT) AS master, sum((volume > 45)::INT) AS bonus FROM e GROUP BY dt),
+   sum(ab) AS vhma, sum((jx = 0)::INT) AS boot, sum((sx = 0)::INT) AS dead, sum((ab > 0)::INT) AS master, sum((volume > 45)::INT) AS bonus,
+   avg(po) AS po, avg(n1) AS dea, avg(n2) AS macd, avg(n3) AS delta, sum(up) AS crowd, sum(CASE WHEN ab >= 0 THEN 1 ELSE -1 END) AS br, sum(CASE WHEN st >= 0 THEN 1 ELSE -1 END) AS bg, sum(CASE WHEN up >= 0 THEN 1 ELSE -1 END) AS brm, sum(CASE WHEN c5 > 0 THEN 1 ELSE -1 END) AS bgm FROM e GROUP BY dt),
  r1 AS (SELECT *, flu / total AS fr, master / total AS mr FROM m)"""
     lag = "OVER (ORDER BY dt)"
     d = lambda c: f"({c} - lag({c}) {lag})"
     rises = " + ".join(f"coalesce(sign({d(c)}), 0)" for c in ("fr", "mr", "vol", "bonus", "boot", "pat", "flu", "ml", "adx", "vhma"))
     falls = " - ".join(f"coalesce(sign({d(c)}), 0)" for c in ("maxf", "dual", "dead"))
-    rows += f", r2 AS (SELECT *, coalesce({d('vol')} + {d('bonus')}, 0) AS vfb, coalesce({d('atr1')} + {d('atr2')}, 0) AS atr, {rises} - {falls} AS dif, coalesce({d('maxf')}, 0) AS dmax FROM r1)"
+    rows += f", r2 AS (SELECT *, coalesce({d('vol')} + {d('bonus')}, 0) AS vfb, coalesce({d('atr1')} + {d('atr2')}, 0) AS atr, {rises} - {falls} AS dif, coalesce({d('maxf')}, 0) AS dmax, coalesce({d('vol')}, 0) AS dvfb FROM r1)"
     rows += f", r3 AS (SELECT *, coalesce(lag(dif) {lag}, 0) AS ldif, coalesce(lag(vfb) {lag}, 0) AS lvfb FROM r2)"
     weak = "(maxf < 0 OR ldif < 0 OR dmax / total < -0.168::DOUBLE)"
 
@@ -286,17 +278,29 @@ def _vote_sql() -> str:
         pct = lambda c: f"{c} / nullif(lag({c}) {lag}, 0)::DOUBLE - 1"
         return f""", {to}0 AS (SELECT *, {q(0.382)} AS q382, {q(0.618)} AS q618, {q(0.809)} AS q809, median({ml}) OVER () AS med, avg({ratio}) {four} AS m4r, avg({ml}) {four} AS m4l,
    lag({flu}) {lag} AS lflu, lag({ml}) {lag} AS lml, {pct(flu)} AS pflu, {pct(ml)} AS pml FROM {source}),
- {to} AS (SELECT * EXCLUDE (q382, q618, q809, med, m4r, m4l, lflu, lml, pflu, pml), CASE WHEN {ratio} < greatest(0.382::DOUBLE, q382) AND atr < 0 THEN -1 WHEN vfb / total < -0.168::DOUBLE THEN -2 WHEN vfb < 0 AND vol < 0 AND {weak} THEN -3
+ {to} AS (SELECT * EXCLUDE (q382, q618, q809, med, m4r, m4l, lflu, lml, pflu, pml), CASE WHEN {ratio} < greatest(0.382::DOUBLE, q382) AND atr < 0 THEN -1 WHEN vfb / total < -0.168::DOUBLE THEN -2 WHEN dvfb < 0 AND vol < 0 AND {weak} THEN -3
    WHEN vfb / total > 0.309::DOUBLE THEN 1 WHEN (vfb + lvfb) / total > 0.309::DOUBLE AND vfb / total > 0.168::DOUBLE THEN 2 WHEN (vol + bonus) / total > 0.0618::DOUBLE AND vol > 0 AND vfb > 0 THEN 3
    WHEN {ratio} < greatest(0.512::DOUBLE, q618) AND m4r < greatest(0.512::DOUBLE, q618) AND m4l < 0 AND {ml} < med AND {weak} THEN -4 WHEN {ratio} < q382 AND {weak} THEN -5 WHEN {ratio} > q809 AND {ml} > med THEN 4
    WHEN {flu} <= lflu AND {ml} < lml AND {weak} THEN -6 WHEN pflu < 0 AND pml < 0 THEN -7 WHEN pflu > 0 AND dif > 0 AND vol > 0 THEN 5 WHEN pml > 0 AND dif > 0 AND vol > 0 THEN 6 WHEN vol < 0 THEN -8
    WHEN dif > 0 THEN 9 WHEN dif < 0 AND {weak} THEN -9 WHEN dmax < 0 AND (ldif < 0 OR dif < 0) THEN -11 ELSE 0 END AS {out} FROM {to}0)"""
 
     rows += cascade("r3", "r4", "fr", "flu", "ml", "mt") + cascade("r4", "r5", "mr", "master", "mt", "ms")
-    rows += f""", r6 AS (SELECT *, CASE WHEN mt > 0 AND ms > 0 THEN mt WHEN mt > 0 AND ms < 0 THEN CASE WHEN dif > 0 THEN 10 ELSE -10 END WHEN mt < 0 AND ms > 0 THEN CASE WHEN dif > 0 THEN 12 ELSE 0 END ELSE mt END AS s FROM r5),
- r7 AS (SELECT *, lag(s) {lag} AS before FROM r6)
- SELECT dt, total::BIGINT AS total, dif::BIGINT AS missive_dif, mt::BIGINT AS massive_trend, ms::BIGINT AS master_stream,
-   (CASE WHEN before > 0 AND s = 0 AND vfb > 0 THEN 11 WHEN before < 0 AND s > 0 AND vfb < 0 THEN -99 WHEN s = -4 AND dif > 2 THEN 13 ELSE s END)::BIGINT AS massive_flu FROM r7"""
+    rows += f""", s0 AS (SELECT *, lag(maxf) {lag} AS maxf1, lag(dual) {lag} AS dual1, lag(delta) {lag} AS delta1, lag(delta, 2) {lag} AS delta2, lag(mt, 2) {lag} AS mt2, lag(po) {lag} + lag(po, 2) {lag} + lag(po, 3) {lag} + lag(po, 4) {lag} AS po4,
+   CASE WHEN row_number() {lag} >= 21 THEN len(list_filter(list(po) OVER (ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), lambda x: x <= po)) / 21 END AS rank FROM r5),
+ v0 AS (SELECT *, CASE WHEN CASE WHEN mt = 0 THEN ms < 0 ELSE ms / mt::DOUBLE < 0.0002 END THEN CASE WHEN dif > 0 THEN 10 WHEN dif < 0 THEN CASE WHEN maxf > 0 AND maxf1 > 0 THEN 12 ELSE -10 END ELSE 0 END ELSE mt END AS v,
+   coalesce(delta < 0, false) OR coalesce(delta1 < 0 AND maxf1 < 0, false) AS fades FROM s0)"""
+    steps = (
+        (13, "v = -4 AND maxf > 0 AND maxf1 > 0 AND mt2 > 0 AND (maxf - maxf1 > 0 OR dif > 0)"),
+        (-99, "v1 < 0 AND v2 > 0 AND maxf < 0 AND maxf1 < 0 AND dual1 > dual"),
+        (11, "v <= 0 AND (coalesce(v1 > 0, false) OR coalesce(maxf / total > 0.809 AND maxf1 / total > 0.809, false) OR coalesce(v2 > 0 AND maxf / total > 0.809, false)) AND dea > 0 AND delta > 0 AND maxf > 0 AND (maxf / total > 0.618 OR bgm > 0)"),
+        (12, "v <= 0 AND (coalesce(v1 > 0, false) OR coalesce(macd > 0, false)) AND v2 > 0 AND delta1 > 0 AND delta2 > 0 AND dea > 0 AND delta > 0 AND maxf > 0 AND dual > 0 AND crowd < 0"),
+        (-98, "v >= 0 AND maxf < 0 AND dual < 0 AND fades AND macd < 0 AND ((br < 0 AND bg < 0) OR (brm < 0 AND bgm < 0))"),
+        (-97, "v >= 0 AND maxf < 0 AND fades AND (dual < 0 OR coalesce(macd < 0, false)) AND br < 0 AND bg < 0 AND brm < 0 AND bgm < 0"),
+        (13, "v <= 0 AND po4 > 0 AND po < -0.0168::DOUBLE AND dea > 0 AND rank < 0.1236 AND crowd / total > 0.168"),
+    )
+    for k, (code, holds) in enumerate(steps):
+        rows += f", u{k} AS (SELECT *, lag(v) {lag} AS v1, lag(v, 2) {lag} AS v2 FROM v{k}), v{k + 1} AS (SELECT * EXCLUDE (v, v1, v2), CASE WHEN coalesce({holds}, false) THEN {code} ELSE v END AS v FROM u{k})"
+    rows += " SELECT dt, total::BIGINT AS total, dif::BIGINT AS missive_dif, mt::BIGINT AS massive_trend, ms::BIGINT AS master_stream, v::BIGINT AS massive_flu FROM v7"
     return with_bars(rows)
 
 

@@ -147,15 +147,8 @@ def expected_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return es.select("symbol", r(F.col("es")).alias("es"), r(F.col("var"), 3).alias("var"), "n")
 
 
-@query(with_bars(RET + f", u AS (SELECT symbol, dt, ret FROM r WHERE symbol <= 12 AND ret IS NOT NULL) SELECT a.symbol AS a, b.symbol AS b, {R('covar_samp(a.ret, b.ret)', 3)} AS cov, count(*)::BIGINT AS n FROM u a JOIN u b USING (dt) WHERE a.symbol <= b.symbol GROUP BY 1, 2"))
+@query(with_bars(RET + f", u AS (SELECT symbol, dt, ret FROM r WHERE ret IS NOT NULL) SELECT a.symbol AS a, b.symbol AS b, {R('covar_samp(a.ret, b.ret)', 3)} AS cov, count(*)::BIGINT AS n FROM u a JOIN u b USING (dt) WHERE a.symbol <= b.symbol GROUP BY 1, 2"))
 def cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = returns(spark, sf_dir).where("symbol <= 12 and ret is not null").select("symbol", "dt", "ret")
-    return R_.covariance(u).select("a", "b", r(F.col("cov"), 3).alias("cov"), "n")
-
-
-@query(ORACLES["cov_matrix"].replace("symbol <= 12 AND ", ""))
-def cov_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cov_matrix of every symbol."""
     u = returns(spark, sf_dir).where("ret is not null").select("symbol", "dt", "ret")
     return R_.covariance(u).select("a", "b", r(F.col("cov"), 3).alias("cov"), "n")
 
@@ -210,15 +203,8 @@ def named_universes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("s_suppkey").alias("symbol"), F.explode(names).alias("universe"))
 
 
-@query(with_bars(f", u AS (SELECT symbol, dt, close FROM b WHERE symbol <= 8), g AS (SELECT s.symbol, d.dt, u.close FROM (SELECT DISTINCT symbol FROM u) s CROSS JOIN (SELECT DISTINCT dt FROM u) d LEFT JOIN u USING (symbol, dt)) SELECT symbol, dt, {R('coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS close FROM g"))
+@query(with_bars(f", u AS (SELECT symbol, dt, close FROM b), g AS (SELECT s.symbol, d.dt, u.close FROM (SELECT DISTINCT symbol FROM u) s CROSS JOIN (SELECT DISTINCT dt FROM u) d LEFT JOIN u USING (symbol, dt)) SELECT symbol, dt, {R('coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS close FROM g"))
 def densify_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = B.day_bars(spark, sf_dir).where("symbol <= 8").select("symbol", "dt", "close")
-    return R_.densified(u, ["close"]).select("symbol", "dt", r(F.col("close")).alias("close"))
-
-
-@query(ORACLES["densify_fill"].replace(" WHERE symbol <= 8", ""))
-def densify_fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """densify_fill of every symbol."""
     u = B.day_bars(spark, sf_dir).select("symbol", "dt", "close")
     return R_.densified(u, ["close"]).select("symbol", "dt", r(F.col("close")).alias("close"))
 
@@ -320,15 +306,8 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.to_json(F.struct("event_id", "value")).alias("doc"))
 
 
-@query(with_bars(f" SELECT symbol, dt, printf('%.2f/%.2f%%', close + 1e-6::DOUBLE, 100 * (close / open - 1) + 1e-6::DOUBLE) AS text FROM b WHERE symbol = 5"))
+@query(with_bars(f" SELECT symbol, dt, printf('%.2f/%.2f%%', close + 1e-6::DOUBLE, 100 * (close / open - 1) + 1e-6::DOUBLE) AS text FROM b"))
 def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.day_bars(spark, sf_dir).where("symbol = 5")
-    return b.select("symbol", "dt", S.display(F.col("close") + 1e-6, F.col("close") / F.col("open") - 1 + 1e-8).alias("text"))
-
-
-@query(ORACLES["display_text"].replace(" WHERE symbol = 5", ""))
-def display_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """display_text of every symbol."""
     b = B.day_bars(spark, sf_dir)
     return b.select("symbol", "dt", S.display(F.col("close") + 1e-6, F.col("close") / F.col("open") - 1 + 1e-8).alias("text"))
 
@@ -347,21 +326,13 @@ def symbol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(r(top).alias("top"), r((F.max_by("close", "dt") - top) / top).alias("drawdown"), r(F.avg(F.abs(F.col("close") / F.col("open") - 1))).alias("mean_move"), F.count("*").alias("n"))
 
 
-@query(with_bars(f", a AS (SELECT symbol, dt AS t1, lead(dt, 20) {OW} AS t2 FROM b WHERE symbol <= 5), k AS (SELECT a.symbol, t1, t2, sum(volume) AS v, count(*) AS n FROM a JOIN b ON a.symbol = b.symbol AND b.dt > t1 AND b.dt < t2 GROUP BY 1, 2, 3) SELECT symbol, t1, t2, {R('v')} AS volume, n::BIGINT AS n FROM k"))
+@query(with_bars(f", a AS (SELECT symbol, dt AS t1, lead(dt, 20) {OW} AS t2 FROM b), k AS (SELECT a.symbol, t1, t2, sum(volume) AS v, count(*) AS n FROM a JOIN b ON a.symbol = b.symbol AND b.dt > t1 AND b.dt < t2 GROUP BY 1, 2, 3) SELECT symbol, t1, t2, {R('v')} AS volume, n::BIGINT AS n FROM k"))
 def range_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume strictly between two marks, from running sums instead of a range join."""
     from ..operators.structure import sums_between
 
-    b = B.day_bars(spark, sf_dir).where("symbol <= 5")
+    b = B.day_bars(spark, sf_dir)
     marks = b.select("symbol", F.col("dt").alias("t1"), F.lead("dt", 20).over(Window.partitionBy("symbol").orderBy("dt")).alias("t2")).where("t2 is not null")
     return sums_between(marks, b, "volume").select("symbol", "t1", "t2", r(F.col("volume")).alias("volume"), "n")
 
 
-@query(ORACLES["range_between"].replace(" WHERE symbol <= 5", ""))
-def range_between_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """range_between of every symbol."""
-    from ..operators.structure import sums_between
-
-    b = B.day_bars(spark, sf_dir)
-    marks = b.select("symbol", F.col("dt").alias("t1"), F.lead("dt", 20).over(Window.partitionBy("symbol").orderBy("dt")).alias("t2")).where("t2 is not null")
-    return sums_between(marks, b, "volume").select("symbol", "t1", "t2", r(F.col("volume")).alias("volume"), "n")

@@ -40,13 +40,13 @@ def test_sql_agrees(spark, db, name):
     assert text(got) == text(sql)
 
 
-@pytest.mark.parametrize("name", ["cov_matrix_all", "densify_fill_all", "display_text_all", "range_between_all"])
+@pytest.mark.parametrize("name", ["cov_matrix", "densify_fill", "display_text", "range_between"])
 def test_every_symbol(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
     got, sql = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()
-    keys = ["a", "b"] if name == "cov_matrix_all" else [c for c in ("symbol", "dt", "t1", "t2") if c in got]
+    keys = ["a", "b"] if name == "cov_matrix" else [c for c in ("symbol", "dt", "t1", "t2") if c in got]
     assert got[keys[0]].nunique() == 100 and len(got) == len(sql)
     got, sql = (df[sorted(df.columns)].sort_values(keys).reset_index(drop=True) for df in (got, sql))
     for c in got:
