@@ -5,6 +5,7 @@ Predicates are SQL text over the columns that features() of plans.q_rules lists.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import window as W
 from . import indicators as I
+from .relational import last_match_wins
 
 
 class Rule(NamedTuple):
@@ -140,3 +142,111 @@ def screened(features: DataFrame) -> DataFrame:
     labels = {"weakshort": WEAKSHORT.format(cut="__cut")} | SCREENS
     tags = F.concat_ws(",", *[F.when(_holds(p), F.lit(k)) for k, p in labels.items()])
     return df.withColumn("tags", tags).where("tags <> ''").drop("__q", "__cut")
+
+
+# The rules of relative strength, in their order. `name@k` is the value of the column k bars before.
+def _no(predicate: str) -> str:
+    return f"not coalesce({predicate}, false)"
+
+
+SPIKE = (
+    "((ma5 > open and macd < 0) or (renko_ub < close and bias3 > bias3@1 and macd < 0) or (renko_s > 0 and bias3 > bias3@1 and macd < 0) or macd > 0)"
+    f" and {_no('dea_slope < 0 and macd < 0 and factor < 0 and ma5 < open')}"
+)
+_TIRED = "dea > 0 and (tide_sx >= factor_jx + 4 or factor + dual < 0)"
+_HOT = _no(f"z21 + z84 > 1 and {_TIRED}")
+_SINKING = _no("macd < 0 and bias3 < 0 and macd_delta < 0")
+_STEEP = "((slope > ma30_slope and sx_dea > 0) or ma30_slope > ma90_slope or (ma90_slope > ma120_slope and dea > 0))"
+_LIFT21, _LIFT84, _LIFT3 = "z21@1 <= z21", "z84@1 <= z84", "bias3@1 < bias3"
+_UP21, _UP84, _UPZ = "z21@1 < z21", "z84@1 < z84", "bias3_z@1 < bias3_z"
+_AGED = (
+    "((boll_jx > 36 and dif > 0) or (boll_jx <= 2 and zen_sx > 18 and dif > 0) or (dea_jx > 36 and clear90 > 1.236 and dif > 0)"
+    " or (boll_jx > dea_jx and clear90 > 1.236 and dif > 0) or (boll_jx < boll_sx and boot_before < macd_sx))"
+)
+_BASE = "((neg_lower and (sx_dea > 0 or density_8 > 0.512)))"
+_START = (
+    "((boot_before < macd_sx and (dea < 0 or (dea_jx < macd_jx and dea > 0 and macd > 0)))"
+    " or (dea > 0 and boot2_before < dea_jx and (macd_sx <= 6 or (renko_l > 0 and (renko_s > 0 or renko_before <= 8)) or (macd > 0 and macd_jx > 8)) and renko_l > 0 and renko_s > 0))"
+)
+_FRESH = "factor > 0 and factor@1 < 0 and bias3_z < 0.93 and bias3 > 0 and ((bias3@1 > 0 and bias3@3 > 0 and bias3@5 > 0 and bias3@7 > 0) or bias3@1 < 0)"
+_TREND3 = "dea > 0 and ma5 > boll and ma10 > boll and boll > ma30 and ma30 > ma90"
+_FALLS = "(lr_sx < lr_jx or boll_delta < 0 or factor < 0) and boll_sx < boll_jx"
+_ODDZ = "(bias3_z > 0.168 or bias3_z < 0.0512)"
+_RISES = _no(f"{_LIFT3} and {_UPZ} and {_UP21} and {_UP84}")
+_BULL = "(factor_jx < 6 or (macd_trend > 0 and macd_trend@1 > 0)) and line > ma90"
+STRENGTH_BUY: tuple[tuple[int, str], ...] = (
+    (1, f"(factor_jx < 6 or (bias3@1 < 0 and z21@1 < 0.382 and {_LIFT3})) and z21 < 0.809 and bias3_z < 0.93 and {{spike}} and {_no(f'z21@1 + z84@1 > 1.1 and {_TIRED}')} and {_LIFT21}"
+        f" and (z21@1 < 0.382 or z21 < 0.382 or (z21_8 < 0.512 and dea < 0 and sx_dea > 0 and z21_4 < 0.618)) and (dea > 0 or {_BASE} or (dea < 0 and boot_before < macd_sx))"
+        f" and (dual + flow_tri >= 0 or ({_STEEP} and {_BASE} and macd_delta > 0)) and {_SINKING}"),
+    (2, f"(factor_jx < 6 or dual_jx >= 4) and z21 < 0.809 and {_HOT} and {_LIFT21} and (z21@1 < 0.382 or z21 < 0.382) and density_8 > 0.618 and {{spike}} and dea > 0 and dea_slope > 0"),
+    (3, f"(factor_jx < 6 or dual_jx >= 4) and z21 < 0.809 and {_HOT} and {_LIFT21} and (z21@1 < 0.512 or z21 < 0.512) and density_8 > 0.618 and {_LIFT84}"
+        f" and (z84@1 < 0.512 or z84 < 0.512 or (dual + flow_tri >= 0 and sx_dea > 0)) and dea > 0 and {{spike}} and {_STEEP}"),
+    (4, f"factor_jx < 6 and z21 < 0.809 and {_HOT} and {_LIFT21} and (z21@1 < 0.382 or z21 < 0.382) and neg_lower@1 and density_8 > 0.512"),
+    (5, f"(factor_jx < 6 or dual_jx >= 4 or bootstrap_1) and z21 < 0.809 and {_HOT} and bias3_z < 0.93 and {_LIFT21} and (z21@1 < 0.382 or z21 < 0.382) and {_LIFT84} and (z84@1 < 0.382 or z84 < 0.382) and {_STEEP} and {_SINKING}"),
+    (6, f"((boll_sx <= 8 and clear90 > -0.618 and clear90 < 0.382) or (boll_jx <= 1 and macd < 0 and dea > 0)) and (factor_jx < 4 or macd > 0 or (bias3@1 < 0 and bias3 > 0 and {_LIFT3}))"
+        f" and z21@1 < 0.382 and z84@1 < 0.382 and {_LIFT21} and {_LIFT84} and {_AGED}"),
+    (7, f"boll_sx <= 8 and clear90 > 1.236 and macd_sx <= 6 and macd < 0 and bias3@1 < 0 and bias3 > 0 and {_LIFT3} and z21@1 < 0.9 and z84@1 < 0.9 and {_LIFT21} and {_LIFT84}"
+        f" and {_no('bias3@1 < 0 and macd < 0 and maxfactor < 0 and factor < 0')} and {_AGED}"),
+    (10, "(clear90 > 1.236 or (clear90 > 0.809 and bias3_z < 0.382)) and bias3@1 > 0 and bias3@3 > 0 and bias3@5 > 0 and bias3@7 > 0 and {spike} and ((macd_sx <= 6 and (ma5 > open or zen_jx < zen_sx) and macd < 0) or macd > 0)"
+         f" and (bias3_z@1 < bias3_z or bias3_z@2 < bias3_z or bias3_z@3 < bias3_z) and bias3 > 0 and bias3 < 9.27 and factor > 0 and (factor@1 < 0 or factor@2 < 0) and {_AGED}"),
+    (11, f"clear90 > -0.618 and clear90 < 0.309 and factor > 0 and factor_jx <= 6 and bias3 > -9.27 and bias3@1 < 0 and bias3_z@1 < 0.382 and {_UPZ} and z21@1 < 0.382 and {_UP21} and z84@1 < 0.382 and {_UP84}"
+         " and macd_delta > 0 and boll_delta > 0 and (lr_jx < lr_sx or factor_jx < 4) and macd < 0 and macd + macd_delta * 8 > 0"),
+    (12, f"clear90 > -0.618 and clear90 < 0.309 and factor > 0 and factor_jx <= 8 and (trigger@1 > 0 or trigger@2 > 0 or trigger@3 > 0 or trigger@4 > 0) and bias3 > -9.27 and bias3@1 < 0 and {_LIFT3} and bias3_z < 0.93"
+         f" and bias3_z@1 < 0.809 and {_UPZ} and z21@1 < 0.809 and {_UP21} and z84@1 < 0.512 and {_UP84} and macd_delta > 0 and (boll_delta > 0 or macd_jx < 2) and (lr_jx < lr_sx or factor_jx < 4)"),
+    (13, "clear90 > -0.382 and clear90 < 0.618 and bias3@3 > 0 and bias3@4 > 0 and bias3_z < 0.382 and bias3_z@1 < 0.382 and bias3_z@2 < 0.382 and z21 < 0.382 and z21@1 < 0.382 and z21@2 < 0.382"
+         " and z84 < 0.382 and z84@1 < 0.382 and z84@2 < 0.382 and (lr_jx < lr_sx or factor_sx <= 8) and macd < 0 and macd_sx <= 8"),
+    (14, f"{_START} and {_FRESH} and (macd_delta > 0 or (macd_jx > 8 and macd > 0)) and (boll_delta > 0 or (bias3 > 0 and bias3@1 < 0))"),
+    (15, f"{_START} and {_FRESH} and (lower_settle or dif > 0) and z84@1 < 0.512 and {_UPZ} and {_UP21} and {_UP84} and clear90 > -0.618 and clear90 < 0.382"),
+    (16, f"{{spike}} and macd > 0 and ma5 > open@1 and (bias3_z < 0.93 or renko_s@1 < 0) and ((maxfactor@2 > 0 and maxfactor@3 > 0) or (maxfactor@3 > 0 and maxfactor@4 > 0)) and macd_delta@1 < macd_delta"
+         f" and maxfactor@1 < maxfactor and renko_ub@1 < renko_ub and renko_ub@2 < renko_ub and {_LIFT3} and ({_UPZ} or (bias3_z@1 <= bias3_z and maxfactor@1 < 0)) and {_UP21} and {_UP84} and clear90 > 0.618"),
+    (17, "{spike} and renko_ub < close and (macd < 0 or (macd_delta > 0 and maxfactor > 0 and maxfactor@1 < 0)) and (boll_sx <= 4 or factor_jx <= 1) and (renko_before > 1 or (renko_ub > renko_ub@1 and (macd < 0 or maxfactor < 0)))"),
+    (18, "{spike} and macd < 0 and dea > 0 and renko_s > 0 and (rsrs_held > 0 or rsrs > 0) and ma5 > open@1 and factor_jx = 0"),
+    (19, "{spike} and renko_l > 0 and dea > 0 and macd < 0 and rsrs > 0 and zen_jx = 0 and factor > 0 and maxfactor > 0 and (bias3 > 0 or macd_delta > 0)"),
+    (8, f"{_BULL} and ma90 > ma120 and clear120 < 1.236 and (factor_jx < 4 or bias3@1 < 0) and bias3 > 0 and {{spike}} and {_LIFT3} and z21@1 < 0.382 and z21 < 0.512 and {_LIFT21} and {_LIFT84} and {_AGED}"),
+    (9, f"{_BULL} and (ma90 > ma120 or (line > ma120 and ma30_slope > baseline_slope)) and (factor_jx < 4 or macd > 0 or (bias3@1 < 0 and bias3 > 0 and {_LIFT3})) and z21@1 < 0.382 and z84@1 < 0.382 and {_LIFT21} and {_LIFT84} and {_AGED}"),
+)
+STRENGTH_SELL: tuple[tuple[int, str], ...] = (
+    (-1, f"atr_cross <= 0 and {_no(f'factor > 0 and bias3 > 0 and {_LIFT21} and {_LIFT84}')} and {_no('dual_jx > 0 and flow_tri > 0')} and macd > 0 and macd_delta < 0 and zen_sx < zen_jx and bias3_z@1 < 0.96"),
+    (-2, f"{_TREND3} and pct@1 < 0 and (pct@2 < 0 or pct@3 < 0 or pct@4 < 0) and macd_delta < 0 and {_no('macd_sx < 4 and z21 > 0.809 and z84 > 0.809')} and {_FALLS} and {_ODDZ}"),
+    (-3, f"{_TREND3} and pct@2 < 0 and (pct@3 < 0 or pct@4 < 0 or pct@5 < 0) and macd_delta < 0 and {_FALLS} and {_ODDZ}"),
+    (-4, f"renko_s < 0 and {_no('dual_jx > 0 and flow_tri > 0')} and {_no('bias3@1 < 0 and bias3 > 0')} and {_no('pct > 0')} and trigger <> 1 and {_no(f'{_LIFT3} and {_UP21} and {_UP84}')} and dual_jx < 1 and macd > 0"
+         " and ((renko_sx < 8 and zen_sx < 24) or zen_sx < zen_jx)"),
+    (-5, f"{_TREND3} and factor@1 < 0 and (factor@2 < 0 or factor@3 < 0 or factor@4 < 0) and factor < 0 and {_FALLS} and {_ODDZ} and {_RISES}"),
+    (-6, f"{_TREND3} and factor@2 < 0 and (factor@3 < 0 or factor@4 < 0 or factor@5 < 0) and factor < 0 and {_FALLS} and {_ODDZ} and {_RISES}"),
+    (-7, f"dea > 0 and bias3 < 0 and macd < 0 and macd_delta < 0 and factor@1 < 0 and (factor@2 < 0 or factor@3 < 0 or factor@4 < 0) and factor < 0 and lr_sx < lr_jx and {_ODDZ} and {_RISES}"),
+)
+STRENGTH_VETO, VETOED = "maxfactor > 0 and bias3 > 0 and macd > 0 and zen_sx > 4 and (renko_ub@1 < renko_ub or (renko_ub < close and renko_ub > low3))", -666
+_AT = re.compile(r"(\w+)@(\d)")
+
+
+def lags_of(predicates: Sequence[str]) -> list[tuple[str, int]]:
+    """Columns that the predicates look back at, and how far."""
+    return sorted({(c, int(k)) for p in predicates for c, k in _AT.findall(p)})
+
+
+def plain(predicate: str) -> str:
+    """A predicate over columns that hold the earlier values."""
+    return _AT.sub(r"\1__\2", predicate.replace("{spike}", "spike"))
+
+
+def strength(features: DataFrame) -> DataFrame:
+    """Adds trigger: the last buy rule that holds, else the last sell rule, else 0, a vetoed sell VETOED; and its timing lag,
+    the signed run of which of both came last."""
+    cut = next(i for i, (k, _) in enumerate(STRENGTH_BUY) if k == 12)
+    every = [p for _, p in (*STRENGTH_BUY, *STRENGTH_SELL)] + [STRENGTH_VETO, SPIKE]
+    df = features.withColumns({f"{c}__{k}": W.lag(c, k) for c, k in lags_of(every) if c != "trigger"})
+    df = df.withColumn("spike", _holds(plain(SPIKE)))
+
+    def last(rules: Sequence[tuple[int, str]], default: Column) -> Column:
+        return last_match_wins([(k, _holds(plain(p))) for k, p in rules], default)
+
+    df = df.withColumn("trigger", last(STRENGTH_BUY[:cut], F.lit(0)))
+    df = df.withColumns({f"trigger__{k}": F.coalesce(W.lag("trigger", k), F.lit(0)) for c, k in lags_of(every) if c == "trigger"})
+    df = df.withColumn("trigger", last(STRENGTH_BUY[cut:], F.col("trigger")))
+    df = df.withColumn("__s", last(STRENGTH_SELL, F.lit(0)))
+    sold = F.when(_holds(plain(STRENGTH_VETO)) & (F.col("__s") < 0), VETOED).otherwise(F.col("__s"))
+    df = df.withColumn("trigger", F.when(F.col("trigger") > 0, F.col("trigger")).otherwise(sold).cast("bigint"))
+    df = df.withColumns({"__j": W.bars_since(F.col("trigger") > 0), "__x": W.bars_since(F.col("trigger") < 0)})
+    df = df.withColumn("__p", F.signum(F.col("__x") - F.col("__j")))
+    df = df.withColumn("trigger_lag", W.signed_run(F.col("__p")))
+    return df.drop("__s", "__j", "__x", "__p", *[c for c in df.columns if c not in features.columns and "__" in c])

@@ -154,14 +154,6 @@ def mass_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.mass_trend(f, ["ret", "power"], "ma20").select("dt", "n", r(F.col("above")).alias("above"), F.col("trend").cast("bigint").alias("trend"))
 
 
-@query(with_bars(f", f AS (SELECT *, close / lag(close, 63) {OW} - 1 AS rps, {sma('close', 20)} AS ma20, {sma('close', 60)} AS ma60 FROM b), t AS (SELECT *, CASE WHEN close > ma60 AND ma20 > ma60 THEN 2 WHEN rps > 0.5 AND close > ma20 THEN 1 ELSE 0 END AS buy, CASE WHEN close < ma60 AND ma20 < ma60 THEN -2 WHEN rps < -0.5 THEN -1 ELSE 0 END AS sell FROM f) SELECT symbol, dt, (CASE WHEN buy > 0 THEN buy WHEN sell < 0 AND volume > 80 THEN -666 ELSE sell END)::BIGINT AS trigger_ FROM t"))
-def rps_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = numbered(spark, sf_dir).withColumns({"rps": W.pct_change("close", 63), "ma20": W.sma("close", 20), "ma60": W.sma("close", 60)})
-    buy = [(1, "rps > 0.5 and close > ma20"), (2, "close > ma60 and ma20 > ma60")]
-    sell = [(-1, "rps < -0.5"), (-2, "close < ma60 and ma20 < ma60")]
-    return market.strength_rules(df, buy, sell, "volume > 80").select("symbol", "dt", F.col("trigger").cast("bigint").alias("trigger_"))
-
-
 @query("SELECT * FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE AS dt, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::BIGINT AS volume FROM events GROUP BY 1, 2) WHERE dt <= (SELECT max(ts) FROM events)")
 def stream_bars_60(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event stream by a watermarked streaming query, read back: windows that the stream has passed."""

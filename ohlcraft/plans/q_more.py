@@ -219,3 +219,52 @@ def minute_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = t.groupBy("symbol", F.col("w").alias("dt")).agg(F.min_by("price", "dt").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "dt").alias("close"), F.count("*").alias("volume"))
     clock = F.date_format("dt", "HH:mm:ss")
     return bars.where(clock.between("09:30:00", "15:00:00") & (F.col("dt") >= F.lit("2024-01-03").cast("timestamp_ntz")) & (F.col("dt") < F.lit("2024-01-21").cast("timestamp_ntz")))
+
+
+_PCT = "len(list_filter(list({c}) {o}, lambda v: v <= {c})) / {n}"
+
+
+def _pct(c: str, n: int) -> str:
+    return _PCT.format(c=c, o=over(n), n=n)
+
+
+_CROSS = f""", t0 AS (SELECT *, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr0 FROM b), tr AS (SELECT symbol, dt, rn, tr0 AS x FROM t0 WHERE rn > 1),
+ wv AS (SELECT *, avg(x) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS seed FROM tr),
+ w14 AS (SELECT symbol, rn, seed AS e FROM wv WHERE rn = 15 UNION ALL SELECT s.symbol, s.rn, (e * 13 + s.x) / 14 FROM w14 w JOIN wv s ON s.symbol = w.symbol AND s.rn = w.rn + 1),
+ r0 AS (SELECT b.*, w14.e AS a FROM b LEFT JOIN w14 ON w14.symbol = b.symbol AND w14.rn = b.rn),
+ r1 AS (SELECT *, {full(f'regr_intercept(close, rn) {over(20)} + regr_slope(close, rn) {over(20)} * rn', 20)} AS line, {full(f'regr_slope(close, rn) {over(14)}', 14)} AS slope, {sma('low', 2)} AS lo2, {sma('high', 2)} AS hi2, coalesce(ln(close / {lag('high')}), 0) AS dd FROM r0),
+ r2 AS (SELECT *, line + a AS ub, line - a AS lb, coalesce(sign(line - {lag('line')}), 0) AS dir, abs(slope) AS aslope FROM r1),
+ r3 AS (SELECT *, coalesce(dir - {lag('dir')}, 0) AS turn, (ub - lb) / line AS channel, close - lb AS padding, least(close, open, CASE WHEN open < line THEN low ELSE lo2 END) AS mn, greatest(close, open, CASE WHEN open > line THEN high ELSE hi2 END) AS mx,
+   {full(f'median(aslope) {over(20)}', 33)} AS slope_ub, sum(dd) {over(3)} AS dd3, sum(dd) {over(4)} AS dd4 FROM r2),
+ r4 AS (SELECT *, coalesce(mn > lb AND {lag('mn')} <= {lag('lb')}, false) AS bj, coalesce(ub > mx AND {lag('ub')} <= {lag('mx')}, false) AS bs, {full(_pct('close', 21), 21)} AS p21, {full(_pct('close', 84), 84)} AS p84, {full(_pct('padding', 21), 40)} AS q21, {full(_pct('padding', 84), 103)} AS q84 FROM r3),
+ r5 AS (SELECT *, CASE WHEN p21 < 0.618::DOUBLE THEN (q21 + p21) / 2 ELSE p21 END AS s21, CASE WHEN p84 < 0.618::DOUBLE THEN (q84 + p84) / 2 ELSE p84 END AS s84 FROM r4), r6 AS (SELECT *, sign(s21 - s84) AS boost FROM r5)"""
+ORACLES["regression_cross"] = recursive(
+    _CROSS,
+    f"""SELECT symbol, dt, {R('channel')} AS channel, {R('slope')} AS slope, {R('slope_ub')} AS slope_ub, {R('dd3')} AS drawdown_3, {R('dd4')} AS drawdown_4, {R('s21')} AS score_21, {R('s84')} AS score_84, sign(turn)::BIGINT AS cross_,
+ {since('turn > 0')} AS jx_before, {since('turn < 0')} AS sx_before, {since('bj')} AS band_jx_before, {since('bs')} AS band_sx_before, {run('boost > 0')} - ({run('boost < 0')}) AS boost_run FROM r6""",
+)
+
+
+def _ledger_sql(principle: bool) -> str:
+    """The trade machine as a recursive table: one row for each bar with the state of the trade that is open or ends there."""
+    good = "good" if principle else "true"
+    parts = f""", s0 AS (SELECT *, coalesce({sma('close', 5)} > {sma('close', 20)}, false) AS up, coalesce(close > {sma('close', 20)}, false) AS good FROM b), s1 AS (SELECT *, up AND NOT coalesce({lag('up')}, false) AS trig FROM s0),
+ s2 AS (SELECT *, coalesce(rn - last_value(CASE WHEN trig THEN rn END IGNORE NULLS) {UPTO}, rn) <= 3 AS live FROM s1),
+ m AS (SELECT symbol, rn, -1 AS trade, 0 AS state, false AS open, NULL::BIGINT AS start, NULL::BIGINT AS act, NULL::DOUBLE AS settle, NULL::DOUBLE AS fc, NULL::BIGINT AS fin FROM (SELECT symbol, 0::BIGINT AS rn FROM s2 WHERE rn = 1) UNION ALL
+ SELECT symbol, rn, CASE WHEN fresh THEN trade + 1 ELSE trade END, CASE WHEN fresh THEN CASE WHEN good THEN 1 ELSE 2 END WHEN NOT open THEN state WHEN ends THEN CASE WHEN now = 1 THEN 3 ELSE 4 END WHEN stops THEN 4 ELSE now END,
+   CASE WHEN fresh THEN true WHEN open THEN NOT ends AND NOT stops ELSE false END, CASE WHEN fresh THEN rn ELSE start END, CASE WHEN fresh THEN CASE WHEN good THEN rn END WHEN open AND act IS NULL AND now = 1 THEN rn ELSE act END,
+   CASE WHEN fresh THEN CASE WHEN good THEN close END WHEN open AND act IS NULL AND now = 1 THEN close ELSE settle END,
+   CASE WHEN fresh THEN NULL WHEN open AND NOT ends AND NOT live AND now = 1 AND fc IS NULL AND settle IS NOT NULL THEN (close - settle) / settle ELSE fc END, CASE WHEN fresh THEN NULL WHEN open AND (ends OR stops) THEN rn ELSE fin END
+ FROM (SELECT *, NOT live AND NOT ends AND now = 2 AS stops FROM (SELECT s.symbol, s.rn, s.close, s.live, {good.replace('good', 's.good')} AS good, m.trade, m.state, m.open, m.start, m.act, m.settle, m.fc, m.fin, NOT m.open AND s.trig AS fresh, NOT s.up AS ends,
+     CASE WHEN s.live AND {'true' if principle else 'false'} THEN CASE WHEN m.state = 2 AND {good.replace('good', 's.good')} THEN 1 WHEN m.state = 1 AND NOT {good.replace('good', 's.good')} THEN 2 ELSE m.state END ELSE m.state END AS now
+   FROM m JOIN s2 s ON s.symbol = m.symbol AND s.rn = m.rn + 1))),
+ l AS (SELECT m.*, z.last FROM m JOIN (SELECT symbol, max(rn) AS last FROM b GROUP BY symbol) z USING (symbol) WHERE trade >= 0 QUALIFY row_number() OVER (PARTITION BY symbol, trade ORDER BY rn DESC) = 1)"""
+    return recursive(
+        parts,
+        """SELECT l.symbol, l.trade::INT AS trade, l.state::INT AS state, x.dt AS start_dt, a.dt AS act_dt, f.dt AS end_dt, 1::INT AS long, l.settle, e.close AS end_price, (e.close - l.settle) / l.settle AS ret, l.fc AS ret_forecast,
+ (e.close - x.close) / x.close AS ret_simulated, coalesce(l.fin, l.last) - l.start AS bars FROM l JOIN b x ON x.symbol = l.symbol AND x.rn = l.start JOIN b e ON e.symbol = l.symbol AND e.rn = coalesce(l.fin, l.last)
+ LEFT JOIN b a ON a.symbol = l.symbol AND a.rn = l.act LEFT JOIN b f ON f.symbol = l.symbol AND f.rn = l.fin""",
+    )
+
+
+ORACLES["trade_ledger"], ORACLES["trade_ledger_plain"] = _ledger_sql(True), _ledger_sql(False)

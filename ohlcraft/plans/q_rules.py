@@ -67,6 +67,17 @@ def more_features(df: DataFrame) -> DataFrame:
     })
 
 
+def strength_features(df: DataFrame) -> DataFrame:
+    """What the strength rules read beside the other inputs: BIAS of 30 and its rank, longer ranks and slopes, ages of DEA; the
+    upper brick and the regression-strength signals are given by plain expressions."""
+    df = rules.macd_trend(df)
+    df = df.withColumns({"bias3": 100 * (F.col("close") - F.col("ma30")) / F.col("ma30"), "z84": W.pct_rank("close", 84), "dea_jx": W.bars_since((F.col("dea") > 0) & (W.lag("dea") <= 0)), "renko_ub": F.max("high").over(W.frame(4)), "low3": F.min("close").over(W.frame(3)),
+        "slope": W.ols_slope("close", 14), **{f"ma{n}_slope": F.when(F.col("rn") >= n + 13, F.regr_slope(f"ma{n}", "rn").over(W.frame(14))) for n in (30, 90, 120)}, "density_8": F.avg("density").over(W.frame(8)), "z21_8": F.avg("z21").over(W.frame(8)), "z21_4": F.avg("z21").over(W.frame(4)),
+        "renko_before": W.bars_since(F.col("renko_s") > 0), "renko_sx": W.bars_since(F.col("renko_s") < 0)})
+    return df.withColumns({"bias3_z": W.pct_rank("bias3", 21), "sx_dea": W.last_at(F.col("boll_sx") == 0, "dea"), "neg_lower": (F.col("macd") < 0) & (F.col("dea") < 0) & (F.col("macd") < F.col("dea")), "lower_settle": (F.col("dea") < 0) & (F.col("macd_delta") > 0),
+        "clear120": (F.col("boll_ub") - F.col("ma120")) / F.nullif(F.col("boll_ub") - F.col("boll_lb"), F.lit(0.0)), "factor_jx": F.col("up_before"), "factor_sx": F.col("down_before"), "boot2_before": F.col("macd_jx"), "rsrs": F.col("flow_tri"), "rsrs_held": F.col("vhma_dir"), "atr_cross": F.col("lr_dir"), "baseline_slope": F.lit(0.001)})
+
+
 def _signed(x: str) -> str:
     return f"{run(f'({x}) > 0')} - ({run(f'({x}) < 0')})"
 
@@ -74,7 +85,7 @@ def _signed(x: str) -> str:
 _INPUTS = (
     FACTORS
     + MACD.replace("e AS (", "em AS (").replace("FROM e)", "FROM em)").replace("f AS (", "fm AS (").replace("FROM f)", "FROM fm)").replace(", m AS (", ", mc AS (")
-    + f""", i0 AS (SELECT mc.*, mz.state AS factor, mz.dual, mz.rsi, {", ".join(f"{full(f'avg(mc.close) OVER (PARTITION BY mc.symbol ORDER BY mc.dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)', n).replace('rn >=', 'mc.rn >=')} AS ma{n}" for n in (5, 10, 30, 90, 120))} FROM mc JOIN mz ON mz.symbol = mc.symbol AND mz.rn = mc.rn),
+    + f""", i0 AS (SELECT mc.*, mz.state AS factor, mz.dual, mz.rsi, mz.maxfactor, mz.up AS f_up, mz.down AS f_down, {", ".join(f"{full(f'avg(mc.close) OVER (PARTITION BY mc.symbol ORDER BY mc.dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)', n).replace('rn >=', 'mc.rn >=')} AS ma{n}" for n in (5, 10, 30, 90, 120))} FROM mc JOIN mz ON mz.symbol = mc.symbol AND mz.rn = mc.rn),
  ia AS (SELECT *, {sma('close', 20)} AS boll, {full(f'stddev_pop(close) {over(20)}', 20)} AS sd, {full(f'regr_intercept(close, rn) {over(20)} + regr_slope(close, rn) {over(20)} * rn', 20)} AS line, {lag('close')} AS c1, {lag('ma10')} AS ma10_1, {lag('macd')} AS macd_1,
    avg((close > open)::INT) {over(21)} AS density, sign(close - {lag('close', 4)}) AS renko_s, sign(close - {lag('close', 10)}) AS renko_l, rsi - {lag('rsi')} AS rsi_delta, {lag('dif')} AS dif_1, {lag('ma30')} AS ma30_1, sign(avg(volume) {over(5)} - avg(volume) {over(10)}) AS flow_tri FROM i0),
  i1 AS (SELECT *, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr, close / c1 - 1 AS pct, macd - macd_1 AS macd_delta, {since('macd > 0 AND macd_1 <= 0')} AS macd_jx, {since('macd < 0 AND macd_1 >= 0')} AS macd_sx,
@@ -90,13 +101,17 @@ _INPUTS = (
 )
 
 
-def _macd_trend_sql() -> str:
+def _macd_trend_parts() -> str:
     parts, at = "", "i4"
     parts += f", t0 AS (SELECT *, CASE WHEN macd_sx = 0 THEN -1 WHEN macd_jx = 0 THEN 1 ELSE 0 END AS v FROM {at})"
     for k, r in enumerate(rules.MACD_TREND):
         zero = " AND v = 0" if r.open else ""
         parts += f", p{k} AS (SELECT *, coalesce(lag(v) {OW}, 0) AS prev FROM t{k}), t{k + 1} AS (SELECT * EXCLUDE (v, prev), CASE WHEN coalesce({r.predicate}, false){zero} THEN {r.value} ELSE v END AS v FROM p{k})"
-    return recursive(_INPUTS + parts, f"SELECT symbol, dt, (CASE WHEN coalesce({rules.MACD_SUPER}, false) THEN 1 ELSE v END)::BIGINT AS macd_trend FROM t{len(rules.MACD_TREND)}")
+    return parts
+
+
+def _macd_trend_sql() -> str:
+    return recursive(_INPUTS + _macd_trend_parts(), f"SELECT symbol, dt, (CASE WHEN coalesce({rules.MACD_SUPER}, false) THEN 1 ELSE v END)::BIGINT AS macd_trend FROM t{len(rules.MACD_TREND)}")
 
 
 def macd_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,5 +156,32 @@ def feature_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.screened(more_features(features(spark, sf_dir))).select("symbol", "dt", "tags")
 
 
-QUERIES |= {"macd_trend": macd_trend, "smart_leverage": smart_leverage, "feature_screens": feature_screens}
-ORACLES |= {"macd_trend": _macd_trend_sql(), "smart_leverage": _leverage_sql(), "feature_screens": _screens_sql()}
+def _strength_sql() -> str:
+    trend = _macd_trend_parts()
+    at = lambda k: f"CASE WHEN rn >= {k} + 13 THEN regr_slope(ma{k}, rn) {over(14)} END"
+    rank = lambda c, n: full(f"len(list_filter(list({c}) {over(n)}, lambda v: v <= {c})) / {n}", n)
+    every = [p for _, p in (*rules.STRENGTH_BUY, *rules.STRENGTH_SELL)] + [rules.STRENGTH_VETO, rules.SPIKE]
+    lagged = ", ".join(f"lag({c}, {k}) {OW} AS {c}__{k}" for c, k in rules.lags_of(every) if c != "trigger")
+    cut = next(i for i, (k, _) in enumerate(rules.STRENGTH_BUY) if k == 12)
+
+    def last(found: tuple, default: str) -> str:
+        return "CASE " + " ".join(f"WHEN coalesce({rules.plain(p)}, false) THEN {k}" for k, p in reversed(found)) + f" ELSE {default} END"
+
+    parts = trend + f""", g0 AS (SELECT *, (CASE WHEN coalesce({rules.MACD_SUPER}, false) THEN 1 ELSE v END) AS macd_trend, 100 * (close - ma30) / ma30 AS bias3, {rank('close', 84)} AS z84, lag(dea) {OW} AS dea_1, max(high) {over(4)} AS renko_ub, min(close) {over(3)} AS low3,
+   {full(f'regr_slope(close, rn) {over(14)}', 14)} AS slope, {at(30)} AS ma30_slope, {at(90)} AS ma90_slope, {at(120)} AS ma120_slope, avg(density) {over(8)} AS density_8, avg(z21) {over(8)} AS z21_8, avg(z21) {over(4)} AS z21_4, {since('renko_s > 0')} AS renko_before, {since('renko_s < 0')} AS renko_sx FROM t{len(rules.MACD_TREND)}),
+ g1 AS (SELECT *, {since('dea > 0 AND dea_1 <= 0')} AS dea_jx, {rank('bias3', 21)} AS bias3_z, last_value(CASE WHEN boll_sx = 0 THEN dea END IGNORE NULLS) {UPTO} AS sx_dea, macd < 0 AND dea < 0 AND macd < dea AS neg_lower, dea < 0 AND macd_delta > 0 AS lower_settle,
+   (boll_ub - ma120) / nullif(boll_ub - boll_lb, 0) AS clear120, {since('f_up')} AS factor_jx, {since('f_down')} AS factor_sx, macd_jx AS boot2_before, flow_tri AS rsrs, vhma_dir AS rsrs_held, lr_dir AS atr_cross, 0.001::DOUBLE AS baseline_slope FROM g0),
+ g2 AS (SELECT *, {lagged} FROM g1), g3 AS (SELECT *, coalesce({rules.plain(rules.SPIKE)}, false) AS spike FROM g2), g4 AS (SELECT *, {last(rules.STRENGTH_BUY[:cut], '0')} AS trigger FROM g3),
+ g5 AS (SELECT *, {", ".join(f"coalesce(lag(trigger, {k}) {OW}, 0) AS trigger__{k}" for k in (1, 2, 3, 4))} FROM g4), g6 AS (SELECT * EXCLUDE (trigger), {last(rules.STRENGTH_BUY[cut:], 'trigger')} AS trigger FROM g5),
+ g7 AS (SELECT *, {last(rules.STRENGTH_SELL, '0')} AS s FROM g6), g8 AS (SELECT symbol, dt, rn, CASE WHEN trigger > 0 THEN trigger WHEN s < 0 AND coalesce({rules.plain(rules.STRENGTH_VETO)}, false) THEN -666 ELSE s END AS trig FROM g7),
+ g9 AS (SELECT *, sign(({since('trig < 0')}) - ({since('trig > 0')})) AS side FROM g8)"""
+    return recursive(_INPUTS + parts, f"SELECT symbol, dt, trig::BIGINT AS trigger_, {run('side > 0')} - ({run('side < 0')}) AS trigger_lag FROM g9")
+
+
+def rps_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules of relative strength."""
+    return rules.strength(strength_features(features(spark, sf_dir))).select("symbol", "dt", F.col("trigger").alias("trigger_"), "trigger_lag")
+
+
+QUERIES |= {"rps_rules": rps_rules, "macd_trend": macd_trend, "smart_leverage": smart_leverage, "feature_screens": feature_screens}
+ORACLES |= {"rps_rules": _strength_sql(), "macd_trend": _macd_trend_sql(), "smart_leverage": _leverage_sql(), "feature_screens": _screens_sql()}
