@@ -55,12 +55,12 @@ def fingerprint(text: bytes) -> int:
 
 
 def _digest() -> Column:
-    """128 bits that tell the texts of one doc_id apart."""
-    return F.md5(utf8_of())
+    """128 bits that tell rows apart by doc_id and text; never null, so that a join and a removal of repeated rows share one exchange."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(":").cast("binary"), utf8_of()))
 
 
 def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp long); one row for each input row. digest: with h, the digest of the text."""
+    """docs(doc_id, text) -> (doc_id, fp long); one row for each input row. digest: with h, the digest of the row."""
     stay = ["doc_id", "h"] if digest else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def unique_documents(docs: DataFrame) -> DataFrame:
     """One document of each group stays, with all its columns: the one of the smallest doc_id, null last, and among the
-    texts of that doc_id the one of the smallest digest. Rows of one doc_id whose texts aren't near-duplicates stay each in
+    rows of that doc_id the one of the smallest digest. Rows of one doc_id whose texts aren't near-duplicates stay each in
     its own group; of rows that repeat a doc_id and text one stays."""
     folder = shared_folder(docs.sparkSession)
     own = stage(fingerprints(docs, digest=True), folder, "fps")
@@ -233,7 +233,5 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     first = stage(own.groupBy("fp").agg(F.min(row).alias("row")), folder, "first")
     # what has no link is its own group
     kept = first.join(rooted, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
-    kept = kept.select(F.col("row.doc_id").alias("__id"), F.col("row.h").alias("__kept"))
-    named = docs.withColumn("__h", _digest())
-    chosen = named.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
+    chosen = docs.withColumn("__h", _digest()).join(kept.select(F.col("row.h").alias("__h")), "__h", "left_semi")
+    return chosen.dropDuplicates(["__h"]).select(*docs.columns)
