@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -250,3 +251,65 @@ def strength(features: DataFrame) -> DataFrame:
     df = df.withColumn("__p", F.signum(F.col("__x") - F.col("__j")))
     df = df.withColumn("trigger_lag", W.signed_run(F.col("__p")))
     return df.drop("__s", "__j", "__x", "__p", *[c for c in df.columns if c not in features.columns and "__" in c])
+
+
+# The rules of the regression band. A symbol's own quantiles over its whole history are columns: q_<column>_<percent>.
+_SIDE = "(lr2_cross = -1 or lr2_sx < lr2_jx)"
+_SOLD_OFF = "boll_sx < 6 or boll_sx < macd_sx"
+_LOSS = "pct < -0.0002"
+_SUNK = "ma90 < ma120 and dif < 0 and clear90 > -0.382 and clear90 < 0.191 and clear_sx > 0"
+_DROP = "dea > 0 and macd > 0 and macd_delta < 0 and pct < -0.0002"
+BAND_QUANTILES = {"clear90": (19.1, 50), "lr2_jx": (38.2, 61.8), "lr2_sx": (38.2, 61.8), "boll_channel": (38.2,), "touched": (19.2, 38.2)}
+BAND_SELL: tuple[str, ...] = (
+    f"{_SIDE} and atr_ratio > 1 / 2.06 and clear90 > q_clear90_500 and lr2_jx < q_lr2_jx_382 and ({_SOLD_OFF}) and {_LOSS}",
+    f"{_SIDE} and atr_ratio > 1 / 3.09 and boll_jx < 6 and {_LOSS}",
+    f"lr2_cross = 1 and lr2_jx >= 8 and atr_ratio > 1 / 2.06 and clear90 > q_clear90_500 and lr2_sx < q_lr2_sx_382 and ({_SOLD_OFF}) and {_LOSS}",
+    f"{_SIDE} and boll_ub < atr_ub@1 and (boll_sx < 6 or (lr2_jx > q_lr2_jx_618 and (clear90 < clear120 or lr2_cross > -1)) or ma30_sx < 6) and {_LOSS}",
+    f"ma90 < ma120 and lr2_jx >= 8 and (macd < 0 or dual_sx > 0 or clear_sx < boll_jx) and {_SUNK} and {_LOSS}",
+    "eject",
+    f"trend2 > 0 and lr2_jx >= 8 and (boll_sx <= 1 or atr_sx <= 1) and {_DROP} and drawdown < q_touched_192",
+    f"trend2 > 0 and lr2_jx >= 8 and boll_sx <= 1 and atr_sx <= 1 and {_DROP} and drawdown_4 < q_touched_192",
+    f"trend2 < 0 and boll_sx >= lr2_sx and boll_sx <= boll_jx and atr_sx <= atr_jx and dea > 0 and macd < 0 and macd_delta < 0 and {_LOSS} and drawdown_4 < q_touched_382",
+    f"trend2 < 0 and boll_sx >= lr2_sx and atr_ratio > 1 / 2.06 and dea > 0 and macd < 0 and macd_delta < 0 and drawdown < -0.0002 and {_LOSS}",
+    f"trend2 < 0 and boll_sx >= lr2_sx and atr_ratio > 1 / 2.06 and dea < 0 and macd_delta < 0 and drawdown < -0.0002 and {_LOSS}",
+)
+_NEAR = (
+    "((atr_jx <= boll_jx and atr_jx - lr2_jx > 6) or (lr2_jx <= boll_jx and factor_jx <= lr2_jx and atr_jx <= boll_jx) or (lr2_jx <= boll_jx and factor_jx <= lr2_jx and atr_jx - lr2_jx > 6)"
+    " or (atr_jx - boll_jx < 4 and boll_jx - lr2_jx < 4) or (atr_jx - boll_jx > 6 and boll_jx - lr2_jx < 6 and lr2_jx - factor_jx <= 2))"
+)
+_CALM = "(drawdown > -0.0001 or pct > -0.0001)"
+BAND_BUY: tuple[str, ...] = (
+    f"lower_settle and clear90 < q_clear90_191 and lr2_sx > q_lr2_sx_618 and boll_jx < boll_sx and {_no(_SUNK)} and (lr2_jx >= macd_jx or macd < 0) and lr_dir > 0",
+    f"atr_ratio > 1 / 3.09 and {_no(_SUNK)} and lower_settle and lr_dir > 0",
+    f"lr2_jx <= 4 and trend2 > 0 and cross_4 > 0 and {_NEAR} and {_CALM} and ma90 > line and ma90 > atr_lb",
+)
+_ALL_DOWN = "ma30_slope < 0 and dea_slope < 0 and slope < 0"
+BAND_RISK = (
+    f"{_CALM} and {_NEAR} and (open < ma30 or (under_6 > 0 and dea < 0 and (dea_slope > 0 or dif > 0)) or dea_jx <= macd_jx or dea_jx <= lr2_jx) and {_no('atr_sx <= lr2_jx')} and {_no('boll_sx <= lr2_jx')}"
+    f" and {_no('boll_channel < least(0.0309, q_boll_channel_382) and (least(boll_jx - lr2_jx, atr_jx - lr2_jx) > 2 or lr2_jx > 2)')}"
+    f" and {_no(f'{_ALL_DOWN} and bias3 < -9.27 and clear90 + clear120 > 0')} and {_no(f'{_ALL_DOWN} and dea < 0 and bias3 < -6.18 and clear90 + clear120 > 0')}"
+)
+#: A rising line that is put back to 0 in the second pass.
+BAND_EJECT = (
+    "((lr_dir > 0 and dea < 0 and dir_4 < 1 and atr_ratio > 0.618) or (lr_dir = 1 and lr_dir@1 = 0 and dea < 0 and dir_4 < 0 and atr_ratio > 0.618))"
+    f" and {_no('atr_jx = boll_jx and boll_delta > -0.0008')}"
+)
+#: Rows whose drawdown makes the quantiles of `touched`.
+BAND_TOUCHED = "trend2 > 0 and boll_sx <= 1 and dea > 0 and macd > 0"
+
+
+def regression_band(features: DataFrame) -> DataFrame:
+    """Adds band in -1, 0, 1 and the ages of both, in two passes over the line's direction. Its quantiles are over a symbol's
+    whole history: not for streams."""
+    every = [*BAND_SELL, *BAND_BUY, BAND_RISK, BAND_EJECT]
+    df = features.withColumns({f"{c}__{k}": W.lag(c, k) for c, k in lags_of(every)} | {"dir_4": W.sma("lr_dir", 4) * 4})
+    df = df.withColumn("eject", _holds(plain(BAND_EJECT)))
+    df = df.withColumn("trend2", F.when((F.col("lr_dir") > 0) & ~F.col("eject"), 1).when(F.col("lr_dir") < 0, -1).otherwise(0))
+    turn = F.col("trend2") - W.lag("trend2")
+    df = df.withColumns({"lr2_cross": F.coalesce(F.signum(turn), F.lit(0.0)), "lr2_jx": W.bars_since(turn > 0), "lr2_sx": W.bars_since(turn < 0), "touched": F.when(_holds(BAND_TOUCHED), F.col("drawdown"))})
+    df = df.withColumn("cross_4", F.sum("lr2_cross").over(W.frame(4)))
+    df = df.withColumns({f"q_{c}_{round(10 * p):03d}": F.percentile(F.col(c), F.lit(p / 100)).over(W.whole()) for c, ps in BAND_QUANTILES.items() for p in ps})
+    sell = reduce(Column.__or__, [_holds(plain(p)) for p in BAND_SELL])
+    buy = reduce(Column.__or__, [_holds(plain(p)) for p in BAND_BUY]) & _holds(plain(BAND_RISK))
+    df = df.withColumn("band", F.when(buy, 1).when(sell, -1).otherwise(0).cast("bigint"))
+    return df.withColumns({"band_jx": W.bars_since(F.col("band") == 1), "band_sx": W.bars_since(F.col("band") == -1)})

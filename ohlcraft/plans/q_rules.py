@@ -13,7 +13,7 @@ from ..functions import window as W
 from ..operators import indicators as I
 from ..operators import rules
 from ..sources.bars import day_bars
-from .oracle import UPTO, full, over, run, since, sma
+from .oracle import UPTO, P, full, over, run, since, sma
 from .oracle import W as OW
 from .q_indicators import MACD, pick, recursive
 from .q_more import FACTORS, lag
@@ -183,5 +183,35 @@ def rps_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.strength(strength_features(features(spark, sf_dir))).select("symbol", "dt", F.col("trigger").alias("trigger_"), "trigger_lag")
 
 
-QUERIES |= {"rps_rules": rps_rules, "macd_trend": macd_trend, "smart_leverage": smart_leverage, "feature_screens": feature_screens}
-ORACLES |= {"rps_rules": _strength_sql(), "macd_trend": _macd_trend_sql(), "smart_leverage": _leverage_sql(), "feature_screens": _screens_sql()}
+def band_features(df: DataFrame) -> DataFrame:
+    """What the rules of the regression band read beside the strength rules' inputs; touches of the band are by the close."""
+    df = strength_features(df)
+    atr = F.col("line") - F.col("atr_lb")
+    df = df.withColumns({"atr_ub": F.col("line") + atr, "atr_ratio": (2 * atr / F.col("line")) / F.nullif(F.col("boll_channel"), F.lit(0.0)), "drawdown": F.coalesce(F.ln(F.col("close") / W.lag("high")), F.lit(0.0)), "dual_sx": W.run_length(F.col("dual") < 0),
+        "clear_sx": W.run_length(W.delta("clear90") < 0), "ma30_sx": W.bars_since(W.crossed("ma30", "ma5")), "under_6": F.sum((F.col("open") < F.col("ma30")).cast("int")).over(W.frame(6))})
+    return df.withColumns({"drawdown_4": F.sum("drawdown").over(W.frame(4)), "atr_jx": W.bars_since(W.crossed("close", "atr_lb")), "atr_sx": W.bars_since(W.crossed("atr_ub", "close"))})
+
+
+def _band_sql() -> str:
+    before = _strength_sql().split("\n g2 AS (SELECT *,", 1)[0].rstrip(",")
+    every = [*rules.BAND_SELL, *rules.BAND_BUY, rules.BAND_RISK, rules.BAND_EJECT]
+    lagged = ", ".join(f"lag({c}, {k}) {OW} AS {c}__{k}" for c, k in rules.lags_of(every))
+    quantiles = ", ".join(f"quantile_cont({c}, {p / 100}) {P} AS q_{c}_{round(10 * p):03d}" for c, ps in rules.BAND_QUANTILES.items() for p in ps)
+    any_of = lambda ps: " OR ".join(f"coalesce({rules.plain(p)}, false)" for p in ps)
+    return before + f""", h0 AS (SELECT *, 2 * line - atr_lb AS atr_ub, (2 * (line - atr_lb) / line) / nullif(boll_channel, 0) AS atr_ratio, coalesce(ln(close / lag(high) {OW}), 0) AS drawdown, {run('dual < 0')} AS dual_sx, clear90 - lag(clear90) {OW} AS clear_d,
+   lag(ma5) {OW} AS ma5_1, sum((open < ma30)::INT) {over(6)} AS under_6, lag(atr_lb) {OW} AS atr_lb_1 FROM g1),
+ h1 AS (SELECT *, {run('clear_d < 0')} AS clear_sx, {since('ma30 > ma5 AND ma30_1 <= ma5_1')} AS ma30_sx, sum(drawdown) {over(4)} AS drawdown_4, {since('close > atr_lb AND c1 <= atr_lb_1')} AS atr_jx, lag(atr_ub) {OW} AS atr_ub_1 FROM h0),
+ h2 AS (SELECT *, {since('atr_ub > close AND atr_ub_1 <= c1')} AS atr_sx, {full(f'avg(lr_dir) {over(4)}', 4)} * 4 AS dir_4, {lagged} FROM h1),
+ h3 AS (SELECT *, coalesce({rules.plain(rules.BAND_EJECT)}, false) AS eject FROM h2), h4 AS (SELECT *, CASE WHEN lr_dir > 0 AND NOT eject THEN 1 WHEN lr_dir < 0 THEN -1 ELSE 0 END AS trend2 FROM h3),
+ h5 AS (SELECT *, trend2 - lag(trend2) {OW} AS turn2 FROM h4), h6 AS (SELECT *, coalesce(sign(turn2), 0) AS lr2_cross, {since('turn2 > 0')} AS lr2_jx, {since('turn2 < 0')} AS lr2_sx, CASE WHEN {rules.BAND_TOUCHED} THEN drawdown END AS touched FROM h5),
+ h7 AS (SELECT *, sum(lr2_cross) {over(4)} AS cross_4, {quantiles} FROM h6),
+ h8 AS (SELECT symbol, dt, rn, CASE WHEN ({any_of(rules.BAND_BUY)}) AND coalesce({rules.plain(rules.BAND_RISK)}, false) THEN 1 WHEN {any_of(rules.BAND_SELL)} THEN -1 ELSE 0 END AS band FROM h7)
+ SELECT symbol, dt, band::BIGINT AS band, {since('band = 1')} AS band_jx, {since('band = -1')} AS band_sx FROM h8"""
+
+
+def regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.regression_band(band_features(features(spark, sf_dir))).select("symbol", "dt", "band", "band_jx", "band_sx")
+
+
+QUERIES |= {"regression_band": regression_band, "rps_rules": rps_rules, "macd_trend": macd_trend, "smart_leverage": smart_leverage, "feature_screens": feature_screens}
+ORACLES |= {"regression_band": _band_sql(), "rps_rules": _strength_sql(), "macd_trend": _macd_trend_sql(), "smart_leverage": _leverage_sql(), "feature_screens": _screens_sql()}
