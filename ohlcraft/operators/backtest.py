@@ -104,16 +104,34 @@ def ledger(df: DataFrame, trigger: str, forecast: str, position: str, principle:
     return df.select(*columns).groupBy("symbol").applyInPandas(run, LEDGER)
 
 
-def order_sizes(lot_cash: np.ndarray, target: np.ndarray, lot: int = 100, step: float = 0.25) -> np.ndarray:
-    """Shares held when the target share of cash is approached by steps in whole lots; cuts go at once to the step below."""
-    out, held = np.zeros(len(target)), 0.0
-    for i, (cash, goal) in enumerate(zip(lot_cash, target)):
-        if np.isnan(goal) or goal <= 0:
-            held = 0.0
-        else:
-            held = min(goal, held + step) if goal > held else goal
-        out[i] = np.floor(held * cash / lot) * lot
-    return out
+#: Sum of the clearances above which a position is built step by step and given up at once; fall of the target that ends it.
+HIGH, GIVE_UP, STILL = 1.24, -0.168, 0.005
+
+
+def order_positions(delta: np.ndarray, norm: np.ndarray, before: np.ndarray, signal: np.ndarray, clearance: np.ndarray) -> dict[str, np.ndarray]:
+    """(order, missed, held) of each bar from the votes' delta, the wanted position and the one before it, the entry signal and
+    the sum of the clearances to MA90 and MA120. A buy opens at once, at height by steps; a sell cuts by steps, at height or
+    after a deep fall all at once; without a signal the position follows the target, and a cut beyond what is held is passive.
+    A rise that meets no position is missed, from there on. A target that neither moves nor stands still leaves no value."""
+    n = len(delta)
+    order, missed, held = np.zeros(n), np.zeros(n, np.int64), np.full(n, np.nan)
+    have, lost = 0.0, 0
+    for i in range(n):
+        move, high = before[i] - norm[i], clearance[i] > HIGH
+        want, after = 0.0, have if abs(move) < STILL else np.nan
+        if move > 0:
+            if signal[i] > 0:
+                want = abs(max(move, delta[i])) if high else abs(norm[i])
+                after = want
+            elif have > 0:
+                want, after = move, have + move
+            else:
+                lost, after = 1, have
+        elif move < 0:
+            at_once = high or move < GIVE_UP if signal[i] < 0 else not have + move > 0
+            want, after = (-max(before[i], have), 0.0) if at_once else (move, have + move)
+        order[i], missed[i], held[i], have = want, lost, after, after
+    return {"order": order, "missed": missed, "held": held}
 
 
 def performance(df: DataFrame, ret: str, n: int = 252, risk_free: float = 0.02) -> DataFrame:

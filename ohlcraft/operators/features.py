@@ -83,18 +83,6 @@ def regression_cross(bars: DataFrame) -> DataFrame:
     return df.withColumn("boost_run", W.signed_run(boost)).drop("__lo2", "__hi2")
 
 
-def band_signal(df: DataFrame, rules: Sequence[tuple[int, str]], veto: str | None = None) -> DataFrame:
-    """Overwrite cascade in passes: a rule may name `prev`, the value of the bar before as the rules before it left it.
-    Adds signal. Rules are (value, SQL predicate); veto turns a positive signal into 0."""
-    df = df.withColumn("signal", F.lit(0))
-    for value, predicate in rules:
-        df = df.withColumn("prev", F.coalesce(W.lag("signal"), F.lit(0)))
-        df = df.withColumn("signal", F.when(F.coalesce(F.expr(predicate), F.lit(False)), value).otherwise(F.col("signal"))).drop("prev")
-    if veto:
-        df = df.withColumn("signal", F.when((F.col("signal") > 0) & F.coalesce(F.expr(veto), F.lit(False)), 0).otherwise(F.col("signal")))
-    return df
-
-
 def crossings_down(df: DataFrame, a: str, b: str) -> DataFrame:
     """Per symbol how often a falls below b."""
     df = df.withColumn("__f", F.coalesce(F.col(a) < F.col(b), F.lit(False)))

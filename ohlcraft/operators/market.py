@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import window as W
-from .relational import last_match_wins
 
 UPRISING = (0.1236, 0.0927)
 
@@ -155,21 +154,3 @@ def corrected(m: DataFrame) -> DataFrame:
     for code, holds in steps:
         m = m.withColumn("massive_flu", F.when(holds(), code).otherwise(c("massive_flu")))
     return m
-
-
-def leverage_votes(signals: Sequence[tuple[str, float]], gate_up: Column, gate_down: Column, unit: float = 0.0309) -> Column:
-    """Sum of the votes of signals: weight * unit where a signal is positive and the rising gate holds, minus the same
-    where it is negative and the falling gate holds. Null signals and gates give none."""
-    up, down = F.coalesce(gate_up, F.lit(False)), F.coalesce(gate_down, F.lit(False))
-    votes = [F.when(up & (F.col(c) > 0), k * unit).when(down & (F.col(c) < 0), -k * unit).otherwise(0.0) for c, k in signals]
-    return sum(votes, F.lit(0.0))
-
-
-def strength_rules(features: DataFrame, buy: Sequence[tuple[int, str]], sell: Sequence[tuple[int, str]], veto: str | None = None) -> DataFrame:
-    """Adds trigger: the last buy rule that holds, else the last sell rule, else 0; a vetoed sell is -666."""
-    def hit(rules: Sequence[tuple[int, str]]) -> Column:
-        return last_match_wins([(k, F.coalesce(F.expr(p), F.lit(False))) for k, p in rules])
-
-    df = features.withColumns({"__b": hit(buy), "__s": hit(sell)})
-    sold = F.when(F.coalesce(F.expr(veto), F.lit(False)) & (F.col("__s") < 0), -666).otherwise(F.col("__s")) if veto else F.col("__s")
-    return df.withColumn("trigger", F.when(F.col("__b") > 0, F.col("__b")).otherwise(sold)).drop("__b", "__s")

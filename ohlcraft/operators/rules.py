@@ -313,3 +313,45 @@ def regression_band(features: DataFrame) -> DataFrame:
     buy = reduce(Column.__or__, [_holds(plain(p)) for p in BAND_BUY]) & _holds(plain(BAND_RISK))
     df = df.withColumn("band", F.when(buy, 1).when(sell, -1).otherwise(0).cast("bigint"))
     return df.withColumns({"band_jx": W.bars_since(F.col("band") == 1), "band_sx": W.bars_since(F.col("band") == -1)})
+
+
+# Named predicates of the feature store.
+STORE: dict[str, str] = {
+    "trigger": "trigger_r5 > 0",
+    "position": "position_r5 > 0",
+    "main_wave": "(combo_lag > 0 or ground_zero_minor_lag > 0) and (combo_returns > -0.0927 or combo_minor_returns > -0.0927) and (trigger_r5 > 0 or trigger_rps > 0)",
+    "bootstrap": "(cluster < 0 or cluster_minor < 0) and (rail_lag > 0 or ground_zero_lag > 0) and ground_zero",
+}
+
+# What the selector lets go, what it keeps, and its groups in their order.
+FADE = "(combo_lag < 0 and ground_zero_lag < 0 and onhold < 0) or (sharpe < 1.5 and sortino < 1.5)"
+BEST = (
+    "leverage > 0.99 or (trigger_rps > 80 and trigger_rps < 85) or (boll_renko_lag > 0 and boll_renko_lag <= 4) or (boll_renko_lag > 0 and trigger_rps > 0) or (trigger_rps > 0 and density > 0.5)"
+    " or (trigger_rps > 0 and neg_lower and density > 0.382) or (trigger_rps > 0 and combo > 0)"
+)
+_OPENS = "((ground_zero_minor_lag > 0 and combo_lag > 0) or dea < 0)"
+_BREAKS = "((boll_renko_lag > 0 and boll_renko_lag <= 4) or (boll_renko_lag > 0 and trigger_rps > 0))"
+GROUPS: tuple[str, ...] = (
+    f"{_OPENS} and neg_lower and combo_lag > 0",
+    f"{_OPENS} and bootstrap_1",
+    f"{_OPENS} and bootstrap_2 and ((density > 0.512 and bias3 > 0 and (bias3@1 < 0 or bias3@2 < 0 or z21@1 < z21 or z84@1 < z84)) or {_BREAKS})",
+    f"{_OPENS} and trigger_rps > 0 and {_BREAKS}",
+    f"{_OPENS} and (combo_lag > 0 or ground_zero_lag > 0)",
+)
+
+
+def stored(features: DataFrame) -> DataFrame:
+    """Rows that a named predicate of the store holds for, with a flag for each."""
+    flags = {k: _holds(p) for k, p in STORE.items()}
+    df = features.withColumns({f"is_{k}": x for k, x in flags.items()})
+    return df.where(reduce(Column.__or__, [F.col(f"is_{k}") for k in flags]))
+
+
+def selected(features: DataFrame, market: DataFrame) -> DataFrame:
+    """Rows that the selector keeps: their group (0 to 4 as in GROUPS, 5 the rest) and retreat, whether the market's flow
+    is below 0 on their date. market(dt, flow): one row for each date."""
+    df = features.withColumns({f"{c}__{k}": W.lag(c, k) for c, k in lags_of(GROUPS)})
+    df = df.where(~_holds(FADE) & _holds(BEST))
+    group = F.coalesce(*[F.when(_holds(plain(p)), F.lit(i)) for i, p in enumerate(GROUPS)], F.lit(len(GROUPS)))
+    df = df.withColumn("grade", group.cast("bigint"))
+    return df.join(market, "dt", "left").withColumn("retreat", F.coalesce(F.col("flow") < 0, F.lit(False)))

@@ -212,15 +212,6 @@ def gather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at_rows(b, places, ["dt", "close"]).select("symbol", "rn", "dt", r(F.col("close")).alias("close"))
 
 
-@query(with_bars(f", a AS (SELECT *, {sma('close', 5)} AS ma5, {sma('close', 20)} AS ma20, close > open AS up FROM b), s1 AS (SELECT *, CASE WHEN coalesce(close > ma20, false) THEN 1 ELSE 0 END AS s FROM a), s2 AS (SELECT * EXCLUDE s, CASE WHEN coalesce(close < ma20 AND coalesce(lag(s) {OW}, 0) <= 0, false) THEN -1 ELSE s END AS s FROM s1), s3 AS (SELECT * EXCLUDE s, CASE WHEN coalesce(ma5 > ma20 AND up AND coalesce(lag(s) {OW}, 0) >= 0, false) THEN 2 ELSE s END AS s FROM s2) SELECT symbol, dt, (CASE WHEN s > 0 AND coalesce(volume > 90, false) THEN 0 ELSE s END)::BIGINT AS signal FROM s3"))
-def band_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.features import band_signal as cascade
-
-    df = numbered(spark, sf_dir).withColumns({"ma5": W.sma("close", 5), "ma20": W.sma("close", 20)})
-    rules = [(1, "close > ma20"), (-1, "close < ma20 and prev <= 0"), (2, "ma5 > ma20 and close > open and prev >= 0")]
-    return cascade(df, rules, "volume > 90").select("symbol", "dt", F.col("signal").cast("bigint").alias("signal"))
-
-
 @query(with_bars(f", f AS (SELECT symbol, dt, (close > open)::INT AS buy, (close < open * 0.9::DOUBLE)::INT AS sell, rn FROM b), s AS (SELECT *, rn - coalesce(last_value(CASE WHEN buy = 1 THEN rn END IGNORE NULLS) {UPTO}, 0) AS bs, rn - coalesce(last_value(CASE WHEN sell = 1 THEN rn END IGNORE NULLS) {UPTO}, 0) AS ss FROM f) SELECT symbol, dt, (bs < ss)::BIGINT AS held FROM s"))
 def onhold_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = numbered(spark, sf_dir).withColumns({"buy": F.col("close") > F.col("open"), "sell": F.col("close") < F.col("open") * 0.9})

@@ -268,3 +268,34 @@ def _ledger_sql(principle: bool) -> str:
 
 
 ORACLES["trade_ledger"], ORACLES["trade_ledger_plain"] = _ledger_sql(True), _ledger_sql(False)
+
+
+@query(recursive(_rsi_of(60) + f", ra AS (SELECT *, avg(r60) {over(5)} - coalesce(CASE WHEN count(r60) {over(60)} = 60 THEN avg(r60) {over(60)} END, 50) AS apart FROM rs)", f"SELECT symbol, dt, greatest(0::DOUBLE, 100 - round(tan(radians(apart)) * 50 + 1e-7::DOUBLE, 0)) AS ratio FROM ra"))
+def rsi_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import allocation
+
+    df = W.numbered(I.rsi_frame(day_bars(spark, sf_dir), (60,))).withColumn("rsi", F.col("rsi_60"))
+    return allocation.rsi_ratio(df).select("symbol", "dt", "ratio")
+
+
+_GATE = "WITH l AS (SELECT event_type AS symbol, max(ts) AS last FROM events GROUP BY 1), n AS (SELECT unnest([TIMESTAMP '2024-01-31 09:00:00', TIMESTAMP '2024-01-31 09:30:00', TIMESTAMP '2024-02-02 08:00:00']) AS now)"
+_AGE = "(floor(epoch(now)) - floor(epoch(last))) / 3600"
+
+
+@query(f"{_GATE} SELECT symbol, now AS now_, CASE WHEN strftime(now, '%H:%M') > '09:15' THEN {_AGE} > 10 ELSE {_AGE} > 40 END AS day_gate, CASE WHEN strftime(now, '%H:%M') > '09:15' THEN {_AGE} > 10 ELSE {_AGE} > 24 END AS minute_gate FROM l, n")
+def realtime_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether day and minute bars ask for realtime rows, at three times of day."""
+    last = B.ticks(spark, sf_dir).groupBy("symbol").agg(F.max("dt").alias("last"))
+    now = F.explode(F.array(*[F.lit(x).cast("timestamp_ntz") for x in ("2024-01-31 09:00:00", "2024-01-31 09:30:00", "2024-02-02 08:00:00")]))
+    df = last.withColumn("now_", now)
+    return df.select("symbol", "now_", B.needs_realtime(F.col("last"), F.col("now_")).alias("day_gate"), B.needs_realtime(F.col("last"), F.col("now_"), True).alias("minute_gate"))
+
+
+@query("""WITH d AS (SELECT l_suppkey AS symbol, max(l_shipdate) AS last FROM lineitem GROUP BY 1), n AS (SELECT unnest(range(DATE '2001-09-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS now) SELECT symbol, now AS now_, date_diff('day', last, now) >= 30 AND isodow(now) = 1 AS may FROM d, n""")
+def rebalance_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On which days a fund may trade again."""
+    from ..operators import allocation
+
+    last = day_bars(spark, sf_dir).groupBy("symbol").agg(F.max("dt").alias("last"))
+    days = F.explode(F.sequence(F.lit("2001-09-01").cast("timestamp_ntz"), F.lit("2001-12-30").cast("timestamp_ntz"), F.expr("interval 1 day")))
+    return last.withColumn("now_", days).select("symbol", "now_", allocation.may_rebalance(F.col("last"), F.col("now_")).alias("may"))

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import window as W
 from ..operators import indicators as I
-from ..operators import rules
+from ..operators import backtest, rules
 from ..sources.bars import day_bars
 from .oracle import UPTO, P, full, over, run, since, sma
 from .oracle import W as OW
 from .q_indicators import MACD, pick, recursive
 from .q_more import FACTORS, lag
-from .q_window import R
+from .q_window import R, r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,5 +213,73 @@ def regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.regression_band(band_features(features(spark, sf_dir))).select("symbol", "dt", "band", "band_jx", "band_sx")
 
 
-QUERIES |= {"regression_band": regression_band, "rps_rules": rps_rules, "macd_trend": macd_trend, "smart_leverage": smart_leverage, "feature_screens": feature_screens}
-ORACLES |= {"regression_band": _band_sql(), "rps_rules": _strength_sql(), "macd_trend": _macd_trend_sql(), "smart_leverage": _leverage_sql(), "feature_screens": _screens_sql()}
+_CHOOSE = f""", k0 AS (SELECT *, {_signed("sign(dea)")} AS ground_zero_lag, dea > 0 AS ground_zero, {_signed("combo")} AS combo_lag, {_signed("renko_s")} AS ground_zero_minor_lag, {_signed("renko")} AS boll_renko_lag, factor AS trigger_r5, dual AS position_r5, flow_tri AS trigger_rps, pct AS combo_returns,
+ lag(pct) {OW} AS combo_minor_returns, renko_l AS cluster_minor, {_signed("sign(ma5 - ma30)")} AS rail_lag, factor AS onhold, density AS leverage, macd < 0 AND dea < 0 AND macd < dea AS neg_lower, 100 * (close - ma30) / ma30 AS bias3, {full(f"len(list_filter(list(close) {over(84)}, lambda v: v <= close)) / 84", 84)} AS z84,
+ {full(f"(avg(pct) {over(60)} - 0.02::DOUBLE / 252) / nullif(stddev_samp(pct) {over(60)}, 0) * sqrt(252)", 60)} AS sharpe, {full(f"avg(pct) {over(60)} / nullif(sqrt(avg(CASE WHEN pct < 0 THEN pct * pct ELSE 0 END) {over(60)}), 0) * sqrt(252)", 60)} AS sortino FROM i4)"""
+
+
+def choice_features(df: DataFrame) -> DataFrame:
+    """What the store's predicates and the selector read beside the other inputs: Sharpe and Sortino ratios of 60 bars, BIAS of
+    30; triggers, rails and groups are given by plain expressions."""
+    ret = F.col("pct")
+    sharpe = (F.avg(ret).over(W.frame(60)) - 0.02 / 252) / F.nullif(F.stddev_samp(ret).over(W.frame(60)), F.lit(0.0)) * (252**0.5)
+    sortino = F.avg(ret).over(W.frame(60)) / F.nullif(F.sqrt(F.avg(F.when(ret < 0, ret * ret).otherwise(0.0)).over(W.frame(60))), F.lit(0.0)) * (252**0.5)
+    return df.withColumns({
+        "ground_zero_minor_lag": W.signed_run(F.col("renko_s")), "boll_renko_lag": W.signed_run(F.col("renko")), "trigger_r5": F.col("factor"), "position_r5": F.col("dual"), "trigger_rps": F.col("flow_tri"), "combo_returns": ret, "combo_minor_returns": W.lag("pct"),
+        "cluster_minor": F.col("renko_l"), "rail_lag": F.col("halfstack_lag"), "onhold": F.col("factor"), "leverage": F.col("density"), "neg_lower": (F.col("macd") < 0) & (F.col("dea") < 0) & (F.col("macd") < F.col("dea")),
+        "bias3": 100 * (F.col("close") - F.col("ma30")) / F.col("ma30"), "z84": W.pct_rank("close", 84), "sharpe": W.full(sharpe, 60), "sortino": W.full(sortino, 60),
+    })
+
+
+def store_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.stored(choice_features(features(spark, sf_dir))).select("symbol", "dt", *[F.col(f"is_{k}") for k in rules.STORE])
+
+
+def _store_sql() -> str:
+    flags = ", ".join(f"coalesce({p}, false) AS is_{k}" for k, p in rules.STORE.items())
+    return recursive(_INPUTS + _CHOOSE, f"SELECT * FROM (SELECT symbol, dt, {flags} FROM k0) WHERE {' OR '.join(f'is_{k}' for k in rules.STORE)}")
+
+
+def selector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = choice_features(features(spark, sf_dir))
+    market = df.groupBy("dt").agg(F.sum(F.signum(F.coalesce("pct", F.lit(0.0)))).alias("flow"))
+    return rules.selected(df, market).select("symbol", "dt", "grade", "retreat")
+
+
+def _selector_sql() -> str:
+    lagged = ", ".join(f"lag({c}, {k}) {OW} AS {c}__{k}" for c, k in rules.lags_of(rules.GROUPS))
+    group = " ".join(f"WHEN coalesce({rules.plain(p)}, false) THEN {i}" for i, p in enumerate(rules.GROUPS))
+    parts = f", k1 AS (SELECT *, {lagged} FROM k0), km AS (SELECT dt, sum(sign(coalesce(pct, 0))) AS flow FROM k0 GROUP BY dt)"
+    return recursive(_INPUTS + _CHOOSE + parts, f"SELECT symbol, dt, (CASE {group} ELSE {len(rules.GROUPS)} END)::BIGINT AS grade, coalesce(flow < 0, false) AS retreat FROM k1 JOIN km USING (dt) WHERE NOT coalesce({rules.FADE}, false) AND coalesce({rules.BEST}, false)")
+
+
+def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = strength_features(features(spark, sf_dir))
+    df = rules.smart_leverage(df.select("symbol", "dt", "rn", "close", *_VOTED))
+    df = df.withColumn("__c", F.coalesce(F.col("clear90") + F.col("clear120"), F.lit(0.0))).withColumn("__s", F.col("factor").cast("double"))
+    done = I.with_kernel(df, ["leverage_delta", "leverage", "leverage_before", "__s", "__c"], "order double, missed bigint, held double", backtest.order_positions, [])
+    return done.select("symbol", "dt", *[r(F.col(c)).alias(f"{c}_") for c in ("order", "held")], "missed")
+
+
+_VOTED = (
+    *rules.LEVERAGE_SIGNALS, "pct", "rsi_delta", "bootstrap_1", "bootstrap_2", "deadpool", "tri_jx", "tri_sx", "boost", "bonus", "flu_up", "flu_down", "master_up", "master_down", "ma90", "ma120", "ma30", "dea", "density",
+    "macd_delta", "boll_sx", "boll_jx", "dea_slope", "macd", "density_sma", "boot_before", "macd_sx", "clear90", "clear120",
+)
+
+
+def _orders_sql() -> str:
+    head = _leverage_sql().rsplit("SELECT symbol, dt, (round(v", 1)[0].rstrip()
+    move = "(p.q - p.p)"
+    at_once = f"CASE WHEN p.s < 0 THEN p.c > {backtest.HIGH}::DOUBLE OR {move} < {backtest.GIVE_UP}::DOUBLE ELSE NOT coalesce(o.held + {move} > 0, false) END"
+    return head + f""", os AS (SELECT lp.symbol, lp.dt, lp.rn, lp.v, lp.p, lp.q, i4.factor AS s, coalesce(clear90 + (boll_ub - ma120) / nullif(boll_ub - boll_lb, 0), 0) AS c FROM lp JOIN i4 ON i4.symbol = lp.symbol AND i4.rn = lp.rn),
+ oo AS (SELECT symbol, NULL::TIMESTAMP AS dt, 0::BIGINT AS rn, 0::DOUBLE AS ord, 0 AS missed, 0::DOUBLE AS held FROM os WHERE rn = 1 UNION ALL
+ SELECT p.symbol, p.dt, p.rn, CASE WHEN {move} > 0 THEN CASE WHEN p.s > 0 THEN CASE WHEN p.c > {backtest.HIGH}::DOUBLE THEN abs(greatest({move}, p.v)) ELSE abs(p.p) END WHEN o.held > 0 THEN {move} ELSE 0 END
+   WHEN {move} < 0 THEN CASE WHEN {at_once} THEN -CASE WHEN o.held > p.q THEN o.held ELSE p.q END ELSE {move} END ELSE 0 END,
+   CASE WHEN {move} > 0 AND coalesce(p.s, 0) <= 0 AND NOT coalesce(o.held > 0, false) THEN 1 ELSE o.missed END,
+   CASE WHEN {move} > 0 THEN CASE WHEN p.s > 0 THEN CASE WHEN p.c > {backtest.HIGH}::DOUBLE THEN abs(greatest({move}, p.v)) ELSE abs(p.p) END WHEN o.held > 0 THEN o.held + {move} ELSE o.held END
+   WHEN {move} < 0 THEN CASE WHEN {at_once} THEN 0 ELSE o.held + {move} END ELSE o.held END FROM oo o JOIN os p ON p.symbol = o.symbol AND p.rn = o.rn + 1)
+ SELECT symbol, dt, {R('ord')} AS order_, {R('held')} AS held_, missed::BIGINT AS missed FROM oo WHERE rn > 0"""
+
+
+QUERIES |= {"store_predicates": store_predicates, "selector_groups": selector_groups, "order_positions": order_positions, "regression_band": regression_band, "rps_rules": rps_rules, "macd_trend": macd_trend, "smart_leverage": smart_leverage, "feature_screens": feature_screens}
+ORACLES |= {"store_predicates": _store_sql(), "selector_groups": _selector_sql(), "order_positions": _orders_sql(), "regression_band": _band_sql(), "rps_rules": _strength_sql(), "macd_trend": _macd_trend_sql(), "smart_leverage": _leverage_sql(), "feature_screens": _screens_sql()}

@@ -133,3 +133,11 @@ def rows_from_csv(texts: DataFrame, column: str, schema: str) -> DataFrame:
 def table_cells(pages: DataFrame, column: str, pattern: str) -> DataFrame:
     """Rows of regular expression matches in page sources: the keys of pages and m."""
     return pages.withColumn("m", F.explode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1)))).drop(column)
+
+
+def needs_realtime(last: Column, now: Column, minute: bool = False) -> Column:
+    """Whether realtime bars are asked for after the last bar held: older than 10 hours once the day has opened (09:15),
+    before that older than 40 hours (24 for minute bars)."""
+    age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(last.cast("timestamp"))) / 3600
+    opened = F.date_format(now, "HH:mm") > "09:15"
+    return F.when(opened, age > 10).otherwise(age > (24 if minute else 40))

@@ -140,9 +140,3 @@ def test_circle(spark):
     pts = [("c", 3 + 2 * math.cos(a), -1 + 2 * math.sin(a)) for a in (0, 1, 2, 3, 4, 5)]
     x = ml.circle(spark.createDataFrame(pts, "k string, x double, y double"), "k", "x", "y").first()
     assert (x.cx, x.cy, x.radius) == pytest.approx((3, -1, 2))
-
-
-def test_leverage_votes(spark):
-    df = spark.createDataFrame([(1, -1, True, False), (1, -1, False, True), (1, None, None, None)], "a int, b int, up boolean, down boolean")
-    v = market.leverage_votes([("a", 1.0), ("b", 2.0)], F.col("up"), F.col("down"))
-    assert [round(x.v, 4) for x in df.select(v.alias("v")).collect()] == [0.0309, -0.0618, 0.0]
