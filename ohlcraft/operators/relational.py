@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +87,61 @@ def column_zscore(df: DataFrame, c: str, out: str, by: Sequence[str] = ("symbol"
     return df.withColumn(out, (F.col(c) - F.avg(c).over(q)) / F.nullif(F.stddev_pop(c).over(q), F.lit(0.0)))
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    """returns(dt, symbol, ret) -> a, b, cov, n of all symbol pairs with a <= b, by a join on dt: the result is as large
-    as the number of pairs, so it is meant for a universe chosen before."""
-    a = returns.select("dt", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    b = returns.select("dt", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return a.join(b, "dt").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+def covariance(returns: DataFrame, most: int = 2000) -> DataFrame:
+    """returns(dt, symbol, ret) -> a, b, cov, n of all symbol pairs with a <= b that have a date in common; cov is null for one
+    date. A universe of `most` symbols at most is asked for: their numbers and means are known to the tasks, which add up
+    block products over the dates they hold. One exchange by date, one of a row of sums for each symbol and task."""
+    stats = returns.where("ret is not null").groupBy("symbol").agg(F.avg("ret").alias("m")).orderBy("symbol").limit(most + 1).collect()
+    if len(stats) > most:
+        raise ValueError(f"more than {most} symbols: choose a universe first")
+    kind = returns.schema["symbol"].dataType.simpleString()
+    names, mean = [r["symbol"] for r in stats], np.array([r["m"] for r in stats], float)
+    place = {x: i for i, x in enumerate(names)}
+    size = len(names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, size, size))  # of products, of either side where both are there, and of dates
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+            t, i, x = (np.concatenate(c) for c in zip(*rows))
+            days, day = np.unique(t, return_inverse=True)
+            for at in range(0, len(days), 256):
+                some = (day >= at) & (day < at + 256)
+                value, there = np.zeros((256, size)), np.zeros((256, size))
+                value[day[some] - at, i[some]], there[day[some] - at, i[some]] = x[some] - mean[i[some]], 1.0
+                sums[0] += value.T @ value
+                sums[1] += value.T @ there
+                sums[2] += there.T @ value
+                sums[3] += there.T @ there
+
+        for b in batches:
+            t = b.column("t").to_numpy(zero_copy_only=False)
+            i = np.array([place[x] for x in b.column("symbol").to_pylist()], np.int64)
+            held.append((t, i, b.column("ret").to_numpy(zero_copy_only=False)))
+            if len(t) and held[0][0][0] != t[-1]:  # whole dates; the last may go on in the next batch
+                last = [tuple(c[h[0] == t[-1]] for c in h) for h in held]
+                add([tuple(c[h[0] != t[-1]] for c in h) for h in held])
+                held = last
+        if held:
+            add(held)
+        for i in range(size):
+            if sums[3, i, i]:
+                yield pa.RecordBatch.from_pydict({"i": [i], **{f"s{k}": [sums[k, i]] for k in range(4)}}, schema=pa.schema([("i", pa.int32()), *[(f"s{k}", pa.list_(pa.float64())) for k in range(4)]]))
+
+    def total(table: pa.Table) -> pa.Table:
+        i = table["i"][0].as_py()
+        ab, a, b, n = (np.sum([np.asarray(x) for x in table[f"s{k}"].to_pylist()], axis=0)[i:] for k in range(4))
+        there = n > 0
+        ab, a, b, n = ab[there], a[there], b[there], n[there]
+        cov = np.where(n > 1, (ab - a * b / n) / np.maximum(n - 1, 1), np.nan)
+        others = [x for x, ok in zip(names[i:], there) if ok]
+        return pa.table({"a": [names[i]] * len(others), "b": others, "cov": pa.array(cov, from_pandas=True), "n": pa.array(n.astype(np.int64))})
+
+    count = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = returns.where("ret is not null").select(F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), "symbol", F.col("ret").cast("double"))
+    parts = rows.repartition(count, "t").sortWithinPartitions("t").mapInArrow(partial, "i int, s0 array<double>, s1 array<double>, s2 array<double>, s3 array<double>")
+    return parts.groupBy("i").applyInArrow(total, f"a {kind}, b {kind}, cov double, n long")
 
 
 def expected_shortfall(returns: DataFrame, bars: int = 252, share: float = 0.02) -> DataFrame:

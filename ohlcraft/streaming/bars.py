@@ -154,9 +154,10 @@ STRUCTURE_STATE = "dt array<timestamp>, high array<double>, low array<double>"
 STRUCTURE_ROWS = "symbol string, dt timestamp, strokes int, mark string, price double"
 
 
-def structure_updates(keep: int = 2000) -> Callable:
+def structure_updates(keep: int | None = None) -> Callable:
     """For applyInPandasWithState: strokes of each symbol after each micro batch. A bar that comes again replaces the one of
-    its time; state is the symbol's last `keep` bars, from which the structure is made anew."""
+    its time; state is the symbol's high and low of all its bars (two numbers a bar), from which the structure is made anew.
+    keep: only so many of the last bars, for streams that need the newest strokes and not their number."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         from ..operators.structure import fractals, merge_bars, strokes
@@ -166,7 +167,7 @@ def structure_updates(keep: int = 2000) -> Callable:
             held = {t: (h, x) for t, h, x in zip(*state.get)}
         for rows in frames:
             held |= {r.dt: (float(r.high), float(r.low)) for r in rows.itertuples()}
-        times = sorted(held)[-keep:]
+        times = sorted(held)[-keep:] if keep else sorted(held)
         high, low = [held[t][0] for t in times], [held[t][1] for t in times]
         state.update((times, high, low))
         import numpy as np
@@ -179,5 +180,5 @@ def structure_updates(keep: int = 2000) -> Callable:
     return update
 
 
-def stream_structure(bars: DataFrame, keep: int = 2000) -> DataFrame:
+def stream_structure(bars: DataFrame, keep: int | None = None) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(structure_updates(keep), STRUCTURE_ROWS, STRUCTURE_STATE, "update", "NoTimeout")
