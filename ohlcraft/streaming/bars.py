@@ -74,15 +74,20 @@ def upsert_sink(path: str, keys: list[str], day: str = "dt") -> Callable[[DataFr
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old: dict[str, list[int]] = {}
         for d in days:
-            rows = new.where(F.col("day") == d).drop("day")
             folder = jvm.org.apache.hadoop.fs.Path(f"{path}/day={d}")
             versions = sorted(int(x.getPath().getName()[2:]) for x in fs.listStatus(folder)) if fs.exists(folder) else []
-            old = [v for v in versions if v < batch_id]
-            if old:
-                rows = spark.read.parquet(f"{path}/day={d}/v={old[-1]}").join(rows.select(*keys), keys, "left_anti").unionByName(rows)
-            rows.write.mode("overwrite").parquet(f"{path}/day={d}/v={batch_id}")
-            for v in old[:-1]:
+            old[d] = [v for v in versions if v < batch_id]
+        rows = new
+        if any(old.values()):
+            held = spark.read.option("basePath", path).parquet(*[f"{path}/day={d}/v={v[-1]}" for d, v in old.items() if v])
+            held = held.drop("v").withColumn("day", F.col("day").cast("string"))
+            rows = held.join(new.select("day", *keys), ["day", *keys], "left_anti").unionByName(new)
+        out = rows.withColumn("v", F.lit(batch_id)).repartition("day")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "v").parquet(path)
+        for d, versions in old.items():
+            for v in versions[:-1]:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/day={d}/v={v}"), True)
 
     return write
@@ -95,6 +100,8 @@ def read_upserted(spark, path: str) -> DataFrame:
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     newest = []
     for d in fs.listStatus(at):
+        if not d.getPath().getName().startswith("day="):
+            continue
         versions = sorted(int(x.getPath().getName()[2:]) for x in fs.listStatus(d.getPath()))
         newest.append(f"{d.getPath()}/v={versions[-1]}")
     return spark.read.parquet(*newest)
@@ -134,10 +141,9 @@ def peak_updates(lag: int, threshold: float, influence: float) -> Callable:
 
         held = list(state.get[0]) if state.exists else []
         out = []
-        for rows in frames:
-            for r in rows.sort_values("dt").itertuples():
-                signal, held = peak_step(held, float(r.price), lag, threshold, influence)
-                out.append((key[0], r.dt, float(r.price), signal))
+        for r in pd.concat(list(frames)).sort_values("dt", kind="stable").itertuples():  # frames of a micro batch come in any order
+            signal, held = peak_step(held, float(r.price), lag, threshold, influence)
+            out.append((key[0], r.dt, float(r.price), signal))
         state.update((held, held))
         yield pd.DataFrame(out, columns=["symbol", "dt", "price", "signal"])
 
