@@ -52,10 +52,11 @@ def _hits(text: Column, kind: str, pattern: str) -> Column:
     pieces, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def row(piece: Column, m: Column, i: Column) -> Column:
-        # the words before may reach over the match before
-        last = F.concat(F.coalesce(F.get(pieces, i - 1), F.lit("")), F.coalesce(F.get(found, i - 1), F.lit("")), piece)
-        tail = F.substring(last, -200, 200)
-        words = F.regexp_extract(tail, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+        # the words before may reach over the two matches before, each of which has a word; read from the end, so that only
+        # the words themselves are looked at, however long they are
+        parts = [F.coalesce(F.get(x, i - k), F.lit("")) for k in (2, 1) for x in (pieces, found)]
+        back = F.reverse(F.concat(*parts, piece))
+        words = F.reverse(F.regexp_extract(back, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1))
         return F.struct(F.lit(kind).alias("kind"), F.length(piece).alias("gap"), m.alias("m"), F.lower(words).alias("before"),
                         piece.rlike(r"^[\x20\x09]+$").alias("glued"), i.alias("i"))
 

@@ -364,6 +364,18 @@ def test_pii_context_runs_and_rounds(spark):
     assert [got[1000 + i] for i in range(5)] == ["context:12:24", "context:12:26", "context:14:16", "context:15:19", ""]
 
 
+def test_pii_context_has_no_reach(spark):
+    long = "x" * 400
+    rows = [(i, f"w{i} {long} phone:   +1 (555) 123-{4000 + i} ok", "en", "s", 0) for i in range(12)] + [(50, f"so {long} phone: AB-99-123456 now", "en", "s", 0)]
+    rows += [(60 + i, f"reach me a{i}@b.co c{i}@d.co e{i}@f.co", "en", "s", 0) for i in range(8)]
+    folder = shared_folder(spark)
+    _, spans = pii.matches(spark.createDataFrame(rows, DOCS), folder)
+    before = {(x.kind, x.m): x.before for x in spans.collect()}
+    assert before[("phone", "+1 (555) 123-4003")] == f"{long} phone:" and before[("email", "e3@f.co")] == "a3@b.co c3@d.co" and before[("email", "c3@d.co")] == "me a3@b.co"
+    got = {x.doc_id: x.spans for x in pii.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[50] == "context:411:423"
+
+
 def test_redaction_of_equal_and_clashing_rows(spark):
     rows = [(1, "at a@b.co", "k"), (1, "at a@b.co", "k"), (None, "at a@b.co", None), (1, "no one", "z"), (2, None, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, __key string").withColumn("__of", F.lit(1))
