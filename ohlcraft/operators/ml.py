@@ -290,10 +290,10 @@ def clusters(features: DataFrame, columns: list[str], k: int = 4, seed: int = 7)
     """Gaussian mixture over standardised columns of all rows; adds cluster. Rows with nulls go."""
     df = features.dropna(subset=columns)
     stats = df.agg(*[F.avg(c).alias(f"a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    scaled = df.withColumns({f"__{c}": (F.col(c) - stats[f"a_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in columns})
-    table = VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__x").transform(scaled)
-    model = GaussianMixture(k=k, seed=seed, featuresCol="__x", predictionCol="cluster", probabilityCol="__p", maxIter=20).fit(table)
-    return model.transform(table).drop("__x", "__p", *[f"__{c}" for c in columns])
+    scaled = df.withColumns({f"__std_{c}": (F.col(c) - stats[f"a_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in columns})
+    table = VectorAssembler(inputCols=[f"__std_{c}" for c in columns], outputCol="__vector").transform(scaled)
+    model = GaussianMixture(k=k, seed=seed, featuresCol="__vector", predictionCol="cluster", probabilityCol="__p", maxIter=20).fit(table)
+    return model.transform(table).drop("__vector", "__p", *[f"__std_{c}" for c in columns])
 
 
 def slices(labelled: DataFrame, label: str, margin: int = 36) -> DataFrame:

@@ -27,7 +27,7 @@ def test_names():
     assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["bars_day", "rps_rank_63", "signed_run_up", "market_breadth", "macd", "asof_major_minor", "dedup_latest"])
+@pytest.mark.parametrize("name", ["bars_day", "rps_rank_63", "signed_run_up", "market_breadth", "macd", "asof_major_minor", "dedup_latest", "chan_strokes", "chan_pivots", "trade_ledger", "market_vote"])
 def test_sql_agrees(spark, db, name):
     got = QUERIES[name](spark, SF).toPandas()
     sql = db.sql(ORACLES[name]).df()
