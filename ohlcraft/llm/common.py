@@ -28,8 +28,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one where that is unset (local mode and tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    """A new folder below spark.checkpoint.dir; a local one where that is unset in local mode, as in tests. A cluster whose
+    session names no shared folder is refused: its executors would not see each other's files."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_folder()
     out = f"{base.rstrip('/')}/ohlcraft/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, out)
     return out
