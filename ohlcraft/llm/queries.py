@@ -82,6 +82,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(out.select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can check: each source's size and target."""
+    sizes = mixing.sized(table(spark, sf_dir, "documents").select("source", "text")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    return mixing.targets(sizes).select("source", "source_size", F.round("target", 4).alias("target"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_simhash": op10_simhash,
     "token_rollup_words": token_rollup_words,
+    "mixing_targets": mixing_targets,
 }
 
 #: Cut-offs as in quality.GRID, tail and correction as in quality.cutoffs.
@@ -125,6 +132,17 @@ _GRID_ROWS = ", ".join(f"('{name}', {c}::DOUBLE)" for name, cs in quality.GRID.i
 _POINTS = sum(map(len, quality.GRID.values()))
 
 ORACLES: dict[str, str] = {
+    # rounds of resharing what is above twice a source's size, until none is
+    "mixing_targets": r"""
+WITH RECURSIVE z AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n FROM documents GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM z),
+r AS (SELECT 0 AS step, []::BIGINT[] AS full_ UNION ALL
+      SELECT step + 1, list_sort(list_concat(full_, over_)) FROM (SELECT step, full_, (SELECT list(k) FROM w WHERE NOT list_contains(full_, k) AND w * (SELECT 1.5 * sum(n) - 2 * coalesce(sum(n) FILTER (WHERE list_contains(full_, k)), 0) FROM w)
+             / (SELECT sum(w) FROM w WHERE NOT list_contains(full_, k)) > 2 * n) AS over_ FROM r) WHERE len(over_) > 0),
+f AS (SELECT full_ FROM r ORDER BY step DESC LIMIT 1)
+SELECT source, n AS source_size, round(CASE WHEN list_contains(full_, k) THEN 2.0::DOUBLE * n ELSE w * (SELECT 1.5::DOUBLE * sum(n) - 2 * coalesce(sum(n) FILTER (WHERE list_contains(full_, k)), 0) FROM w, f)
+       / (SELECT sum(w) FROM w, f WHERE NOT list_contains(full_, k)) END, 4) AS target FROM w, f
+""",
     "token_rollup_words": r"""
 WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS x FROM documents),
 kept AS (SELECT *, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
