@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Inner and outer limits of tables that are small by nature and may be broadcast after a look at their size.
 BROADCAST_ROWS = 100_000
@@ -87,61 +88,118 @@ def column_zscore(df: DataFrame, c: str, out: str, by: Sequence[str] = ("symbol"
     return df.withColumn(out, (F.col(c) - F.avg(c).over(q)) / F.nullif(F.stddev_pop(c).over(q), F.lit(0.0)))
 
 
-def covariance(returns: DataFrame, most: int = 2000) -> DataFrame:
+def _blocks(returns: DataFrame, schema: str, emit: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Covariances of returns(dt, symbol, ret), block by block: emit(a, b, cov, n, same) makes rows of a block pair's symbols, the
+    covariance by n common dates (NaN below 2) and whether both blocks are the same one. Symbols and dates are dealt to blocks
+    and chunks by hash, so a task holds the sums of one pair of blocks and one chunk of dates, whatever their numbers. Each
+    symbol's packed returns go to as many tasks as there are blocks."""
+    known = returns.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("dt").alias("d")).first()
+    blocks = -(-known.s // min(2000, max(250, known.s // 8))) or 1
+    chunks = -(-known.d // 256) or 1
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, day, rows, sides, sums = None, None, [], [{}, {}], None
+
+        def add() -> None:
+            nonlocal sums
+            own = sides[0], sides[0] if at[0] == at[1] else sides[1]
+            for side, symbol, _, _ in rows:
+                sides[side].setdefault(symbol, len(sides[side]))
+            shape = len(own[0]), len(own[1])
+            if sums is None or sums[0].shape != shape:
+                grown = [np.zeros(shape) for _ in range(4)]
+                for new, old in zip(grown, sums or ()):
+                    new[: old.shape[0], : old.shape[1]] = old
+                sums = grown
+            days, d = np.unique(np.concatenate([t for _, _, t, _ in rows]), return_inverse=True)
+            size = [len(t) for _, _, t, _ in rows]
+            ret, side = np.concatenate([r for *_, r in rows]), np.repeat([r[0] for r in rows], size)
+            place = np.repeat([sides[r[0]][r[1]] for r in rows], size)
+            for first in range(0, len(days), 512):
+                some = (d >= first) & (d < first + 512)
+                x = [np.zeros((512, k)) for k in shape]
+                there = [np.zeros((512, k), np.float32) for k in shape]
+                for k in (0, 1):
+                    mine = some & (side == k)
+                    x[k][d[mine] - first, place[mine]] = ret[mine]
+                    there[k][d[mine] - first, place[mine]] = 1
+                if at[0] == at[1]:
+                    x[1], there[1] = x[0], there[0]
+                sums[0] += x[0].T @ x[1]
+                sums[1] += x[0].T @ there[1].astype(float)
+                sums[2] += there[0].T.astype(float) @ x[1]
+                sums[3] += there[0].T @ there[1]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sums is None or not sums[0].size:
+                return
+            ab, a, b, n = sums
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a *= b
+                a /= n
+                ab -= a
+                ab /= n - 1
+            ab[n < 2] = np.nan
+            one = at[0] == at[1]
+            yield from emit(list(sides[0]), list(sides[0] if one else sides[1]), ab, n, one)
+
+        for batch in batches:
+            t, ret = batch.column("t"), batch.column("ret")
+            heads = zip(*[batch.column(c).to_pylist() for c in ("i", "j", "chunk", "block", "symbol")])
+            for k, (i, j, chunk, block, symbol) in enumerate(heads):
+                if rows and (at, day) != ((i, j), chunk):
+                    add()
+                    rows = []
+                if at != (i, j):
+                    yield from done()
+                    at, sides, sums = (i, j), [{}, {}], None
+                day = chunk
+                rows.append((int(block != i), symbol, t[k].values.to_numpy(), ret[k].values.to_numpy()))
+        if rows:
+            add()
+            yield from done()
+
+    mean = F.avg("ret").over(Window.partitionBy("symbol"))
+    rows = returns.where("ret is not null and dt is not null and symbol is not null").select("symbol", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.col("ret").cast("double").alias("ret"))
+    rows = rows.withColumn("ret", F.col("ret") - mean)  # sums of what is about zero lose no digits
+    packed = rows.groupBy("symbol", F.pmod(F.xxhash64("t"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("t", "ret")).alias("p"))
+    block, other = F.pmod(F.xxhash64("symbol", F.lit(7)), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = packed.select("symbol", "chunk", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"), block.alias("block"), other.alias("other"))
+    sent = sent.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "chunk", "block", "symbol", "t", "ret")
+    count = max(int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 4000))
+    return sent.repartition(count, "i", "j").sortWithinPartitions("i", "j", "chunk").mapInArrow(products, schema)
+
+
+def covariance(returns: DataFrame) -> DataFrame:
     """returns(dt, symbol, ret) -> a, b, cov, n of all symbol pairs with a <= b that have a date in common; cov is null for one
-    date. A universe of `most` symbols at most is asked for: their numbers and means are known to the tasks, which add up
-    block products over the dates they hold. One exchange by date, one of a row of sums for each symbol and task."""
-    stats = returns.where("ret is not null").groupBy("symbol").agg(F.avg("ret").alias("m")).orderBy("symbol").limit(most + 1).collect()
-    if len(stats) > most:
-        raise ValueError(f"more than {most} symbols: choose a universe first")
-    kind = returns.schema["symbol"].dataType.simpleString()
-    names, mean = [r["symbol"] for r in stats], np.array([r["m"] for r in stats], float)
-    place = {x: i for i, x in enumerate(names)}
-    size = len(names)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, size, size))  # of products, of either side where both are there, and of dates
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def add(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-            t, i, x = (np.concatenate(c) for c in zip(*rows))
-            days, day = np.unique(t, return_inverse=True)
-            for at in range(0, len(days), 256):
-                some = (day >= at) & (day < at + 256)
-                value, there = np.zeros((256, size)), np.zeros((256, size))
-                value[day[some] - at, i[some]], there[day[some] - at, i[some]] = x[some] - mean[i[some]], 1.0
-                sums[0] += value.T @ value
-                sums[1] += value.T @ there
-                sums[2] += there.T @ value
-                sums[3] += there.T @ there
-
-        for b in batches:
-            t = b.column("t").to_numpy(zero_copy_only=False)
-            i = np.array([place[x] for x in b.column("symbol").to_pylist()], np.int64)
-            held.append((t, i, b.column("ret").to_numpy(zero_copy_only=False)))
-            if len(t) and held[0][0][0] != t[-1]:  # whole dates; the last may go on in the next batch
-                last = [tuple(c[h[0] == t[-1]] for c in h) for h in held]
-                add([tuple(c[h[0] != t[-1]] for c in h) for h in held])
-                held = last
-        if held:
-            add(held)
-        for i in range(size):
-            if sums[3, i, i]:
-                yield pa.RecordBatch.from_pydict({"i": [i], **{f"s{k}": [sums[k, i]] for k in range(4)}}, schema=pa.schema([("i", pa.int32()), *[(f"s{k}", pa.list_(pa.float64())) for k in range(4)]]))
-
-    def total(table: pa.Table) -> pa.Table:
-        i = table["i"][0].as_py()
-        ab, a, b, n = (np.sum([np.asarray(x) for x in table[f"s{k}"].to_pylist()], axis=0)[i:] for k in range(4))
-        there = n > 0
-        ab, a, b, n = ab[there], a[there], b[there], n[there]
-        cov = np.where(n > 1, (ab - a * b / n) / np.maximum(n - 1, 1), np.nan)
-        others = [x for x, ok in zip(names[i:], there) if ok]
-        return pa.table({"a": [names[i]] * len(others), "b": others, "cov": pa.array(cov, from_pandas=True), "n": pa.array(n.astype(np.int64))})
-
-    count = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = returns.where("ret is not null").select(F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), "symbol", F.col("ret").cast("double"))
-    parts = rows.repartition(count, "t").sortWithinPartitions("t").mapInArrow(partial, "i int, s0 array<double>, s1 array<double>, s2 array<double>, s3 array<double>")
-    return parts.groupBy("i").applyInArrow(total, f"a {kind}, b {kind}, cov double, n long")
+    date."""
+    kind = returns.schema["symbol"].dataType
+
+    def pairs(a: list, b: list, cov: np.ndarray, n: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        order = {x: k for k, x in enumerate(sorted({*a, *b}))}
+        names = pa.array(list(order), to_arrow_type(kind))
+        p, q = (np.array([order[x] for x in side]) for side in (a, b))
+        for k in range(0, len(a), 64):
+            x, y = p[k : k + 64, None], q[None, :]
+            there = (n[k : k + 64] > 0) & (x <= y if same else True)
+            value = pa.array(cov[k : k + 64][there], from_pandas=True)  # NaN becomes null
+            ends = [names.take(pa.array(f(x, y)[there])) for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays([*ends, value, pa.array(n[k : k + 64][there].astype(np.int64))], ["a", "b", "cov", "n"])
+
+    return _blocks(returns, f"a {kind.simpleString()}, b {kind.simpleString()}, cov double, n long", pairs)
+
+
+def covariance_blocks(returns: DataFrame) -> DataFrame:
+    """covariance as pieces of the matrix: arrays a and b of symbols and the bytes of their doubles, row by row; NaN below two
+    common dates. Of two symbols, one order or both are there."""
+    kind = returns.schema["symbol"].dataType
+
+    def pieces(a: list, b: list, cov: np.ndarray, n: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        arrow = pa.list_(to_arrow_type(kind))
+        for k in range(0, len(a), 250):
+            yield pa.RecordBatch.from_arrays([pa.array([a[k : k + 250]], arrow), pa.array([b], arrow), pa.array([np.ascontiguousarray(cov[k : k + 250]).tobytes()], pa.binary())], ["a", "b", "cov"])
+
+    return _blocks(returns, f"a array<{kind.simpleString()}>, b array<{kind.simpleString()}>, cov binary", pieces)
 
 
 def expected_shortfall(returns: DataFrame, bars: int = 252, share: float = 0.02) -> DataFrame:

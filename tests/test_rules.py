@@ -62,6 +62,34 @@ def test_covariance_equals_numpy(spark):
     assert relational.covariance(df.limit(0)).count() == 0
 
 
+def test_covariance_takes_any_number_of_symbols(spark):
+    rng = np.random.default_rng(9)
+    there, x = rng.random((9, 2300)) < 0.6, rng.normal(size=(9, 2300))
+    rows = [(f"2024-01-{d + 1:02d} 00:00:00", s, float(x[d, s])) for d in range(9) for s in range(2300) if there[d, s]]
+    df = spark.createDataFrame(rows, "dt string, symbol long, ret double").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    got = relational.covariance(df.repartition(3)).toPandas()
+    n = there.T.astype(int) @ there.astype(int)
+    assert len(got) == np.count_nonzero(np.triu(n)) and len(got.drop_duplicates(["a", "b"])) == len(got)
+    assert (got.a <= got.b).all() and (got.n == n[got.a, got.b]).all() and (got["cov"].isna() == (got.n < 2)).all()
+    for r in got.sample(300, random_state=1).itertuples():
+        both = there[:, r.a] & there[:, r.b]
+        assert r.n < 2 or r.cov == pytest.approx(np.cov(x[both, r.a], x[both, r.b])[0, 1])
+
+
+def test_covariance_of_many_batches(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(40, 6))
+    rows = [(f"2024-{d // 20 + 1:02d}-{d % 20 + 1:02d} 00:00:00", s, float(x[d, s])) for d in range(40) for s in range(6)]
+    df = spark.createDataFrame(rows, "dt string, symbol int, ret double").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.a, r.b): (r.cov, r.n) for r in relational.covariance(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = np.cov(x.T)
+    assert got == {(a, b): (pytest.approx(want[a, b]), 40) for a in range(6) for b in range(a, 6)}
+
+
 def test_longest_chain_by_all_subsets():
     rng = np.random.default_rng(6)
     for _ in range(40):
