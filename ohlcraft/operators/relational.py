@@ -88,14 +88,22 @@ def column_zscore(df: DataFrame, c: str, out: str, by: Sequence[str] = ("symbol"
     return df.withColumn(out, (F.col(c) - F.avg(c).over(q)) / F.nullif(F.stddev_pop(c).over(q), F.lit(0.0)))
 
 
+def block_counts(returns: DataFrame) -> tuple[int, int]:
+    """Numbers of symbol blocks and of date chunks that covariances of returns are worked out by."""
+    known = returns.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("dt").alias("d")).first()
+    return -(-known.s // min(2000, max(250, known.s // 8))) or 1, -(-known.d // 256) or 1
+
+
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("symbol", F.lit(7)), F.lit(blocks)).cast("int")
+
+
 def _blocks(returns: DataFrame, schema: str, emit: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
     """Covariances of returns(dt, symbol, ret), block by block: emit(a, b, cov, n, same) makes rows of a block pair's symbols, the
     covariance by n common dates (NaN below 2) and whether both blocks are the same one. Symbols and dates are dealt to blocks
     and chunks by hash, so a task holds the sums of one pair of blocks and one chunk of dates, whatever their numbers. Each
     symbol's packed returns go to as many tasks as there are blocks."""
-    known = returns.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("dt").alias("d")).first()
-    blocks = -(-known.s // min(2000, max(250, known.s // 8))) or 1
-    chunks = -(-known.d // 256) or 1
+    blocks, chunks = block_counts(returns)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, day, rows, sides, sums = None, None, [], [{}, {}], None
@@ -163,8 +171,8 @@ def _blocks(returns: DataFrame, schema: str, emit: Callable[..., Iterator[pa.Rec
     rows = returns.where("ret is not null and dt is not null and symbol is not null").select("symbol", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.col("ret").cast("double").alias("ret"))
     rows = rows.withColumn("ret", F.col("ret") - mean)  # sums of what is about zero lose no digits
     packed = rows.groupBy("symbol", F.pmod(F.xxhash64("t"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("t", "ret")).alias("p"))
-    block, other = F.pmod(F.xxhash64("symbol", F.lit(7)), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sent = packed.select("symbol", "chunk", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"), block.alias("block"), other.alias("other"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = packed.select("symbol", "chunk", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"), block_of(blocks).alias("block"), other.alias("other"))
     sent = sent.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "chunk", "block", "symbol", "t", "ret")
     count = max(int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 4000))
     return sent.repartition(count, "i", "j").sortWithinPartitions("i", "j", "chunk").mapInArrow(products, schema)

@@ -118,3 +118,30 @@ def test_weights():
     assert allocation.max_sharpe(np.array([0.1, 0.0, 0.0]), cov)[0] > 0.5
     s = RNG.normal(0, [1, 5, 5], (300, 3))
     assert allocation.min_cvar(s)[0] > 0.5
+
+
+def test_weights_of_a_large_matrix():
+    x = RNG.normal(size=(300, 2200)) * np.linspace(1, 3, 2200)
+    cov = np.cov(x.T)
+    assert allocation.largest_eigenvalue(cov) == pytest.approx(np.linalg.eigvalsh(cov)[-1], rel=1e-6)
+    w = np.zeros((2, 2200))
+    w[0, 5:40] = w[1, 30:50] = 1 / 7
+    times = allocation.Products(cov)
+    for some in (w, w[:1], w[1:], np.ones((1, 2200)), w):
+        assert np.allclose(times(some), some @ cov)
+    assert np.allclose(allocation.simplex(x[:5]), [allocation.simplex(v) for v in x[:5]])
+
+
+def test_moments_of_any_number_of_symbols(spark, monkeypatch):
+    x = RNG.normal(size=(4, 2100))
+    rows = [(f"2024-01-{d + 1:02d} 00:00:00", s, float(x[d, s])) for d in range(4) for s in range(2100) if (d + s) % 9]
+    df = spark.createDataFrame(rows, "dt string, symbol long, ret double").selectExpr("cast(dt as timestamp_ntz) as dt", "symbol", "ret")
+    there = np.array([[(d + s) % 9 > 0 for s in range(2100)] for d in range(4)])
+    for limit in (1 << 29, 1 << 10):  # in memory, in a file
+        monkeypatch.setattr(allocation, "IN_MEMORY", limit)
+        names, mean, cov = allocation.moments(df)
+        assert sorted(names) == list(range(2100)) and cov.shape == (2100, 2100) and np.allclose(cov, cov.T, rtol=0, atol=1e-12)
+        assert np.allclose(mean, [x[there[:, s], s].mean() for s in names])
+        for i, j in RNG.integers(0, 2100, (100, 2)):
+            both = there[:, names[i]] & there[:, names[j]]
+            assert cov[i, j] == pytest.approx(np.cov(x[both, names[i]], x[both, names[j]])[0, 1], abs=1e-12)
