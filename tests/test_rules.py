@@ -1,6 +1,7 @@
 """Rule catalogues, transport of columns through kernels, covariance and learning kernels against plain loops."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -116,6 +117,60 @@ def test_modes_add_up():
     assert np.allclose(ml.emd(y).sum(axis=0), y) and np.allclose(ml.eemd(y, trials=3).sum(axis=0), y)
 
 
+def _dense_spline(x, y, n):
+    """Natural cubic spline through (x, y) at 0..n-1 by a whole matrix."""
+    h, k = np.diff(x), len(x)
+    a, b = np.eye(k), np.zeros(k)
+    for i in range(1, k - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    m, t = np.linalg.solve(a, b), np.arange(n)
+    j = np.clip(np.searchsorted(x, t, side="right") - 1, 0, k - 2)
+    d, e = x[j + 1] - t, t - x[j]
+    return (m[j] * d**3 + m[j + 1] * e**3) / (6 * h[j]) + (y[j] / h[j] - m[j] * h[j] / 6) * d + (y[j + 1] / h[j] - m[j + 1] * h[j] / 6) * e
+
+
+def test_modes_of_many_series_by_dense_splines():
+    rng = np.random.default_rng(11)
+    series = [rng.normal(size=n).cumsum() for n in (200, 3, 41, 0, 7, 333, 25)] + [np.ones(30), np.full(20, np.nan), np.arange(1.0, 50)]
+    for y, got in zip(series, ml.emd_many(series, 4)):
+        rest, modes = y, []
+        while len(modes) < 4 and len(y) > 2:
+            h = rest
+            for done in range(11):
+                up = np.flatnonzero((h[1:-1] > h[:-2]) & (h[1:-1] >= h[2:])) + 1
+                down = np.flatnonzero((h[1:-1] < h[:-2]) & (h[1:-1] <= h[2:])) + 1
+                if done == 10 or len(up) < 2 or len(down) < 2:
+                    break
+                hi, lo = (np.concatenate(([0], x, [len(y) - 1])) for x in (up, down))
+                h = h - (_dense_spline(hi, h[hi], len(y)) + _dense_spline(lo, h[lo], len(y))) / 2
+            if done < 10:
+                break
+            modes.append(h)
+            rest = rest - h
+        assert len(got) == len(modes) + 1 and np.allclose(got, [*modes, rest], atol=1e-8, equal_nan=True)
+
+
+def test_modes_take_time_in_proportion():
+    began = time.process_time()
+    modes = ml.emd(np.random.default_rng(12).normal(size=12000), 1)
+    assert len(modes) == 2 and time.process_time() - began < 3
+
+
+def test_turns_are_counted_where_modes_are_made(spark):
+    rng = np.random.default_rng(13)
+    rows = [(s, d, float(x)) for s, n in (("a", 60), ("b", 10), ("c", 150)) for d, x in enumerate(rng.normal(size=n).cumsum())]
+    df = spark.createDataFrame(rows, "symbol string, d int, close double").selectExpr("symbol", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d) as dt", "close")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # a symbol's rows come in several batches
+    try:
+        got = {(r.symbol, r.mode): (r.turns, r.power) for r in ml.bar_mode_turns(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    modes = ml.modes_frame(df)
+    want = {(r.symbol, r.mode): (r.turns, pytest.approx(r.power)) for r in ml.mode_turns(modes).collect()}
+    assert got == want and len(got) == 12 and ml.best_modes(modes).count() == ml.best_turns(ml.bar_mode_turns(df)).count() > 4
+
+
 def test_clusters_part_what_is_apart(spark):
     rng = np.random.default_rng(8)
     rows = [(i, float(c * 50 + rng.normal()), float(c * -50 + rng.normal())) for i, c in enumerate([0, 1] * 60)]
