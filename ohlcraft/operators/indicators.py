@@ -255,7 +255,8 @@ def combo_flow(df: DataFrame, densities: list[str]) -> DataFrame:
     combo = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in densities), F.lit(0.0)) / len(densities)
     df = df.withColumn("combo", combo)
     df = df.withColumns({"combo_ma": W.sma("combo", 21), "combo_slope": W.ols_slope("combo", 14)})
-    return df.withColumns({"combo_cross": W.crossed("combo", "combo_ma").cast("bigint"), "combo_run": W.signed_run(F.signum("combo_slope"))})
+    df = df.withColumns({"__over": F.round(F.col("combo") - F.col("combo_ma"), 12), "__level": F.lit(0.0)})  # a constant equals its mean
+    return df.withColumns({"combo_cross": W.crossed("__over", "__level").cast("bigint"), "combo_run": W.signed_run(F.signum("combo_slope"))}).drop("__over", "__level")
 
 
 def cross_density(bars: DataFrame, up: str, down: str) -> DataFrame:

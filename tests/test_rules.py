@@ -177,3 +177,11 @@ def test_clusters_part_what_is_apart(spark):
     got = ml.clusters(spark.createDataFrame(rows, "i long, x double, y double"), ["x", "y"], k=2).select("i", "cluster").collect()
     label = {r.i: r.cluster for r in got}
     assert label[0] != label[1] and all(label[i] == label[i % 2] for i in label)
+
+
+def test_a_constant_density_does_not_cross_its_mean(spark):
+    rows = [(k, i, x) for k in range(1, 97) for i, x in enumerate([k / 97 + 0.5] * 25 + [k / 97] * 60 + [k / 97 + 0.2])]
+    df = W.numbered(spark.createDataFrame(rows, "symbol int, dt int, density double"))
+    got = I.combo_flow(df, ["density"])
+    assert got.columns == ["symbol", "dt", "density", "rn", "combo", "combo_ma", "combo_slope", "combo_cross", "combo_run"]
+    assert sorted((r.symbol, r.dt) for r in got.where("combo_cross = 1").collect()) == [(k, 85) for k in range(1, 97)]
