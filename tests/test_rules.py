@@ -159,7 +159,7 @@ def test_modes_take_time_in_proportion():
 
 def test_turns_are_counted_where_modes_are_made(spark):
     rng = np.random.default_rng(13)
-    rows = [(s, d, float(x)) for s, n in (("a", 60), ("b", 10), ("c", 150)) for d, x in enumerate(rng.normal(size=n).cumsum())]
+    rows = [(s, d, float(x)) for s, n in ((None, 70), ("a", 60), ("b", 10), ("c", 150)) for d, x in enumerate(rng.normal(size=n).cumsum())]
     df = spark.createDataFrame(rows, "symbol string, d int, close double").selectExpr("symbol", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d) as dt", "close")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # a symbol's rows come in several batches
     try:
@@ -168,7 +168,7 @@ def test_turns_are_counted_where_modes_are_made(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     modes = ml.modes_frame(df)
     want = {(r.symbol, r.mode): (r.turns, pytest.approx(r.power)) for r in ml.mode_turns(modes).collect()}
-    assert got == want and len(got) == 12 and ml.best_modes(modes).count() == ml.best_turns(ml.bar_mode_turns(df)).count() > 4
+    assert got == want and len(got) == 16 and ml.best_modes(modes).count() == ml.best_turns(ml.bar_mode_turns(df)).count() > 4
 
 
 def test_clusters_part_what_is_apart(spark):
