@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Inner and outer limits of tables that are small by nature and may be broadcast after a look at their size.
 BROADCAST_ROWS = 100_000
+#: Groups of symbols at most for covariances, and symbols of a tile of the matrix.
+GROUPS, TILE = 24, 1000
 
 # Measures of market breadth, by how they aggregate.
 BREADTH_SUM = (
@@ -98,87 +100,105 @@ def block_of(blocks: int) -> Column:
     return F.pmod(F.xxhash64("symbol", F.lit(7)), F.lit(blocks)).cast("int")
 
 
-def _blocks(returns: DataFrame, schema: str, emit: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Covariances of returns(dt, symbol, ret), block by block: emit(a, b, cov, n, same) makes rows of a block pair's symbols, the
-    covariance by n common dates (NaN below 2) and whether both blocks are the same one. Symbols and dates are dealt to blocks
-    and chunks by hash, so a task holds the sums of one pair of blocks and one chunk of dates, whatever their numbers. Each
-    symbol's packed returns go to as many tasks as there are blocks."""
-    blocks, chunks = block_counts(returns)
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, day, rows, sides, sums = None, None, [], [{}, {}], None
-
-        def add() -> None:
-            nonlocal sums
-            own = sides[0], sides[0] if at[0] == at[1] else sides[1]
-            for side, symbol, _, _ in rows:
-                sides[side].setdefault(symbol, len(sides[side]))
-            shape = len(own[0]), len(own[1])
-            if sums is None or sums[0].shape != shape:
-                grown = [np.zeros(shape) for _ in range(4)]
-                for new, old in zip(grown, sums or ()):
-                    new[: old.shape[0], : old.shape[1]] = old
-                sums = grown
-            days, d = np.unique(np.concatenate([t for _, _, t, _ in rows]), return_inverse=True)
-            size = [len(t) for _, _, t, _ in rows]
-            ret, side = np.concatenate([r for *_, r in rows]), np.repeat([r[0] for r in rows], size)
-            place = np.repeat([sides[r[0]][r[1]] for r in rows], size)
-            for first in range(0, len(days), 512):
-                some = (d >= first) & (d < first + 512)
-                x = [np.zeros((512, k)) for k in shape]
-                there = [np.zeros((512, k), np.float32) for k in shape]
-                for k in (0, 1):
-                    mine = some & (side == k)
-                    x[k][d[mine] - first, place[mine]] = ret[mine]
-                    there[k][d[mine] - first, place[mine]] = 1
-                if at[0] == at[1]:
-                    x[1], there[1] = x[0], there[0]
-                sums[0] += x[0].T @ x[1]
-                sums[1] += x[0].T @ there[1].astype(float)
-                sums[2] += there[0].T.astype(float) @ x[1]
-                sums[3] += there[0].T @ there[1]
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if sums is None or not sums[0].size:
-                return
-            ab, a, b, n = sums
-            with np.errstate(divide="ignore", invalid="ignore"):
-                a *= b
-                a /= n
-                ab -= a
-                ab /= n - 1
-            ab[n < 2] = np.nan
-            one = at[0] == at[1]
-            yield from emit(list(sides[0]), list(sides[0] if one else sides[1]), ab, n, one)
-
-        for batch in batches:
-            t, ret = batch.column("t"), batch.column("ret")
-            heads = zip(*[batch.column(c).to_pylist() for c in ("i", "j", "chunk", "block", "symbol")])
-            for k, (i, j, chunk, block, symbol) in enumerate(heads):
-                if rows and (at, day) != ((i, j), chunk):
-                    add()
-                    rows = []
-                if at != (i, j):
-                    yield from done()
-                    at, sides, sums = (i, j), [{}, {}], None
-                day = chunk
-                rows.append((int(block != i), symbol, t[k].values.to_numpy(), ret[k].values.to_numpy()))
-        if rows:
-            add()
-            yield from done()
-
+def one_each(spark: SparkSession, count: int) -> list[int]:
+    """Integers that hash partitioning deals to the partitions 0, 1, ... of so many, one to each."""
+    k = F.col("id").cast("int")
+    found = spark.range(0, 60 * count, 1, 1).select(k.alias("k"), F.pmod(F.hash(k), F.lit(count)).alias("at")).collect()
+    first = {r["at"]: r["k"] for r in reversed(found)}
+    return [first[x] for x in range(count)]
+
+
+class _Side:
+    """A group's packed returns: symbols, and by tiles of them their observations in the order of dates."""
+
+    def __init__(self, packed: pa.StructArray, day: np.ndarray) -> None:
+        self.symbols = packed.field("symbol").to_pylist()
+        self.ends = packed.field("t").offsets.to_numpy()
+        self.ends = self.ends - self.ends[0]
+        self.day, self.ret = day, packed.field("ret").flatten().to_numpy()
+
+    def tile(self, first: int, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, days, their places, returns) of the tile."""
+        ends = self.ends[first : first + size + 1]
+        day, ret = self.day[ends[0] : ends[-1]], self.ret[ends[0] : ends[-1]]
+        place = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        order = np.argsort(day, kind="stable")
+        return len(ends) - 1, day[order], place[order], ret[order]
+
+
+def _dense(tile: tuple[int, np.ndarray, np.ndarray, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(returns, whether they are there) of the days from first to last by symbol, 0 where there is none."""
+    count, day, place, ret = tile
+    some = slice(*np.searchsorted(day, (first, last)))
+    x, there = np.zeros((last - first, count)), np.zeros((last - first, count), np.float32)
+    x[day[some] - first, place[some]] = ret[some]
+    there[day[some] - first, place[some]] = 1
+    return x, there
+
+
+def _covariances(a: tuple, b: tuple, days: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(covariance, common dates) of two tiles; NaN below two dates."""
+    ab, xa, xb = (np.zeros((a[0], b[0])) for _ in range(3))
+    n = np.zeros((a[0], b[0]))
+    for first in range(0, days, 512):
+        last = min(first + 512, days)
+        x, in_x = _dense(a, first, last)
+        y, in_y = (x, in_x) if same else _dense(b, first, last)
+        ab += x.T @ y
+        xa += x.T @ in_y.astype(float)
+        if not same:
+            xb += in_x.T.astype(float) @ y
+        n += in_x.T @ in_y
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ab -= xa * (xa.T if same else xb) / n
+        ab /= n - 1
+    ab[n < 2] = np.nan
+    return ab, n
+
+
+def packed_returns(returns: DataFrame) -> DataFrame:
+    """returns(dt, symbol, ret) -> symbol, t, ret: one row for each symbol with arrays of its times and of its returns less
+    their mean, so that sums of what is about zero lose no digits."""
     mean = F.avg("ret").over(Window.partitionBy("symbol"))
     rows = returns.where("ret is not null and dt is not null and symbol is not null").select("symbol", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.col("ret").cast("double").alias("ret"))
-    rows = rows.withColumn("ret", F.col("ret") - mean)  # sums of what is about zero lose no digits
-    packed = rows.groupBy("symbol", F.pmod(F.xxhash64("t"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("t", "ret")).alias("p"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sent = packed.select("symbol", "chunk", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"), block_of(blocks).alias("block"), other.alias("other"))
-    sent = sent.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "chunk", "block", "symbol", "t", "ret")
-    count = max(int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 4000))
-    return sent.repartition(count, "i", "j").sortWithinPartitions("i", "j", "chunk").mapInArrow(products, schema)
+    rows = rows.withColumn("ret", F.col("ret") - mean)
+    packed = rows.groupBy("symbol").agg(F.collect_list(F.struct("t", "ret")).alias("p"))
+    return packed.select("symbol", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"))
+
 
+def _blocks(returns: DataFrame, schema: str, emit: Callable[..., Iterator[pa.RecordBatch]], tile: int) -> DataFrame:
+    """Covariances of returns(dt, symbol, ret), tile by tile: emit(a, b, cov, n, same) makes rows of two tiles' symbols, the
+    covariance by n common dates (NaN below 2) and whether both are the same tile. Symbols are dealt to groups by hash; a task
+    reads two groups where the one shuffle left them, so nothing is copied for the pairs, and holds the sums of one pair of
+    tiles."""
 
-def covariance(returns: DataFrame) -> DataFrame:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j = (batch.column(c)[k].as_py() for c in ("i", "j"))
+                p, q = (batch.column(c)[k].values for c in ("a", "b"))
+                times = [x.field("t").flatten().to_numpy() for x in (p, q)]
+                days, day = np.unique(np.concatenate(times), return_inverse=True)
+                a, b = _Side(p, day[: len(times[0])]), _Side(q, day[len(times[0]) :])
+                for x in range(0, len(a.symbols), tile):
+                    one = a.tile(x, tile)
+                    for y in range(x if i == j else 0, len(b.symbols), tile):
+                        same = i == j and x == y
+                        cov, n = _covariances(one, one if same else b.tile(y, tile), len(days), same)
+                        yield from emit(a.symbols[x : x + tile], b.symbols[y : y + tile], cov, n, same)
+
+    spark = returns.sparkSession
+    count = min(GROUPS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    group = F.pmod(F.xxhash64("symbol", F.lit(7)), F.lit(count)).cast("int")
+    key = F.element_at(F.array(*map(F.lit, one_each(spark, count))), group + 1)
+    dealt = packed_returns(returns).select(key.alias("key"), group.alias("group"), F.struct("symbol", "t", "ret").alias("p"))
+    held = dealt.repartition(count, "key").groupBy("key").agg(F.first("group").alias("group"), F.collect_list("p").alias("p"))
+    left, right = held.select(F.col("group").alias("i"), F.col("p").alias("a")), held.select(F.col("group").alias("j"), F.col("p").alias("b"))
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.col("i") <= F.col("j"))
+    return pairs.mapInArrow(products, schema)
+
+
+def covariance(returns: DataFrame, tile: int = TILE) -> DataFrame:
     """returns(dt, symbol, ret) -> a, b, cov, n of all symbol pairs with a <= b that have a date in common; cov is null for one
     date."""
     kind = returns.schema["symbol"].dataType
@@ -194,10 +214,10 @@ def covariance(returns: DataFrame) -> DataFrame:
             ends = [names.take(pa.array(f(x, y)[there])) for f in (np.minimum, np.maximum)]
             yield pa.RecordBatch.from_arrays([*ends, value, pa.array(n[k : k + 64][there].astype(np.int64))], ["a", "b", "cov", "n"])
 
-    return _blocks(returns, f"a {kind.simpleString()}, b {kind.simpleString()}, cov double, n long", pairs)
+    return _blocks(returns, f"a {kind.simpleString()}, b {kind.simpleString()}, cov double, n long", pairs, tile)
 
 
-def covariance_blocks(returns: DataFrame) -> DataFrame:
+def covariance_blocks(returns: DataFrame, tile: int = TILE) -> DataFrame:
     """covariance as pieces of the matrix: arrays a and b of symbols and the bytes of their doubles, row by row; NaN below two
     common dates. Of two symbols, one order or both are there."""
     kind = returns.schema["symbol"].dataType
@@ -207,7 +227,7 @@ def covariance_blocks(returns: DataFrame) -> DataFrame:
         for k in range(0, len(a), 250):
             yield pa.RecordBatch.from_arrays([pa.array([a[k : k + 250]], arrow), pa.array([b], arrow), pa.array([np.ascontiguousarray(cov[k : k + 250]).tobytes()], pa.binary())], ["a", "b", "cov"])
 
-    return _blocks(returns, f"a array<{kind.simpleString()}>, b array<{kind.simpleString()}>, cov binary", pieces)
+    return _blocks(returns, f"a array<{kind.simpleString()}>, b array<{kind.simpleString()}>, cov binary", pieces, tile)
 
 
 def expected_shortfall(returns: DataFrame, bars: int = 252, share: float = 0.02) -> DataFrame:

@@ -77,6 +77,17 @@ def test_covariance_takes_any_number_of_symbols(spark):
         assert r.n < 2 or r.cov == pytest.approx(np.cov(x[both, r.a], x[both, r.b])[0, 1])
 
 
+def test_covariance_copies_no_returns_for_the_pairs(spark):
+    rng = np.random.default_rng(31)
+    rows = [(s, d, float(x)) for s in range(40) for d, x in enumerate(rng.normal(size=30)) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "symbol int, d int, ret double").selectExpr("symbol", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d) as dt", "ret")
+    got, small = (relational.covariance(df, tile) for tile in (1000, 3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # the groups are read where they are
+    got, small = ({(r.a, r.b): (r.cov, r.n) for r in x.collect()} for x in (got, small))
+    assert len(got) == 820 and got.keys() == small.keys() and all(got[k] == (pytest.approx(small[k][0]), small[k][1]) for k in got)
+
+
 def test_covariance_of_many_batches(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(40, 6))
