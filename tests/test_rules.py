@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ohlcraft.functions import window as W
 from ohlcraft.operators import backtest, ml, relational, rules
 from ohlcraft.operators import indicators as I
+from ohlcraft.plans.catalog import QUERIES
 
 
 def test_kernels_keep_other_columns(spark):
@@ -182,6 +183,19 @@ def test_turns_are_counted_where_modes_are_made(spark):
     assert got == want and len(got) == 16 and ml.best_modes(modes).count() == ml.best_turns(ml.bar_mode_turns(df)).count() > 4
 
 
+def test_modes_take_fifty_trials_of_every_series(spark):
+    y = {s: np.random.default_rng(s).normal(size=n).cumsum() for s, n in ((1, 12), (2, 700))}
+    rows = [(s, d, float(x)) for s, v in y.items() for d, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "symbol int, d int, close double").selectExpr("symbol", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d) as dt", "close")
+    got = {(r.symbol, r.mode): (r.turns, r.power) for r in ml.bar_mode_turns(df, most=17).collect()}
+    for s, v in y.items():
+        modes = ml.eemd(v, trials=50, most=17)[:-1]
+        assert [got[s, k + 1] for k in range(17)] == [(np.count_nonzero(np.diff(np.sign(m))), pytest.approx(np.std(m))) for m in modes]
+    assert got[1, 1][0] > 0 and got[2, 6][0] > 0
+    best = QUERIES["eemd_modes"](spark, "/root/testdata/sf0.001").toPandas()
+    assert best["mode"].max() > 4 and (best.groupby("symbol").size() == 4).all()
+
+
 def test_clusters_part_what_is_apart(spark):
     rng = np.random.default_rng(8)
     rows = [(i, float(c * 50 + rng.normal()), float(c * -50 + rng.normal())) for i, c in enumerate([0, 1] * 60)]
