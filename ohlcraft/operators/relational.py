@@ -90,16 +90,6 @@ def column_zscore(df: DataFrame, c: str, out: str, by: Sequence[str] = ("symbol"
     return df.withColumn(out, (F.col(c) - F.avg(c).over(q)) / F.nullif(F.stddev_pop(c).over(q), F.lit(0.0)))
 
 
-def block_counts(returns: DataFrame) -> tuple[int, int]:
-    """Numbers of symbol blocks and of date chunks that covariances of returns are worked out by."""
-    known = returns.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("dt").alias("d")).first()
-    return -(-known.s // min(2000, max(250, known.s // 8))) or 1, -(-known.d // 256) or 1
-
-
-def block_of(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("symbol", F.lit(7)), F.lit(blocks)).cast("int")
-
-
 def one_each(spark: SparkSession, count: int) -> list[int]:
     """Integers that hash partitioning deals to the partitions 0, 1, ... of so many, one to each."""
     k = F.col("id").cast("int")
@@ -157,13 +147,32 @@ def _covariances(a: tuple, b: tuple, days: int, same: bool) -> tuple[np.ndarray,
 
 
 def packed_returns(returns: DataFrame) -> DataFrame:
-    """returns(dt, symbol, ret) -> symbol, t, ret: one row for each symbol with arrays of its times and of its returns less
+    """returns(dt, symbol, ret) -> symbol, mean, t, ret: one row for each symbol with arrays of its times and of its returns less
     their mean, so that sums of what is about zero lose no digits."""
     mean = F.avg("ret").over(Window.partitionBy("symbol"))
     rows = returns.where("ret is not null and dt is not null and symbol is not null").select("symbol", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.col("ret").cast("double").alias("ret"))
-    rows = rows.withColumn("ret", F.col("ret") - mean)
-    packed = rows.groupBy("symbol").agg(F.collect_list(F.struct("t", "ret")).alias("p"))
-    return packed.select("symbol", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"))
+    rows = rows.withColumn("mean", mean).withColumn("ret", F.col("ret") - F.col("mean"))
+    packed = rows.groupBy("symbol").agg(F.first("mean").alias("mean"), F.collect_list(F.struct("t", "ret")).alias("p"))
+    return packed.select("symbol", "mean", F.col("p.t").alias("t"), F.col("p.ret").alias("ret"))
+
+
+def cross_covariance(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Covariances of the packed returns (t, ret) of symbols, 0 for a pair with fewer than two common dates."""
+    out = np.empty((len(a), len(b)))
+
+    def cut(rows: list, day: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(day, kind="stable")
+        place = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        return len(rows), day[order], place[order], np.concatenate([r for _, r in rows])[order]
+
+    for x in range(0, len(a), TILE):
+        for y in range(0, len(b), TILE):
+            p, q = a[x : x + TILE], b[y : y + TILE]
+            days, day = np.unique(np.concatenate([t for t, _ in p + q]), return_inverse=True)
+            split = sum(len(t) for t, _ in p)
+            cov, _ = _covariances(cut(p, day[:split]), cut(q, day[split:]), len(days), False)
+            out[x : x + TILE, y : y + TILE] = np.nan_to_num(cov, posinf=np.inf, neginf=-np.inf)
+    return out
 
 
 def _blocks(returns: DataFrame, schema: str, emit: Callable[..., Iterator[pa.RecordBatch]], tile: int) -> DataFrame:

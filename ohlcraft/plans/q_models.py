@@ -99,10 +99,7 @@ def strategy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markowitz(spark: SparkSession, sf_dir: str) -> DataFrame:
     ret = returns(spark, sf_dir).where("ret is not null").select("dt", "symbol", "ret")
-    names, mean, cov = allocation.moments(ret)
-    top = allocation.largest_eigenvalue(cov)
-    low, best = allocation.min_variance(cov, top=top), allocation.max_sharpe(mean, cov, top=top)
-    rows = sorted((int(s), round(float(a), 4), round(float(b), 4)) for s, a, b in zip(names, low, best))
+    rows = sorted((int(s), round(float(a), 4), round(float(b), 4)) for s, a, b in zip(*allocation.portfolios(ret)))
     return spark.createDataFrame(rows, "symbol long, min_variance double, max_sharpe double")
 
 

@@ -145,3 +145,18 @@ def test_moments_of_any_number_of_symbols(spark, monkeypatch):
         for i, j in RNG.integers(0, 2100, (100, 2)):
             both = there[:, names[i]] & there[:, names[j]]
             assert cov[i, j] == pytest.approx(np.cov(x[both, names[i]], x[both, names[j]])[0, 1], abs=1e-12)
+
+
+def test_portfolios_of_many_symbols_need_no_whole_matrix(spark, monkeypatch):
+    x = np.random.default_rng(41).normal(size=(200, 90)) * np.linspace(1, 2, 90) + np.linspace(0, 0.3, 90)
+    df = spark.createDataFrame([(d, s, float(x[d, s])) for d in range(200) for s in range(90)], "d int, symbol long, ret double")
+    df = df.selectExpr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d) as dt", "symbol", "ret")
+    names, mean, cov = allocation.moments(df)
+    low = allocation.min_variance(cov)
+    monkeypatch.setattr(allocation, "IN_MEMORY", 8 * 80 * 80)
+    monkeypatch.setattr(allocation, "moments", None)  # the whole matrix would be beyond the limit
+    got, least, best = allocation.portfolios(df)
+    assert got == sorted(names) and np.allclose(least[names], low, atol=1e-3) and least.sum() == pytest.approx(1)
+    assert np.argmin(cov @ least[names]) in np.flatnonzero(least[names]) and best.sum() == pytest.approx(1)
+    ratio = lambda w: w @ mean / np.sqrt(w @ cov @ w)
+    assert ratio(best[names]) > 0.98 * ratio(allocation.max_sharpe(mean, cov))
